@@ -481,7 +481,8 @@ def hybrid(spark, sf, **options):
 
 
 @register("fus_fused", S.with_(_HYBRID, """
-SELECT query_id, frank AS fused_rank, chunk_id, fused_score, fused, lr AS lexical_rank, vr AS vector_rank, gr AS graph_rank, sim AS similarity FROM fused"""))
+SELECT query_id, frank AS fused_rank, chunk_id, fused_score, fused, coalesce(lr, 0) AS lexical_rank, coalesce(vr, 0) AS vector_rank,
+  coalesce(gr, 0) AS graph_rank, coalesce(sim, 0) AS similarity FROM fused"""))
 def fus_fused(spark, sf):
     plans, corpus, index = _parts(spark, sf)
     ranked = materialise(lexical.lexical_search(plans, index, corpus, pool=15))
@@ -489,7 +490,8 @@ def fus_fused(spark, sf):
     v = vectors.vector_search(plans, vectors.embed_chunks(corpus), pool=15)
     d = fusion.fuse(lexical.duplicate_penalty(ranked), v, g, 5)
     return d.select("query_id", F.col("fused_rank").cast("long").alias("fused_rank"), "chunk_id", "fused_score", "fused",
-                    *[F.col(c).cast("long").alias(c) for c in ("lexical_rank", "vector_rank", "graph_rank")], "similarity")
+                    *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("lexical_rank", "vector_rank", "graph_rank")],
+                    F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 @register("fus_search", S.with_(_HYBRID, f"""

@@ -46,7 +46,8 @@ def stem(token: Column) -> Column:
 
 def expand_tokens(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """VEC1: ``(token, feature, w400)`` rows of each token of a dictionary."""
-    t = F.col(token_col)
+    tokens = tokens.select(F.col(token_col).alias("token"))
+    t = F.col("token")
     s = stem(t)
     groups = {k: "|".join(v) for k, v in ALIAS_GROUPS.items()}
     group = F.split(F.coalesce(lookup(groups, t), lookup(groups, s)), r"\|")
@@ -64,7 +65,7 @@ def expand_tokens(tokens: DataFrame, token_col: str = "token") -> DataFrame:
         ),
         F.transform(trigrams(t), lambda g: feature(F.concat(F.lit("tri:"), g), "trigram")),
     )
-    return tokens.select(t.alias("token"), F.explode(features).alias("x")).select("token", "x.*")
+    return tokens.select("token", F.explode(features).alias("x")).select("token", "x.*")
 
 
 def feature_dims(features: DataFrame, dims: int = P.VECTOR_DIMS) -> DataFrame:
