@@ -1,5 +1,5 @@
 """Registered queries and their SQL counterparts, by area."""
 
-from entries import retrieval
+from entries import corpus_health, retrieval
 
-AREAS = [retrieval]
+AREAS = [retrieval, corpus_health]

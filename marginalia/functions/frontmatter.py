@@ -1,8 +1,8 @@
-"""YAML frontmatter text to JSON text.
+"""YAML frontmatter text to maps of kinds, texts and lists by path.
 
 The one step that built-in expressions cannot express: nested block YAML.  It
 runs as an Arrow batch function on the (short) frontmatter block only; all
-rules about the values are column expressions over the resulting variant.
+rules about the values are column expressions over the resulting maps.
 """
 
 from __future__ import annotations
@@ -71,7 +71,30 @@ def _flat(text: str):
     return out
 
 
-def _read(text: str) -> tuple[str | None, str | None]:
+def _kind(value) -> str:
+    if isinstance(value, str):
+        return "string"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "number"
+    if isinstance(value, list):
+        return "list:string" if all(isinstance(v, str) for v in value) else "list"
+    return "null" if value is None else "map"
+
+
+def _text(value) -> str:
+    """Text of a scalar; empty for anything else."""
+    kind = _kind(value)
+    if kind == "boolean":
+        return "true" if value else "false"
+    return str(value) if kind in ("string", "number") else ""
+
+
+def _read(text: str | None) -> dict:
+    out = dict.fromkeys(COLUMNS)
+    if text is None:
+        return out
     try:
         if yaml is None:
             value = _flat(text)
@@ -79,14 +102,36 @@ def _read(text: str) -> tuple[str | None, str | None]:
             node = yaml.compose(text, Loader=yaml.BaseLoader)
             value = None if node is None else _value(node)
     except Exception as err:  # any malformed block becomes an error row
-        return None, str(err).split("\n")[0]
+        out["error"] = str(err).split("\n")[0]
+        return out
     if not isinstance(value, dict):
-        return None, "Frontmatter root must be a YAML mapping object."
-    return json.dumps(value), None
+        out["error"] = "Frontmatter root must be a YAML mapping object."
+        return out
+    # Values by path, one nested level deep: "tags", "links.parents".
+    flat = dict(value)
+    for key, inner in value.items():
+        if isinstance(inner, dict):
+            flat.update({f"{key}.{k}": v for k, v in inner.items()})
+    out["json"] = json.dumps(value)
+    out["keys"] = list(value)
+    out["kinds"] = {k: _kind(v) for k, v in flat.items()}
+    out["texts"] = {k: _text(v) for k, v in flat.items() if _kind(v) in ("string", "boolean", "number")}
+    out["lists"] = {k: [_text(x) for x in v] for k, v in flat.items() if isinstance(v, list)}
+    return out
+
+
+TEXT = T.StringType()
+COLUMNS = {
+    "json": TEXT,
+    "error": TEXT,
+    "keys": T.ArrayType(TEXT),
+    "kinds": T.MapType(TEXT, TEXT),
+    "texts": T.MapType(TEXT, TEXT),
+    "lists": T.MapType(TEXT, T.ArrayType(TEXT)),
+}
 
 
-@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())]))
-def frontmatter_json(blocks: pd.Series) -> pd.DataFrame:
-    """JSON text of each block, or the reason why there is none."""
-    rows = [(None, None) if b is None else _read(b) for b in blocks]
-    return pd.DataFrame(rows, columns=["json", "error"])
+@F.pandas_udf(T.StructType([T.StructField(k, t) for k, t in COLUMNS.items()]))
+def read_blocks(blocks: pd.Series) -> pd.DataFrame:
+    """Typed contents of each block, or the reason why there are none."""
+    return pd.DataFrame([_read(b) for b in blocks], columns=list(COLUMNS))

@@ -9,19 +9,19 @@ from marginalia import policy as P
 from marginalia.functions.text import lookup, path_hash, pick, slugify, strings, strip
 from marginalia.operators.governance import config
 from marginalia.operators.notes import (
-    derive_date, derive_summary, derive_title, is_array, is_object, is_scalar, is_string, kind, link_groups,
-    registry_pair_ok, resolve_note_type, status_alias, string_array, string_value, sub, text_of,
+    derive_date, derive_summary, derive_title, is_map, kind, link_groups, registry_pair_ok, resolve_note_type,
+    status_alias, string_array, string_value, text,
 )
 
 
 def normalize_body(body: Column, title: Column) -> Column:
     """Body without leading blanks, without a heading equal to the title, blank runs cut."""
-    text = F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), r"^(?:[^\S\n]*\n)+", "")
-    first = F.substring_index(text, "\n", 1)
+    lines = F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), r"^(?:[^\S\n]*\n)+", "")
+    first = F.substring_index(lines, "\n", 1)
     heading = F.regexp_extract(first, r"^#[^\S\n]+(.+)$", 1)
     same = first.rlike(r"^#[^\S\n]+(.+)$") & (slugify(heading, "comparable") == slugify(title, "comparable"))
-    rest = F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"^(?:[^\S\n]*\n)+", "")
-    return strip(F.regexp_replace(F.when(same, rest).otherwise(text), r"\n{3,}", "\n\n"))
+    rest = F.regexp_replace(F.regexp_replace(lines, r"^[^\n]*\n?", ""), r"^(?:[^\S\n]*\n)+", "")
+    return strip(F.regexp_replace(F.when(same, rest).otherwise(lines), r"\n{3,}", "\n\n"))
 
 
 def quoted(c: Column) -> Column:
@@ -30,12 +30,20 @@ def quoted(c: Column) -> Column:
     return F.substring(as_list, F.lit(2), F.length(as_list) - 2)
 
 
+def _as_text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _shape(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
+
 def _scalar(v: Column) -> Column:
     """One YAML scalar of a variant."""
     return (
-        F.when(kind(v).isin("", "VOID"), "null")
-        .when(is_string(v), quoted(text_of(v)))
-        .otherwise(F.coalesce(text_of(v), F.lit("null")))
+        F.when(_shape(v).isin("", "VOID"), "null")
+        .when(_shape(v) == "STRING", quoted(_as_text(v)))
+        .otherwise(F.coalesce(_as_text(v), F.lit("null")))
     )
 
 
@@ -53,10 +61,10 @@ def _extra(key: Column, v: Column) -> Column:
 
     inner = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
     return (
-        F.when(is_array(v), _list_lines(key, listed(v), ""))
-        .when(is_object(v), F.concat(key, F.lit(":\n"), F.array_join(F.transform(
+        F.when(_shape(v).startswith("ARRAY"), _list_lines(key, listed(v), ""))
+        .when(_shape(v).startswith("OBJECT"), F.concat(key, F.lit(":\n"), F.array_join(F.transform(
             inner,
-            lambda e: F.when(is_array(e["value"]), _list_lines(e["key"], listed(e["value"]), "  "))
+            lambda e: F.when(_shape(e["value"]).startswith("ARRAY"), _list_lines(e["key"], listed(e["value"]), "  "))
             .otherwise(F.concat(F.lit("  "), e["key"], F.lit(": "), _scalar(e["value"])))), "\n")))
         .otherwise(F.concat(key, F.lit(": "), _scalar(v)))
     )
@@ -86,18 +94,18 @@ def plan_fixes(parsed: DataFrame, repo_slug: str, maintainer: str = "maintainer"
     """MIG1: per note the canonical metadata, the changes and the new content.
 
     ``parsed`` has ``path`` (relative to the repository folder), ``mtime_ms``,
-    ``fm``, ``fm_json`` and ``body``; rows with unreadable YAML are left out
+    ``body`` and the parsed frontmatter; rows with unreadable YAML are left out
     and stay in the caller's error table.
     """
-    fm, path = F.col("fm"), F.col("path")
+    path = F.col("path")
     falsy = lambda c: F.coalesce(c, F.lit("")) == ""
     rows = parsed.filter(F.coalesce("parse_error", F.lit("")) != "frontmatter.invalid_yaml").select(
-        "path", "body", "fm", "fm_json",
-        string_value(fm, "type", "note_type").alias("raw_type"),
-        string_value(fm, "status").alias("raw_status"),
-        F.coalesce(string_value(fm, "title"), derive_title(F.col("body"), path)).alias("title"),
+        "path", "body", "fm_json", "keys", "kinds", "texts", "lists",
+        string_value("type", "note_type").alias("raw_type"),
+        text("status").alias("raw_status"),
+        F.coalesce(text("title"), derive_title(F.col("body"), path)).alias("title"),
         derive_date(
-            fm, path, F.date_format(F.timestamp_millis(F.col("mtime_ms").cast("long")), "yyyy-MM-dd"),
+            path, F.date_format(F.timestamp_millis(F.col("mtime_ms").cast("long")), "yyyy-MM-dd"),
             ["created", "date", "decided_on", "last_reviewed", "started_at"], "migrate").alias("created"),
     )
     note_type, _ = resolve_note_type(F.col("raw_type"), path, anywhere=False)
@@ -111,58 +119,59 @@ def plan_fixes(parsed: DataFrame, repo_slug: str, maintainer: str = "maintainer"
         t: "|".join(sorted(s for s in group if s != P.DEFAULT_STATUS[t])) for t, group in P.REGISTRY_STATUSES.items()
     }
     owners = {t: (maintainer if o == "maintainer" else o) for t, o in P.OWNER_BY_TYPE.items()}
-    retention = sub(fm, "retention")
     all_types = {**P.WRITE_CONFIG, "repo-home": P.REPO_HOME_RETENTION}
 
     def due(key: str, field: str) -> Column:
-        given = F.when(is_object(retention), string_value(retention, key))
+        given = text(f"retention.{key}")
         days = config(field, F.col("type"), all_types)
         return F.coalesce(given, F.date_format(F.date_add(F.col("created").try_cast("date"), days), "yyyy-MM-dd"))
 
-    keep_given = F.when(kind(sub(retention, "keep")) == "BOOLEAN", F.try_variant_get(sub(retention, "keep"), "$", "boolean"))
+    keep_given = F.when(kind("retention.keep") == "boolean", text("retention.keep") == "true")
     rows = (
         rows.withColumn("status", F.when(explicit, alias).otherwise(fallback))
         .withColumn("suggested", ~explicit & ~sure)
-        .withColumn("updated", derive_date(fm, path, F.col("created"), ["updated", "date", "last_reviewed", "started_at"], "migrate"))
-        .withColumn("summary", F.coalesce(string_value(fm, "summary"), derive_summary(F.col("new_body"))))
+        .withColumn("updated", derive_date(path, F.col("created"), ["updated", "date", "last_reviewed", "started_at"], "migrate"))
+        .withColumn("summary", F.coalesce(text("summary"), derive_summary(F.col("new_body"))))
         .withColumn("note_id", F.coalesce(
-            string_value(fm, "id"),
+            text("id"),
             F.concat(F.lit("mem-"), F.replace("created", F.lit("-"), F.lit("")), F.lit("-"),
                      F.when(slugify("title") != "", slugify("title")).otherwise(path_hash("path")))))
-        .withColumn("slug", F.coalesce(string_value(fm, "repo_slug", "repo"), F.lit(repo_slug)))
-        .withColumn("owner", F.coalesce(string_value(fm, "owner"), lookup(owners, F.col("type"))))
+        .withColumn("slug", F.coalesce(string_value("repo_slug", "repo"), F.lit(repo_slug)))
+        .withColumn("owner", F.coalesce(text("owner"), lookup(owners, F.col("type"))))
         .withColumn("review_after", due("review_after", "review_days"))
         .withColumn("expires_after", due("expires_after", "expire_days"))
-        .withColumn("keep", F.coalesce(F.when(is_object(retention), keep_given), config("keep", F.col("type"), all_types)))
-        .withColumn("tags", string_array(fm, "tags"))
-        .withColumn("keywords", string_array(fm, "keywords"))
-        .withColumn("links", link_groups(fm))
+        .withColumn("keep", F.coalesce(keep_given, config("keep", F.col("type"), all_types)))
+        .withColumn("tags", string_array("tags"))
+        .withColumn("keywords", string_array("keywords"))
+        .withColumn("links", link_groups())
     )
     ask = falsy(F.col("raw_status")) & F.col("suggested")
     new_retention = F.to_json(F.struct("review_after", "expires_after", "keep"), {"ignoreNullFields": "false"})
-    old_retention = F.when(is_object(retention), F.get_json_object("fm_json", "$.retention")).otherwise("{}")
-    has_key = lambda k: F.array_contains(F.map_keys(F.try_variant_get(fm, "$", "map<string,variant>")), k)
+    old_retention = F.when(is_map("retention"), F.get_json_object("fm_json", "$.retention")).otherwise("{}")
+    has_key = lambda k: F.array_contains("keys", k)
     changes = pick(
-        (falsy(string_value(fm, "id")), "add_id"),
+        (falsy(text("id")), "add_id"),
         (~F.col("raw_type").eqNullSafe(F.col("type")), "normalize_type"),
-        (string_value(fm, "repo_slug", "repo").isNull(), "set_repo_slug"),
-        (falsy(string_value(fm, "title")), "add_title"),
+        (string_value("repo_slug", "repo").isNull(), "set_repo_slug"),
+        (falsy(text("title")), "add_title"),
         (ask, "suggest_status"),
         (~ask & ~F.col("raw_status").eqNullSafe(F.col("status")), "normalize_status"),
-        (falsy(string_value(fm, "created")) & falsy(string_value(fm, "date")), "set_created"),
-        (falsy(string_value(fm, "updated")), "set_updated"),
-        (falsy(string_value(fm, "owner")), "set_owner"),
-        (falsy(string_value(fm, "summary")), "add_summary"),
+        (falsy(text("created")) & falsy(text("date")), "set_created"),
+        (falsy(text("updated")), "set_updated"),
+        (falsy(text("owner")), "set_owner"),
+        (falsy(text("summary")), "add_summary"),
         (F.col("new_body") != strip("body"), "normalize_body"),
-        (~is_object(sub(fm, "links")), "add_links"),
+        (~is_map("links"), "add_links"),
         (old_retention != new_retention, "set_retention"),
         *[(has_key(k), f"drop_{k}") for k in P.MIGRATION_DROPPED_KEYS],
     )
     known = P.STRICT_KEYS + P.MIGRATION_DROPPED_KEYS
-    entries = F.sort_array(F.filter(
-        F.map_keys(F.try_variant_get(fm, "$", "map<string,variant>")), lambda k: ~k.isin(known)))
-    by_key = F.try_variant_get(fm, "$", "map<string,variant>")
-    extras = F.transform(entries, lambda k: _extra(k, F.try_element_at(by_key, k)))
+    unknown = F.sort_array(F.filter("keys", lambda k: ~k.isin(known)))
+    # Unknown keys are rare: only then is the block read as a variant.
+    by_key = F.try_variant_get(F.parse_json("fm_json"), "$", "map<string,variant>")
+    extras = F.when(
+        F.size(unknown) > 0, F.transform(unknown, lambda k: _extra(k, F.try_element_at(by_key, k)))
+    ).otherwise(strings([]))
     value = {k: F.col(k) for k in ("type", "title", "status", "created", "updated", "owner", "summary", "tags",
                                    "keywords", "links", "review_after", "expires_after", "keep")}
     value |= {"id": F.col("note_id"), "repo_slug": F.col("slug")}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
-from marginalia.functions.frontmatter import frontmatter_json
+from marginalia.functions.frontmatter import read_blocks
 from marginalia.functions.text import (
     blank_to_null, collapse, estimate_tokens, is_date, lookup, pick, strings, strip,
 )
@@ -31,17 +31,18 @@ def split_frontmatter(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def parse_frontmatter(df: DataFrame) -> DataFrame:
-    """PRJ2: add ``fm`` (variant, ``{}`` where absent) and ``parse_error`` (code or NULL)."""
-    parsed = df.withColumn("p", frontmatter_json("block"))
+    """PRJ2: add ``fm_json, keys, kinds, texts, lists`` and ``parse_error`` (code or NULL)."""
     return (
-        parsed.withColumn(
+        df.withColumn("p", read_blocks("block"))
+        .withColumn(
             "parse_error",
             F.when(F.col("block").isNull(), "frontmatter.missing_block")
             .when(F.col("p.json").isNull(), "frontmatter.invalid_yaml"),
         )
         .withColumn("parse_message", F.col("p.error"))
         .withColumn("fm_json", F.coalesce("p.json", F.lit("{}")))
-        .withColumn("fm", F.parse_json("fm_json"))
+        .withColumn("keys", F.coalesce("p.keys", strings([])))
+        .withColumns({k: F.col(f"p.{k}") for k in ("kinds", "texts", "lists")})
         .drop("p")
     )
 
@@ -49,61 +50,37 @@ def parse_frontmatter(df: DataFrame) -> DataFrame:
 # --- PRJ11: typed access to dynamic values ------------------------------------
 
 
-def sub(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "variant")
+def kind(path: str) -> Column:
+    """string, boolean, number, null, map, list, list:string; empty when absent."""
+    return F.coalesce(F.try_element_at("kinds", F.lit(path)), F.lit(""))
 
 
-def kind(v: Column) -> Column:
-    """Schema name of a variant value; empty when absent."""
-    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+def text(path: str) -> Column:
+    """Text of a string, number or boolean."""
+    return F.try_element_at("texts", F.lit(path))
 
 
-def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT")
+def is_map(path: str) -> Column:
+    return kind(path) == "map"
 
 
-def is_array(v: Column) -> Column:
-    return kind(v).startswith("ARRAY")
-
-
-def is_string(v: Column) -> Column:
-    return kind(v) == "STRING"
-
-
-def is_scalar(v: Column) -> Column:
-    return kind(v).rlike(r"^(STRING|BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|DOUBLE|FLOAT|DECIMAL)")
-
-
-def text_of(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
-def string_value(fm: Column, *keys: str) -> Column:
+def string_value(*paths: str) -> Column:
     """First of the keys that holds a string, number or boolean, as text."""
-    return F.coalesce(*[F.when(is_scalar(sub(fm, k)), text_of(sub(fm, k))) for k in keys])
+    return F.coalesce(*[text(p) for p in paths])
 
 
-def string_array(fm: Column, key: str) -> Column:
+def string_array(path: str) -> Column:
     """List of texts; a single non-blank string becomes a one-item list."""
-    v = sub(fm, key)
-    items = F.filter(
-        F.transform(
-            F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(is_scalar(x), text_of(x))
-        ),
-        lambda x: x.isNotNull() & (x != ""),
-    )
+    one = strip(text(path))
     return (
-        F.when(is_array(v), items)
-        .when(is_string(v) & (strip(text_of(v)) != ""), F.array(strip(text_of(v))))
+        F.when(kind(path).startswith("list"), F.filter(F.try_element_at("lists", F.lit(path)), lambda x: x != ""))
+        .when((kind(path) == "string") & (one != ""), F.array(one))
         .otherwise(strings([]))
     )
 
 
-def link_groups(fm: Column) -> Column:
-    links = sub(fm, "links")
-    return F.struct(*[
-        F.when(is_object(links), string_array(links, g)).otherwise(strings([])).alias(g) for g in P.LINK_GROUPS
-    ])
+def link_groups() -> Column:
+    return F.struct(*[string_array(f"links.{g}").alias(g) for g in P.LINK_GROUPS])
 
 
 # --- PRJ3, PRJ4: strict validation --------------------------------------------
@@ -111,86 +88,69 @@ def link_groups(fm: Column) -> Column:
 
 def has_strict_shape(df: DataFrame) -> DataFrame:
     """PRJ4: add ``strict``: all strict keys are present."""
-    keys = F.map_keys(F.try_variant_get("fm", "$", "map<string,variant>"))
-    return df.withColumn("strict", F.size(F.array_intersect(keys, strings(P.STRICT_KEYS))) == len(P.STRICT_KEYS))
+    return df.withColumn("strict", F.size(F.array_intersect("keys", strings(P.STRICT_KEYS))) == len(P.STRICT_KEYS))
 
 
 def strict_candidates(df: DataFrame) -> DataFrame:
-    """PRJ4: strict rows with links and retention coerced before validation."""
-    links, retention = sub(F.col("fm"), "links"), sub(F.col("fm"), "retention")
+    """PRJ4: strict rows with links and retention coerced before validation.
 
-    def optional(key: str) -> Column:
-        return F.when(is_object(retention), string_value(retention, key))
-
-    keep = F.when(kind(sub(retention, "keep")) == "BOOLEAN", F.try_variant_get(sub(retention, "keep"), "$", "boolean"))
-    coerced = F.to_json(
-        F.struct(
-            F.struct(*[
-                F.when(is_object(links), string_array(links, g)).otherwise(strings([])).alias(g) for g in P.LINK_GROUPS
-            ]).alias("links"),
-            F.struct(
-                optional("review_after").alias("review_after"), optional("expires_after").alias("expires_after"),
-                F.coalesce(keep, F.lit(False)).alias("keep"),
-            ).alias("retention"),
-        )
-    )
-    rest = F.map_filter(
-        F.try_variant_get("fm", "$", "map<string,variant>"), lambda k, _: ~k.isin("links", "retention")
-    )
-    # Joined as text: both halves are JSON objects.
-    joined = F.concat(
-        F.substring(coerced, F.lit(1), F.length(coerced) - 1),
-        F.when(F.size(rest) > 0, F.concat(F.lit(","), F.expr("substring(to_json(rest), 2)"))).otherwise(F.lit("}")),
+    Links become lists of texts, retention dates become texts, and a ``keep``
+    that is no boolean becomes false.
+    """
+    link_paths = [f"links.{g}" for g in P.LINK_GROUPS]
+    due = ["retention.review_after", "retention.expires_after"]
+    own = [*link_paths, *due, "retention.keep", "links", "retention"]
+
+    def replaced(name: str, new: dict[str, Column]) -> Column:
+        kept = F.map_filter(F.coalesce(name, F.create_map().cast(dict(df.dtypes)[name])), lambda k, _: ~k.isin(own))
+        return F.map_concat(kept, F.create_map(*[x for k, c in new.items() for x in (F.lit(k), c)]))
+
+    keep_text = F.when(kind("retention.keep") == "boolean", text("retention.keep")).otherwise("false")
+    return has_strict_shape(df).filter("strict").select(
+        *[c for c in df.columns if c not in ("kinds", "texts", "lists")],
+        replaced("kinds", {
+            "links": F.lit("map"), "retention": F.lit("map"), "retention.keep": F.lit("boolean"),
+            **{p: F.lit("list:string") for p in link_paths},
+            **{p: F.when(text(p).isNull(), "null").otherwise("string") for p in due},
+        }).alias("kinds"),
+        replaced("texts", {"retention.keep": keep_text, **{p: text(p) for p in due}}).alias("texts"),
+        replaced("lists", {p: string_array(p) for p in link_paths}).alias("lists"),
     )
-    shaped = has_strict_shape(df).filter("strict").withColumn("rest", rest)
-    return shaped.withColumn("fm", F.parse_json(joined)).drop("rest")
 
 
-def _clean_list(v: Column) -> Column:
+def _clean_list(path: str) -> Column:
     """Distinct trimmed texts in first-seen order; NULL unless all items are strings."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    all_text = is_array(v) & F.forall(items, is_string)
-    return F.when(
-        all_text,
-        F.array_distinct(F.filter(F.transform(items, lambda x: strip(text_of(x))), lambda x: x != "")),
-    )
+    items = F.transform(F.try_element_at("lists", F.lit(path)), strip)
+    return F.when(kind(path) == "list:string", F.array_distinct(F.filter(items, lambda x: x != "")))
 
 
 def validate_frontmatter(df: DataFrame, owners: list[str] = P.DEFAULT_OWNERS) -> DataFrame:
     """PRJ3: add ``ok``, ``errors array<struct<code,message>>`` and ``value``."""
-    fm = F.col("fm")
 
     def trimmed(key: str) -> Column:
-        v = sub(fm, key)
-        return F.when(is_string(v), blank_to_null(strip(text_of(v))))
-
-    def shown(key: str) -> Column:
-        return F.coalesce(string_value(fm, key), F.lit(""))
+        return F.when(kind(key) == "string", blank_to_null(strip(text(key))))
 
     def error(bad: Column, code: str, message) -> Column:
-        text = F.lit(message) if isinstance(message, str) else message
-        return F.when(bad, F.struct(F.lit(f"frontmatter.{code}").alias("code"), text.alias("message")))
+        shown = F.lit(message) if isinstance(message, str) else message
+        return F.when(bad, F.struct(F.lit(f"frontmatter.{code}").alias("code"), shown.alias("message")))
 
     note_type, status, owner = trimmed("type"), trimmed("status"), trimmed("owner")
     known_type = F.coalesce(note_type.isin(P.NOTE_TYPES), F.lit(False))
     pairs = [f"{t}|{s}" for t, group in P.STRICT_STATUSES.items() for s in group]
     good_pair = F.concat_ws("|", note_type, status).isin(pairs)
-    links, retention = sub(fm, "links"), sub(fm, "retention")
-    keep = sub(retention, "keep")
-    keep_ok = kind(keep) == "BOOLEAN"
-
-    def bad_date(v: Column, optional: bool = False) -> Column:
-        wrong = ~(is_string(v) & is_date(text_of(v)))
-        return wrong & ~kind(v).isin("", "VOID") if optional else wrong
+    keep_ok = kind("retention.keep") == "boolean"
 
-    def date_error(v: Column, field: str, when: Column | None = None, optional: bool = False) -> Column:
-        wrong = bad_date(v, optional)
-        return error(wrong if when is None else when & wrong, "invalid_date",
-                     f"Field '{field}' must use YYYY-MM-DD format.")
+    def date_error(path: str, when: Column = F.lit(True), optional: bool = False) -> Column:
+        wrong = ~((kind(path) == "string") & is_date(text(path)))
+        if optional:
+            wrong = wrong & ~kind(path).isin("", "null")
+        return error(when & wrong, "invalid_date", f"Field '{path}' must use YYYY-MM-DD format.")
 
+    dated = is_map("retention") & keep_ok
     errors = F.array_compact(F.array(
         error(trimmed("id").isNull(), "missing_id", "Memory notes must define a stable frontmatter id."),
-        error(~known_type, "invalid_type", F.concat(F.lit("Unsupported memory type '"), shown("type"), F.lit("'."))),
+        error(~known_type, "invalid_type",
+              F.concat(F.lit("Unsupported memory type '"), F.coalesce(text("type"), F.lit("")), F.lit("'."))),
         error(status.isNull(), "invalid_status", "Memory notes must define a status."),
         error(status.isNotNull() & known_type & ~good_pair, "invalid_status_for_type",
               F.concat(F.lit("Status '"), status, F.lit("' is not valid for type '"), note_type, F.lit("'."))),
@@ -198,32 +158,32 @@ def validate_frontmatter(df: DataFrame, owners: list[str] = P.DEFAULT_OWNERS) ->
         error(trimmed("title").isNull(), "empty_title", "Memory notes must define a non-empty title."),
         error(owner.isNull() | ~owner.isin(owners), "invalid_owner", f"Owner must be one of: {', '.join(owners)}."),
         error(trimmed("summary").isNull(), "empty_summary", "Memory notes must define a non-empty summary."),
-        error(_clean_list(sub(fm, "tags")).isNull(), "invalid_tags", "Field 'tags' must be an array of strings."),
-        error(_clean_list(sub(fm, "keywords")).isNull(), "invalid_keywords", "Field 'keywords' must be an array of strings."),
-        error(~is_object(links), "invalid_links", "Field 'links' must be an object with note-id arrays."),
+        error(kind("tags") != "list:string", "invalid_tags", "Field 'tags' must be an array of strings."),
+        error(kind("keywords") != "list:string", "invalid_keywords", "Field 'keywords' must be an array of strings."),
+        error(~is_map("links"), "invalid_links", "Field 'links' must be an object with note-id arrays."),
         *[
-            error(is_object(links) & _clean_list(sub(links, g)).isNull(), "invalid_links",
+            error(is_map("links") & (kind(f"links.{g}") != "list:string"), "invalid_links",
                   f"Field 'links.{g}' must be an array of strings.")
             for g in P.LINK_GROUPS
         ],
-        error(~is_object(retention), "invalid_retention", "Field 'retention' must be an object."),
-        error(is_object(retention) & ~keep_ok, "invalid_retention", "Field 'retention.keep' must be a boolean."),
-        date_error(sub(retention, "review_after"), "retention.review_after", is_object(retention) & keep_ok, True),
-        date_error(sub(retention, "expires_after"), "retention.expires_after", is_object(retention) & keep_ok, True),
-        date_error(sub(fm, "created"), "created"),
-        date_error(sub(fm, "updated"), "updated"),
+        error(~is_map("retention"), "invalid_retention", "Field 'retention' must be an object."),
+        error(is_map("retention") & ~keep_ok, "invalid_retention", "Field 'retention.keep' must be a boolean."),
+        date_error("retention.review_after", dated, True),
+        date_error("retention.expires_after", dated, True),
+        date_error("created"),
+        date_error("updated"),
     ))
     value = F.struct(
         *[trimmed(k).alias(k) for k in ("id", "type", "repo_slug", "title", "status", "owner", "summary")],
-        text_of(sub(fm, "created")).alias("created"),
-        text_of(sub(fm, "updated")).alias("updated"),
-        _clean_list(sub(fm, "tags")).alias("tags"),
-        _clean_list(sub(fm, "keywords")).alias("keywords"),
-        F.struct(*[_clean_list(sub(links, g)).alias(g) for g in P.LINK_GROUPS]).alias("links"),
+        text("created").alias("created"),
+        text("updated").alias("updated"),
+        _clean_list("tags").alias("tags"),
+        _clean_list("keywords").alias("keywords"),
+        F.struct(*[_clean_list(f"links.{g}").alias(g) for g in P.LINK_GROUPS]).alias("links"),
         F.struct(
-            text_of(sub(retention, "review_after")).alias("review_after"),
-            text_of(sub(retention, "expires_after")).alias("expires_after"),
-            F.try_variant_get(keep, "$", "boolean").alias("keep"),
+            text("retention.review_after").alias("review_after"),
+            text("retention.expires_after").alias("expires_after"),
+            (text("retention.keep") == "true").alias("keep"),
         ).alias("retention"),
     )
     return (
@@ -305,7 +265,7 @@ def derive_summary(body: Column) -> Column:
 DATE_PREFIX = r"^(\d{4}-\d{2}-\d{2})\b"
 
 
-def derive_date(fm: Column, path: Column, fallback: Column, keys: list[str], mode: str = "index") -> Column:
+def derive_date(path: Column, fallback: Column, keys: list[str], mode: str = "index") -> Column:
     """PRJ10: first usable key, else a date in the file name, else the fallback.
 
     ``index`` looks at the start of the relative path; ``migrate`` looks at the
@@ -313,7 +273,7 @@ def derive_date(fm: Column, path: Column, fallback: Column, keys: list[str], mod
     """
     tries = []
     for k in keys:
-        v = string_value(fm, k)
+        v = text(k)
         if mode == "migrate":
             tries.append(F.when(v.rlike(DATE_PREFIX), F.regexp_extract(v, DATE_PREFIX, 1)))
         else:
@@ -330,40 +290,40 @@ def synthetic_id(path: Column) -> Column:
 
 
 def index_notes(parsed: DataFrame, prefix: str = "vault/") -> DataFrame:
-    """One typed row per note from ``path, content, mtime_ms, fm, body``.
+    """One typed row per note from parsed ``path, content, mtime_ms, body`` rows.
 
     Staged so that each derived value is computed once per row.
     """
-    fm, path = F.col("fm"), F.col("path")
+    path = F.col("path")
     staged = parsed.select(
-        "path", "content", "mtime_ms", "body", "fm",
-        string_value(fm, "type", "note_type").alias("legacy_type"),
-        string_value(fm, "status").alias("legacy_status"),
-        string_value(fm, "id").alias("given_id"),
-        F.coalesce(string_value(fm, "title"), derive_title(F.col("body"), path)).alias("title"),
-        F.coalesce(string_value(fm, "summary"), derive_summary(F.col("body"))).alias("summary"),
+        "path", "content", "mtime_ms", "body", "kinds", "texts", "lists",
+        string_value("type", "note_type").alias("legacy_type"),
+        text("status").alias("legacy_status"),
+        text("id").alias("given_id"),
+        F.coalesce(text("title"), derive_title(F.col("body"), path)).alias("title"),
+        F.coalesce(text("summary"), derive_summary(F.col("body"))).alias("summary"),
         F.date_format(F.timestamp_millis(F.col("mtime_ms").cast("long")), "yyyy-MM-dd").alias("fallback_date"),
     )
     t, t_norm = resolve_note_type(F.col("legacy_type"), path)
     typed = staged.withColumn("type", t).withColumn("type_normalized", t_norm).withColumn(
-        "created", derive_date(fm, path, F.col("fallback_date"), ["created", "date", "decided_on", "last_reviewed"])
+        "created", derive_date(path, F.col("fallback_date"), ["created", "date", "decided_on", "last_reviewed"])
     )
     s, s_norm = resolve_note_status(F.col("legacy_status"), F.col("type"))
     return typed.select(
         F.coalesce("given_id", synthetic_id(path)).alias("id"),
         "type",
         s.alias("status"),
-        string_value(fm, "repo_slug", "repo").alias("repo_slug"),
+        string_value("repo_slug", "repo").alias("repo_slug"),
         F.concat(F.lit(prefix), path).alias("path"),
         "title", "summary",
-        string_array(fm, "tags").alias("tags"),
-        string_array(fm, "keywords").alias("keywords"),
-        string_value(fm, "owner").alias("owner"),
+        string_array("tags").alias("tags"),
+        string_array("keywords").alias("keywords"),
+        text("owner").alias("owner"),
         "created",
-        derive_date(fm, path, F.col("created"), ["updated", "date", "last_reviewed"]).alias("updated"),
+        derive_date(path, F.col("created"), ["updated", "date", "last_reviewed"]).alias("updated"),
         "mtime_ms",
         F.sha2("content", 256).alias("content_hash"),
-        link_groups(fm).alias("links"),
+        link_groups().alias("links"),
         "legacy_type", "legacy_status",
         F.col("given_id").isNull().alias("synthetic_id"),
         "type_normalized",
@@ -384,7 +344,7 @@ def sections(body: Column, title: Column) -> Column:
     The body is cut in front of its level-one and level-two heading lines; a
     level-one heading line is dropped from its section, a level-two one kept.
     """
-    text = F.regexp_replace(body, "\r\n", "\n")
+    lines = F.regexp_replace(body, "\r\n", "\n")
     top = F.coalesce(blank_to_null(title), F.lit("Overview"))
 
     def cut(part: Column) -> Column:
@@ -399,7 +359,7 @@ def sections(body: Column, title: Column) -> Column:
         )
 
     parts = F.filter(
-        F.transform(F.split(text, r"(?md)(?=^##?[^\S\n]+[^\n]+$)"), cut), lambda s: s["content"] != ""
+        F.transform(F.split(lines, r"(?md)(?=^##?[^\S\n]+[^\n]+$)"), cut), lambda s: s["content"] != ""
     )
     whole = F.array(F.struct(top.alias("heading"), F.lit(0).alias("heading_level"), body.alias("content")))
     return F.when(F.size(parts) > 0, parts).otherwise(whole)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.joins import materialise
 from marginalia.operators import lexical, links, notes as N, registry, vectors
 from marginalia.operators.corpus import build_corpus
 from marginalia.sources import files
@@ -48,14 +49,15 @@ def build_index(raw: DataFrame, *, owners: list[str] | None = None, strict: bool
     Unreadable YAML and invalid strict notes go to ``rejected``; with
     ``strict`` they, repeated ids and unresolved links raise when read.
     """
-    parsed = N.parse_frontmatter(N.split_frontmatter(raw))
+    # Every table below reads the parsed notes: they are written once.
+    parsed = materialise(N.parse_frontmatter(N.split_frontmatter(raw)))
     bad_yaml = parsed.filter("parse_error = 'frontmatter.invalid_yaml'").select(
         "path", F.col("parse_error").alias("code"), F.col("parse_message").alias("message"))
     good = parsed.filter("parse_error IS NULL OR parse_error = 'frontmatter.missing_block'")
     checked = N.validate_frontmatter(N.strict_candidates(good), **({"owners": owners} if owners else {}))
     broken = checked.filter(~F.col("ok")).select("path", F.col("errors")[0]["code"].alias("code"), F.col("errors")[0]["message"].alias("message"))
     rejected = bad_yaml.unionByName(broken)
-    notes = N.index_notes(good.join(broken.select("path"), "path", "left_anti"))
+    notes = materialise(N.index_notes(good.join(broken.select("path"), "path", "left_anti")))
     chunks = N.build_chunks(notes)
     typed = links.explode_links(notes)
     nodes, edges, unresolved = links.build_graph(notes, typed, links.extract_links(notes))
