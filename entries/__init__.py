@@ -1,5 +1,5 @@
 """Registered queries and their SQL counterparts, by area."""
 
-from entries import corpus_health, retrieval
+from entries import activity, corpus_health, retrieval
 
-AREAS = [retrieval, corpus_health]
+AREAS = [retrieval, corpus_health, activity]

@@ -8,6 +8,7 @@ from entries import sql as S
 from entries.retrieval import AS_OF, bar
 from marginalia import policy as P
 from marginalia.functions import text as T
+from marginalia.functions.joins import spread
 from marginalia.operators import governance as G
 from marginalia.operators import links as L
 from marginalia.operators import migration as M
@@ -192,7 +193,7 @@ _S6 = [*P.NOTE_STATUSES, ""]
 
 
 def yaml_notes(spark, sf):
-    o, k = A.table(spark, sf, "orders"), F.col("o_orderkey")
+    o, k = spread(A.table(spark, sf, "orders")), F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     fills = {
         "k": k.cast("string"), "t": A.cycle(_T8, k), "s": A.cycle(_S6, F.col("o_custkey")),

@@ -19,6 +19,9 @@ try:
 except ImportError:  # pragma: no cover - the flat reader below is used then
     yaml = None
 
+# The C parser reads the same language several times faster.
+LOADER = yaml and getattr(yaml, "CBaseLoader", yaml.BaseLoader)
+
 _INT = re.compile(r"[-+]?[0-9]+$")
 _FLOAT = re.compile(r"[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$")
 
@@ -99,7 +102,7 @@ def _read(text: str | None) -> dict:
         if yaml is None:
             value = _flat(text)
         else:
-            node = yaml.compose(text, Loader=yaml.BaseLoader)
+            node = yaml.compose(text, Loader=LOADER)
             value = None if node is None else _value(node)
     except Exception as err:  # any malformed block becomes an error row
         out["error"] = str(err).split("\n")[0]

@@ -107,7 +107,7 @@ def task_sections(df: DataFrame, body: str = "body") -> DataFrame:
 
     def field(name: str) -> Column:
         texts = F.transform(
-            F.filter(tagged_parts, lambda x: x["field"] == name), lambda x: F.regexp_replace(x["text"], r"\n$", ""))
+            F.filter(tagged_parts, lambda x: x["field"] == name), lambda x: F.regexp_replace(x["text"], r"\n\z", ""))
         return blank_to_null(strip(F.array_join(texts, "\n")))
 
     return df.withColumn("title", title).withColumn("why", field("why")).withColumn(
@@ -202,7 +202,8 @@ def todo_state(events: DataFrame) -> DataFrame:
     """STR3 (batch): open and done items of every list after all its events.
 
     ``events`` has ``list_id, seq, kind, item_id, title`` with kinds added,
-    toggled, deleted, cleared, replaced; ``replaced`` carries ``items``.  Each
+    toggled, deleted, cleared, replaced; ``replaced`` carries ``items`` and an
+    addition may carry ``completed``.  Each
     step is a combined aggregate, so no list is ever held in one place: last
     reset per list, last removal per item, first addition after it, toggles
     after that.
@@ -214,7 +215,8 @@ def todo_state(events: DataFrame) -> DataFrame:
                  F.coalesce(F.col("i.completed"), F.lit(False)).alias("done_first"), (F.col("sub") + 1).alias("sub"))
     else:
         put = None
-    plain = events.select("list_id", "seq", "kind", "item_id", "title", F.lit(False).alias("done_first"), F.lit(0).alias("sub"))
+    flag = F.coalesce("completed", F.lit(False)) if "completed" in events.columns else F.lit(False)
+    plain = events.select("list_id", "seq", "kind", "item_id", "title", flag.alias("done_first"), F.lit(0).alias("sub"))
     resets = events.filter(F.col("kind").isin("cleared", "replaced")).groupBy("list_id").agg(F.max("seq").alias("reset"))
     items = plain.filter(F.col("kind").isin("added", "toggled", "deleted"))
     if put is not None:

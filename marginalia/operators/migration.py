@@ -9,7 +9,7 @@ from marginalia import policy as P
 from marginalia.functions.text import lookup, path_hash, pick, slugify, strings, strip
 from marginalia.operators.governance import config
 from marginalia.operators.notes import (
-    derive_date, derive_summary, derive_title, is_map, kind, link_groups, registry_pair_ok, resolve_note_type,
+    day_of, derive_date, derive_summary, derive_title, is_map, kind, link_groups, registry_pair_ok, resolve_note_type,
     status_alias, string_array, string_value, text,
 )
 
@@ -105,7 +105,7 @@ def plan_fixes(parsed: DataFrame, repo_slug: str, maintainer: str = "maintainer"
         text("status").alias("raw_status"),
         F.coalesce(text("title"), derive_title(F.col("body"), path)).alias("title"),
         derive_date(
-            path, F.date_format(F.timestamp_millis(F.col("mtime_ms").cast("long")), "yyyy-MM-dd"),
+            path, day_of(F.col("mtime_ms")),
             ["created", "date", "decided_on", "last_reviewed", "started_at"], "migrate").alias("created"),
     )
     note_type, _ = resolve_note_type(F.col("raw_type"), path, anywhere=False)

@@ -262,6 +262,12 @@ def derive_summary(body: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(prose, lambda p: p != ""), F.lit(1)), F.lit(""))
 
 
+def day_of(mtime_ms: Column) -> Column:
+    """UTC day of a time in milliseconds, whatever the session time zone."""
+    days = F.floor(mtime_ms / 86_400_000).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")
+
+
 DATE_PREFIX = r"^(\d{4}-\d{2}-\d{2})\b"
 
 
@@ -302,7 +308,7 @@ def index_notes(parsed: DataFrame, prefix: str = "vault/") -> DataFrame:
         text("id").alias("given_id"),
         F.coalesce(text("title"), derive_title(F.col("body"), path)).alias("title"),
         F.coalesce(text("summary"), derive_summary(F.col("body"))).alias("summary"),
-        F.date_format(F.timestamp_millis(F.col("mtime_ms").cast("long")), "yyyy-MM-dd").alias("fallback_date"),
+        day_of(F.col("mtime_ms")).alias("fallback_date"),
     )
     t, t_norm = resolve_note_type(F.col("legacy_type"), path)
     typed = staged.withColumn("type", t).withColumn("type_normalized", t_norm).withColumn(

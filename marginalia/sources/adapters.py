@@ -137,7 +137,7 @@ def to_retrieval_events(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         F.col("event_id"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         F.when(kind == "view", "memory_search")
         .when(kind == "purchase", "memory_unfold")
         .otherwise("memory_context").alias("tool"),
@@ -326,7 +326,7 @@ def markdown_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n---\n"),
     )
     folder = cycle(["03 Sessions", "04 Tasks", "specs", "misc"], cid)
-    return turns.select(
+    return spread(turns).select(
         F.concat(folder, F.lit("/conv-"), cid, F.lit(".md")).alias("path"),
         F.concat(front, body).alias("content"),
         (cid * 1000 + 1704067200000).cast("double").alias("mtime_ms"),

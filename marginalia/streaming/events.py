@@ -6,16 +6,15 @@ lost executor or driver resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marginalia.operators.board import todo_state
 from marginalia.operators.usage import _keys, searches, unfolds
-from marginalia.sources.files import EVENT_SCHEMA
+from marginalia.sources.files import EVENT_SCHEMA, table_or_none
 
 
 def stream_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, fmt: str = "json") -> DataFrame:
@@ -63,43 +62,34 @@ def latest(candidates: DataFrame) -> DataFrame:
     ).select("event_id", "b.search_id", "b.rank")
 
 
-ITEM_STATE = "gone boolean, title string, completed boolean, added_seq bigint"
+def todo_state_stream(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """STR3: fold each micro-batch of list events into a state table under ``folder``.
 
+    The state after batch n is the fold of the state after batch n - 1 (its
+    items as additions that carry their flag) and the batch, all as joins and
+    aggregates: no list is held in one task, however busy.  A batch that is run
+    again writes the same version again.  Batches follow the order of the log.
+    """
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("list_id", "seq", "kind", "item_id", "title", F.lit(False).alias("completed"))
+        before = table_or_none(spark, f"{folder}/version={batch_id - 1}")
+        if before is not None:
+            rows = before.select(
+                "list_id", F.col("added_seq").alias("seq"), F.lit("added").alias("kind"), "item_id", "title", "completed"
+            ).unionByName(rows)
+        todo_state(rows).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
 
-def _apply(state: tuple, events: pd.DataFrame) -> tuple:
-    """One item's state after its events, in order."""
-    gone, title, done, added = state
-    for kind, seq, text in zip(events["kind"], events["seq"], events["title"]):
-        if kind == "added" and gone and isinstance(text, str) and text.strip():
-            gone, title, done, added = False, text.strip(), False, int(seq)
-        elif kind == "toggled" and not gone:
-            done = not done
-        elif kind == "deleted":
-            gone, title, done, added = True, None, False, -1
-    return gone, title, done, added
-
+    return (
+        events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
-def todo_state_stream(events: DataFrame) -> DataFrame:
-    """STR3: running state per list item: one update row per item and batch.
 
-    State is keyed by item and holds four values, so a busy list spreads over
-    many tasks.  List resets concern every item of a list; they are stored
-    apart and applied with ``apply_resets``.
-    """
-    schema = "list_id string, item_id string, gone boolean, title string, completed boolean, added_seq bigint, seq bigint"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get if state.exists else (True, None, False, -1)
-        last = -1
-        for pdf in batches:
-            pdf = pdf.sort_values("seq")
-            current = _apply(current, pdf)
-            last = max(last, int(pdf["seq"].max()))
-        state.update(current)
-        yield pd.DataFrame([(*key, *current, last)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return events.filter(F.col("kind").isin("added", "toggled", "deleted")).groupBy("list_id", "item_id").applyInPandasWithState(
-        step, schema, ITEM_STATE, "update", GroupStateTimeout.NoTimeout)
+def todo_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest state version."""
+    every = spark.read.parquet(folder)
+    newest = every.agg(F.max("version").alias("v")).first()["v"]
+    return every.filter(F.col("version") == newest).drop("version")
 
 
 def stream_changes(notes: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
