@@ -160,7 +160,7 @@ def lex_term_df(spark, sf):
 def _parts(spark, sf):
     queries = A.queries(spark, sf)
     plans = materialise(Q.plan_queries(queries))
-    corpus = A.corpus(spark, sf)
+    corpus = materialise(A.corpus(spark, sf))
     terms = plans.select(F.explode("terms").alias("term")).distinct()
     index = lexical.build_lexical_index(corpus, terms)
     index.postings = materialise(index.postings)

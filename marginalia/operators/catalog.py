@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
-from marginalia.functions.joins import contains_pairs, lower_strip, small
+from marginalia.functions.joins import contains_pairs, lower_strip, materialise, small
 from marginalia.functions.text import catalog_tokens, lookup, pick, strings, strip
 from marginalia.operators.queries import expand_catalog_query
 
@@ -110,7 +110,8 @@ def rank_catalog(evidence: DataFrame, key: str = "task_id") -> DataFrame:
 
 def route_tasks(tasks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CAT5: ``(routes, secondary)``: one row per task, and its secondary entries as rows."""
-    scored = activation(route_evidence(tasks, catalog))
+    # Read by every step below.
+    scored = materialise(activation(route_evidence(tasks, catalog)))
     order = F.struct((-F.col("evidence")).alias("e"), "activation", tier_rank(F.col("tier")).alias("t"), "id")
     best = scored.filter(F.col("evidence") > 0).groupBy("task_id").agg(
         F.min_by(F.struct("id", "tier", "evidence", "activation", "reasons", "policy_reasons"), order).alias("b"))
@@ -129,7 +130,7 @@ def route_tasks(tasks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFr
     ahead = F.col("b").isNotNull() & (
         (F.col("b.evidence") > 0.5)
         | ((F.col("b.evidence") == 0.5) & (F.col("b.activation") == 0) & (F.col("b.tier") == "daily") & (F.col("b.id") < daily)))
-    chosen = (
+    chosen = materialise(
         with_best.join(touched.select("task_id", "touched"), "task_id", "left")
         .withColumn("p", F.when(ahead | daily.isNull(), F.col("b")).otherwise(floor))
         .withColumn("primary", F.coalesce("p.id", F.lit(P.ROUTE_FALLBACK)))

@@ -87,7 +87,8 @@ def build_corpus(chunks: DataFrame, notes: DataFrame, vectors: DataFrame | None
     )
     empty = F.array().cast("array<string>")
     t = normal_type(F.coalesce("type", "note_type"))
-    out = chunks.join(n, "note_id", "left").select(
+    c = chunks.select("chunk_id", "note_id", "source_path", "heading", "text", "summary", "type", "status")
+    out = c.join(n, "note_id", "left").select(
         "chunk_id",
         "note_id",
         source_file_of(F.col("source_path")).alias("source_file"),

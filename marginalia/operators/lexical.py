@@ -127,8 +127,8 @@ def query_terms(plans: DataFrame) -> DataFrame:
     return plans.select("query_id", F.explode("terms").alias("term"))
 
 
-def bm25(plans: DataFrame, index: LexicalIndex) -> DataFrame:
-    """LEX2: ``(query_id, chunk_id, bm25)`` for every chunk with a query term.
+def bm25_parts(plans: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``(query_id, chunk_id, score)`` per query term and chunk.
 
     Queries are joined to their ``df`` first: that is a vocabulary-sized join.
     The large postings are then read once and never sorted as long as the query
@@ -136,12 +136,13 @@ def bm25(plans: DataFrame, index: LexicalIndex) -> DataFrame:
     """
     terms = query_terms(plans)
     weighted = index.term_df.join(small(terms), "term")
-    return (
-        index.postings.join(small(weighted), "term")
-        .select("query_id", "chunk_id", bm25_weight(index).alias("w"))
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("w").alias("bm25"))
-    )
+    return index.postings.join(small(weighted, like=terms), "term").select(
+        "query_id", "chunk_id", bm25_weight(index).alias("score"))
+
+
+def bm25(plans: DataFrame, index: LexicalIndex) -> DataFrame:
+    """LEX2: ``(query_id, chunk_id, bm25)`` for every chunk with a query term."""
+    return bm25_parts(plans, index).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("bm25"))
 
 
 # --- boosts -------------------------------------------------------------------
@@ -269,9 +270,9 @@ LEXICAL_ORDER = ["source_file", "heading", "chunk_id"]
 def lexical_scores(
     plans: DataFrame, index: LexicalIndex, corpus: DataFrame,
 ) -> DataFrame:
-    """BM25 plus phrase and identity boosts, before any filter."""
+    """BM25 plus phrase and identity boosts, before any filter: one shuffle for all parts."""
     parts = (
-        bm25(plans, index).select("query_id", "chunk_id", F.col("bm25").alias("score"))
+        bm25_parts(plans, index)
         .unionByName(phrase_boosts(plans, corpus).select("query_id", "chunk_id", F.col("boost").alias("score")))
         .unionByName(identity_boosts(plans, corpus).select("query_id", "chunk_id", F.col("boost").alias("score")))
     )

@@ -102,11 +102,10 @@ def _endings_off(token: str) -> str:
 
 def _spots(name: str, weight: int, dims: int) -> list[tuple[int, int]]:
     """The three ``(dimension, amount)`` contributions of one feature."""
-    at = {}
-    for kind, seed in P.HASH_SEEDS.items():
-        h = seed
-        for byte in name.encode():
-            h = ((h ^ byte) * P.FNV_PRIME) & 0xFFFFFFFF
+    at, codes, prime = {}, name.encode(), P.FNV_PRIME
+    for kind, h in P.HASH_SEEDS.items():
+        for byte in codes:
+            h = ((h ^ byte) * prime) & 0xFFFFFFFF
         at[kind] = h
     sign = 1 if at["sign"] % 2 == 0 else -1
     return [
@@ -137,17 +136,18 @@ class _TokenVectors:
         if at is not None:
             return at
         w, short = P.FEATURE_WEIGHT_400, _endings_off(token)
-        spots = _spots(token, w["token"], self.dims)
+        parts = [_spots(token, w["token"], self.dims)]
         if short and short != token:
-            spots = spots + _spots(short, w["stem"], self.dims)
-        for alias in ALIAS_GROUPS.get(token, ALIAS_GROUPS.get(short, [])):
+            parts.append(_spots(short, w["stem"], self.dims))
+        for alias in ALIAS_GROUPS.get(token, ALIAS_GROUPS.get(short, ())):
             if alias != token:
-                spots = spots + self._feature(alias, w["alias"])
+                parts.append(self._feature(alias, w["alias"]))
         for i in range(max(1, len(token) - 2)):
-            spots = spots + self._feature("tri:" + token[i:i + 3], w["trigram"])
+            parts.append(self._feature("tri:" + token[i:i + 3], w["trigram"]))
         total = [0] * self.dims
-        for dim, amount in spots:
-            total[dim] += amount
+        for spots in parts:
+            for dim, amount in spots:
+                total[dim] += amount
         at = len(self.rows)
         if at == len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])

@@ -91,14 +91,17 @@ def lexical_terms(queries: DataFrame) -> DataFrame:
 def build_search_index(
     corpus: DataFrame, edges: DataFrame, queries: DataFrame | None = None, with_vectors: bool = True,
 ) -> SearchIndex:
-    """Index straight from a corpus, without written tables.
+    """Index straight from a corpus.
 
-    Given the queries, only postings of their terms are made.
+    The corpus, with its vectors, is written once in columns: a search reads it
+    several times and mostly without the texts.  Given the queries, only
+    postings of their terms are made.
     """
+    docs = materialise(vectors.embed_chunks(corpus) if with_vectors else corpus)
     terms = materialise(lexical_terms(queries)) if queries is not None else None
-    lex = lexical.build_lexical_index(corpus, terms)
+    rows = lexical.postings(docs, terms)
     if terms is not None:
-        lex.postings = materialise(lex.postings)
-        lex.term_df = lex.postings.groupBy("term").agg(F.count("*").alias("df"))
-    docs = vectors.embed_chunks(corpus) if with_vectors else corpus
-    return SearchIndex(docs, edges, lex, "ready" if with_vectors else "missing")
+        rows = materialise(rows)
+    index = lexical.index_from_tables(
+        rows, rows.groupBy("term").agg(F.count("*").alias("df")), lexical.field_stats(docs))
+    return SearchIndex(docs, edges, index, "ready" if with_vectors else "missing")
