@@ -33,7 +33,8 @@ def split_frontmatter(df: DataFrame, content: str = "content") -> DataFrame:
 def parse_frontmatter(df: DataFrame) -> DataFrame:
     """PRJ2: add ``fm_json, keys, kinds, texts, lists`` and ``parse_error`` (code or NULL)."""
     return (
-        df.withColumn("p", read_blocks("block"))
+        # Marked so that filters on its result do not run it a second time.
+        df.withColumn("p", read_blocks.asNondeterministic()("block"))
         .withColumn(
             "parse_error",
             F.when(F.col("block").isNull(), "frontmatter.missing_block")

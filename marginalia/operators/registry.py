@@ -43,7 +43,7 @@ def build_registry(
     """
     out, inbound = link_lists(links, notes)
     n_out = out.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("n_outbound"))
-    n_in = inbound.groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("n_inbound"))
+    n_in = inbound.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("n_inbound"))
     lists = chunks.groupBy(F.col("note_id").alias("id")).agg(
         F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))).alias("c"),
         F.sum(F.length("text")).alias("text_length"),

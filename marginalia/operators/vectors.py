@@ -180,7 +180,8 @@ def hash_embed(df: DataFrame, tokens_col: str, out_col: str = "values", dims: in
         for batch in batches:
             yield pd.Series([store.text_vector(tokens) for tokens in batch])
 
-    return df.withColumn(out_col, embed(F.col(tokens_col)))
+    # Marked so that the planner neither repeats it nor moves it below a shuffle.
+    return df.withColumn(out_col, embed.asNondeterministic()(F.col(tokens_col)))
 
 
 # --- VEC4: what is embedded ---------------------------------------------------

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from marginalia.operators import board as B
 from marginalia.operators import catalog as C
 from marginalia.operators import governance as G
@@ -182,3 +180,32 @@ def test_write_duplicates(spark):
     p = spark.createDataFrame([(1, "todo", "FIX IT", "NOW"), (2, "todo", "new", "other"), (3, "todo", "new", "")], "k int, type string, title string, summary string")
     got = {r.k: (r.n_exact, r.n_heuristic, r.verdict) for r in G.find_duplicates(p, reg).collect()}
     assert got == {1: (1, 1, "reject"), 2: (0, 1, "review"), 3: (0, 0, "accept")}
+
+
+def test_use_signals_with_one_hot_key_equal_brute_force(spark):
+    """A third of all events concern one chunk; results stay whole and exact."""
+    import random
+
+    rnd = random.Random(7)
+    rows, plain = [], []
+    for i in range(600):
+        t = at(i * 0.37)
+        key = "hot" if rnd.random() < 0.34 else f"k{rnd.randrange(40)}"
+        if rnd.random() < 0.5:
+            shown = [key, f"k{rnd.randrange(40)}", key]
+            rows.append((i, t, "memory_search", f"q{i}", [(n + 1, c, f"v/{c}", ["lexical"]) for n, c in enumerate(shown)], None))
+            plain.append((i, t, shown, None))
+        else:
+            rows.append((i, t, "memory_unfold", None, None, (key, None)))
+            plain.append((i, t, None, key))
+    want = {}
+    for i, t, _, key in plain:
+        if key is not None:
+            for j, u, shown, _ in reversed(plain[:i]):
+                if shown and key in shown:
+                    want[i] = (j, shown.index(key) + 1)
+                    break
+    df = spark.createDataFrame(rows, EVENTS).repartition(7)
+    for width in (600, 7200):
+        got = {r.event_id: (r.search_id, r["rank"]) for r in U.use_signals(df, width).collect()}
+        assert got == want
