@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, minhash, quality, topk
+from marginalia.llm import decontaminate, minhash, quality, secrets, topk
 from marginalia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op5(spark, sf_dir):
 @register("op6_benchmark_decontamination")
 def op6(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_secret_scans")
+def op8(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
