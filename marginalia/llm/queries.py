@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, minhash, quality, secrets, topk
+from marginalia.llm import decontaminate, minhash, pieces, quality, secrets, topk
 from marginalia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op6(spark, sf_dir):
 @register("op8_secret_scans")
 def op8(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op2_sentencepiece")
+def op2(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
