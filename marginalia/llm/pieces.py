@@ -67,7 +67,8 @@ def load(path: str = MODEL) -> Vocabulary:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     merges = model.trainer_spec.model_type == 2
-    score = (lambda x: -math.log(1 - max(x, -1e6)) - COST) if merges else float
+    raw = (lambda x: -math.log(1 - max(x, -1e6)) - COST) if merges else float
+    score = lambda x: round(raw(x) * 2**20) / 2**20  # noqa: E731  sums of these are exact, so equal paths tie
     normal = {p.piece: (i, score(p.score)) for i, p in enumerate(model.pieces) if p.type in (1, 4)}
     byte_ids = [0] * 256
     for i, p in enumerate(model.pieces):
@@ -80,7 +81,7 @@ def load(path: str = MODEL) -> Vocabulary:
         signs -= bad
     s = re.escape("".join(sorted(signs)))
     return Vocabulary(
-        normal, [p.piece if p.type in (1, 4) else "" for p in model.pieces], byte_ids, min(s for _, s in normal.values()) - 10,
+        normal, [p.piece if p.type in (1, 4) else "" for p in model.pieces], byte_ids, min(s for _, s in normal.values()) - 10.0,
         max(map(len, normal)), model.normalizer_spec.add_dummy_prefix, f"{BLANK}+[{s}]*[^{BLANK}{s}]*|[{s}]+[^{BLANK}{s}]*|[^{BLANK}{s}]+")
 
 
