@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, decontaminate, licenses, minhash, pieces, quality, secrets, topk
+from marginalia.llm import chat, decontaminate, licenses, minhash, pieces, quality, secrets, topk, urls
 from marginalia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op1(spark, sf_dir):
 @register("op7_license_scans")
 def op7(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op4_url_filters")
+def op4(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
