@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, decontaminate, licenses, minhash, pieces, quality, secrets, topk, urls
+from marginalia.llm import chat, decontaminate, html, licenses, minhash, pieces, quality, secrets, topk, urls
 from marginalia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op7(spark, sf_dir):
 @register("op4_url_filters")
 def op4(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op3_html_extraction")
+def op3(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
