@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from entries import sql as S
 from entries.retrieval import bar
 from marginalia import policy as P
+from marginalia.functions.joins import shared_folder
 from marginalia.functions.text import strings
 from marginalia.operators import board as B
 from marginalia.operators import catalog as C
@@ -96,7 +97,7 @@ def rpt_usage_report(spark, sf):
 # --- evaluation ---------------------------------------------------------------
 
 _RES = """SELECT source AS query_id, lang AS mode, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rank, doc_id, 'doc-' || doc_id AS chunk_id,
-  'vault/' || source || '/' || doc_id || '.md' AS source_file, substr(text, 1, 20) AS heading, n_chars FROM documents"""
+  'vault/' || source || '/' || doc_id || '.md' AS source_file, split_part(text, chr(10), 1) AS heading, n_chars FROM documents"""
 
 
 def _results(spark, sf):
@@ -104,8 +105,8 @@ def _results(spark, sf):
 
     d = A.table(spark, sf, "documents").select(
         F.concat_ws(":", "source", "lang").alias("query_id"), "source", "lang", "n_chars", "doc_id", F.concat(F.lit("doc-"), "doc_id").alias("chunk_id"),
-        F.concat(F.lit("vault/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("source_file"), F.substring("text", 1, 20).alias("heading"))
-    return top_pool(d, 20, F.desc("n_chars"), "doc_id")
+        F.concat(F.lit("vault/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("source_file"), F.substring_index("text", "\n", 1).alias("heading"))
+    return top_pool(d, None, F.desc("n_chars"), "doc_id")
 
 
 @register("evl_judged_retrieval", S.with_([("r", _RES), ("best", "SELECT query_id, min(chunk_id) FILTER (n_chars = m) AS expected FROM (SELECT *, max(n_chars) OVER (PARTITION BY query_id) AS m FROM r) GROUP BY ALL"),
@@ -120,7 +121,7 @@ def evl_judged_retrieval(spark, sf):
 
 
 @register("evl_hits_at_k", S.with_([("r", _RES)], """
-SELECT query_id || ':' || mode AS query_id, '/' || doc_id || '.md' AS expected_path, rank <= 3 AS passed FROM r WHERE rank <= 20"""))
+SELECT query_id || ':' || mode AS query_id, '/' || doc_id || '.md' AS expected_path, rank <= 3 AS passed FROM r"""))
 def evl_hits_at_k(spark, sf):
     r = _results(spark, sf)
     j = r.select("query_id", F.concat(F.lit("/"), "doc_id", F.lit(".md")).alias("expected_path"), F.when(F.col("rank") % 2 == 0, F.col("heading")).alias("expected_heading"))
@@ -564,12 +565,7 @@ def prj_playback(spark, sf):
 
 def scratch(spark):
     """A fresh folder beside the checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base}/scratch-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def _raw_stream(spark, sf):

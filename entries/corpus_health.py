@@ -55,7 +55,7 @@ def prj_catalog_tokens(spark, sf):
 
 
 _GOV_SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-_HEAD = "substr(text, 1, 90)"
+_HEAD = "text"
 
 
 @register("prj_slugs", f"""
@@ -63,7 +63,7 @@ SELECT doc_id, {_GOV_SLUG.format(_HEAD)} AS governance, substr({_GOV_SLUG.format
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_HEAD}), '[`''"“”‘’().,:/]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS board,
   lower({S.collapse("regexp_replace(" + _HEAD + ", '[—–-]', ' ', 'g')")}) AS comparable FROM documents""")
 def prj_slugs(spark, sf):
-    h = F.substring("text", 1, 90)
+    h = F.col("text")
     return A.table(spark, sf, "documents").select("doc_id", *[T.slugify(h, s).alias(s) for s in ("governance", "story", "board", "comparable")])
 
 
@@ -174,7 +174,7 @@ SELECT n.id, n.path AS path, count(*) AS n_chunks, array_to_string(list({_CHUNK_
 FROM n JOIN c ON c.note_id = n.id GROUP BY ALL"""))
 def src_index_build(spark, sf):
     idx = I.build_index(A.markdown_notes(spark, sf))
-    return idx.notes.select("id", F.substring("path", 7, 500).alias("path"), F.size("chunk_ids").cast("long").alias("n_chunks"), bar("chunk_ids").alias("chunk_ids"), "validation_status")
+    return idx.notes.select("id", F.substring("path", F.lit(7), F.length("path")).alias("path"), F.size("chunk_ids").cast("long").alias("n_chunks"), bar("chunk_ids").alias("chunk_ids"), "validation_status")
 
 
 @register("src_index_manifest", S.with_(_CHUNK_CTES, "SELECT (SELECT count(*) FROM n) AS notes, (SELECT count(*) FROM c) AS chunks, 'talk' AS repo_slug"))

@@ -208,7 +208,7 @@ def lex_phrase_boosts(spark, sf):
 
 
 NAMED = """SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN 'Doc-' || doc_id WHEN 1 THEN 'Vault/' || source || '/' || lang || '/' || doc_id || '.md'
-  WHEN 2 THEN upper(lang) ELSE ' ' || substr(split_part(text, chr(10), 1), 1, 60) || ' ' END AS query FROM documents"""
+  WHEN 2 THEN upper(lang) ELSE ' ' || split_part(text, chr(10), 1) || ' ' END AS query FROM documents"""
 
 
 @register("lex_identity_boosts", S.with_([("notes", S.NOTES), ("corpus", S.CORPUS), ("queries", NAMED), *S.plans(), ("pairs", """
@@ -221,7 +221,7 @@ def lex_identity_boosts(spark, sf):
     named = d.select(did.alias("query_id"), F.when(did % 4 == 0, F.concat(F.lit("Doc-"), did))
                      .when(did % 4 == 1, F.concat(F.lit("Vault/"), "source", F.lit("/"), "lang", F.lit("/"), did, F.lit(".md")))
                      .when(did % 4 == 2, F.upper("lang"))
-                     .otherwise(F.concat(F.lit(" "), F.substring(F.substring_index("text", "\n", 1), 1, 60), F.lit(" "))).alias("query"))
+                     .otherwise(F.concat(F.lit(" "), F.substring_index("text", "\n", 1), F.lit(" "))).alias("query"))
     b = lexical.identity_boosts(Q.plan_queries(named), A.corpus(spark, sf))
     return b.select("query_id", "chunk_id", "boost", bar("reasons").alias("reasons"))
 
@@ -241,7 +241,7 @@ SELECT query_id, chunk_id, sum(s) AS score FROM (
     + 6.0 * (contains(p.needle, 'session') AND c.type = 'session')::INT
     + 6.0 * (contains(p.needle, 'architecture') AND c.type = 'architecture-record')::INT FROM plans p, corpus c
 ) GROUP BY ALL"""
-TOPICAL = f"SELECT item_id AS query_id, {S.cycle(['decision about', 'session on', 'architecture of', 'todo'], 'item_id')} || ' ' || array_to_string(({S.tok('text')})[1:3], ' ') AS query FROM benchmark"
+TOPICAL = f"SELECT item_id AS query_id, {S.cycle(['decision about', 'session on', 'architecture of', 'todo'], 'item_id')} || ' ' || array_to_string({S.tok('text')}, ' ') AS query FROM benchmark"
 
 
 @register("lex_heuristic", S.with_([("notes", S.NOTES), ("corpus", S.CORPUS), ("queries", TOPICAL), *S.plans(), ("boosts", S.BOOSTS),
@@ -250,7 +250,7 @@ TOPICAL = f"SELECT item_id AS query_id, {S.cycle(['decision about', 'session on'
 def lex_heuristic(spark, sf):
     b = A.table(spark, sf, "benchmark")
     q = b.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", A.cycle(["decision about", "session on", "architecture of", "todo"], F.col("item_id")),
-                 F.slice(tokenize("text"), 1, 3)).alias("query"))
+                 *[F.concat_ws(" ", tokenize("text"))]).alias("query"))
     d = lexical.heuristic_lexical(materialise(Q.plan_queries(q)), A.corpus(spark, sf), pool=15)
     return d.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
@@ -280,12 +280,12 @@ def flt_scoped_search(spark, sf):
 SELECT (event_id % 50) AS query_id, json_extract_string(props, '$.k') AS note_id, 'c' || event_id AS chunk_id, value AS score FROM events"""),
     ("r", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM base_rows")],
     """SELECT query_id, chunk_id, rank, round(score - 3.0 * (row_number() OVER (PARTITION BY query_id, note_id ORDER BY rank) - 1), 3) AS score
-    FROM r WHERE rank <= 100"""))
+    FROM r"""))
 def lex_duplicate_penalty(spark, sf):
     e = A.table(spark, sf, "events").select(
         (F.col("event_id") % 50).alias("query_id"), F.get_json_object("props", "$.k").alias("note_id"),
         F.concat(F.lit("c"), "event_id").alias("chunk_id"), F.col("value").alias("score"))
-    top = lexical.top_pool(e, 100, F.desc("score"), F.col("chunk_id"))
+    top = lexical.top_pool(e, None, F.desc("score"), F.col("chunk_id"))
     return lexical.duplicate_penalty(top).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 

@@ -56,8 +56,8 @@ SELECT d.doc_id, 'doc-' || d.doc_id AS id,
   {cycle(P.NOTE_STATUSES, 'd.doc_id')} AS status,
   d.source AS repo_slug,
   'vault/' || d.source || '/' || d.lang || '/' || d.doc_id || '.md' AS path,
-  substr(split_part(d.text, chr(10), 1), 1, 60) AS title,
-  substr(d.text, 1, 120) AS summary,
+  split_part(d.text, chr(10), 1) AS title,
+  split_part(d.text, chr(10), 1) AS summary,
   d.lang AS tag, d.source AS keyword,
   strftime(DATE '2024-01-01' + (d.doc_id % 365)::INT, '%Y-%m-%d') AS updated,
   CASE WHEN l.quality = 0 THEN 'warning' ELSE 'ok' END AS validation_status,
@@ -72,7 +72,7 @@ SELECT *, 'chunk:' || id || ':0000:' || substr(sha256(text), 1, 8) AS chunk_id,
 FROM notes
 """
 
-QUERIES = f"SELECT item_id AS query_id, array_to_string(({tok('text')})[1:6], ' ') AS query FROM benchmark"
+QUERIES = f"SELECT item_id AS query_id, array_to_string({tok('text')}, ' ') AS query FROM benchmark"
 
 
 def plans(source: str = "queries", keys: str = "query_id") -> list[tuple[str, str]]:

@@ -11,16 +11,12 @@ import json
 import re
 
 import pandas as pd
+import yaml
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:
-    import yaml
-except ImportError:  # pragma: no cover - the flat reader below is used then
-    yaml = None
-
 # The C parser reads the same language several times faster.
-LOADER = yaml and getattr(yaml, "CBaseLoader", yaml.BaseLoader)
+LOADER = getattr(yaml, "CBaseLoader", yaml.BaseLoader)
 
 _INT = re.compile(r"[-+]?[0-9]+$")
 _FLOAT = re.compile(r"[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$")
@@ -56,24 +52,6 @@ def _value(node):
     return out
 
 
-def _flat(text: str):
-    """Key-value lines with flow lists; used only where the YAML package is missing."""
-    out = {}
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if line[0] in " -" or ":" not in line:
-            raise ValueError(f"Unsupported line: {line}")
-        key, raw = (part.strip() for part in line.split(":", 1))
-        if raw.startswith("[") and raw.endswith("]"):
-            out[key] = [_plain(x.strip().strip("'\"")) for x in raw[1:-1].split(",") if x.strip()]
-        elif len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"":
-            out[key] = raw[1:-1]
-        else:
-            out[key] = _plain(raw)
-    return out
-
-
 def _kind(value) -> str:
     if isinstance(value, str):
         return "string"
@@ -99,11 +77,8 @@ def _read(text: str | None) -> dict:
     if text is None:
         return out
     try:
-        if yaml is None:
-            value = _flat(text)
-        else:
-            node = yaml.compose(text, Loader=LOADER)
-            value = None if node is None else _value(node)
+        node = yaml.compose(text, Loader=LOADER)
+        value = None if node is None else _value(node)
     except Exception as err:  # any malformed block becomes an error row
         out["error"] = str(err).split("\n")[0]
         return out

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.text import words
 
@@ -48,13 +49,15 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on
-    one machine) is a scratch folder made.
+    Only a session on one machine that names neither gets a scratch folder; a
+    cluster without a shared folder is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     folder = named or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return folder
@@ -138,7 +141,7 @@ def candidate_pairs(
     anchored = materialise(_anchors(needles.select(needle_id, "needle")))
     kinds = {r["how"] for r in anchored.select("how").distinct().collect()}  # at most five
     if not kinds:
-        return haystacks.select(hay_id).join(needles.select(needle_id).limit(0)).limit(0)
+        return haystacks.sparkSession.createDataFrame([], T.StructType([haystacks.schema[hay_id], needles.schema[needle_id]]))
 
     hay_words = haystacks.select(
         hay_id, F.explode(F.array_distinct(words("hay"))).alias("anchor")

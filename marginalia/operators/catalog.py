@@ -163,8 +163,13 @@ def route_tasks(tasks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFr
     memory = text.rlike(P.ROUTE_MEMORY_PATTERN) | (F.col("primary") == "documentation-and-adrs") | yes("d")
     rules = pick((front, "frontend"), (infra, "agent-infrastructure"), (memory, "memory-note-routing"))
     why = F.array_distinct(F.concat("p.reasons", "p.policy_reasons"))
+    # The umbrella entry stands in for a task that matches nothing, with the reasons of its tier.
+    umbrella = catalog.filter(F.col("id") == P.ROUTE_FALLBACK).select("tier").first()
+    gates = {"explicit": ["explicit tier gating"], "quiet": ["quiet activation gate"]}
+    if umbrella is not None:
+        why = F.when(F.col("p").isNull(), strings(gates.get(umbrella["tier"], []))).otherwise(why)
     rationale = F.array(
-        F.when(F.col("p").isNull(), "No strong metadata match surfaced, so the umbrella workflow stays primary.").otherwise(
+        F.when(F.col("p").isNull() & F.lit(umbrella is None), "No strong metadata match surfaced, so the umbrella workflow stays primary.").otherwise(
             F.concat(F.lit("Primary skill `"), "primary", F.lit("` won from "),
                      F.when(F.size(why) > 0, F.array_join(why, ", ")).otherwise("evidence and tier policy"), F.lit("."))),
         F.lit("Secondary skills come from the primary skill profile and the next strongest registry matches."))
@@ -209,7 +214,8 @@ def term_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(q, term, weight)``: exact, prefix and fuzzy matches by equi-joins.
 
     Fuzzy: a word within d edits keeps at least one of d + 1 segments of the
-    query term, shifted by at most d; segments are five characters at most.
+    query term, shifted by at most d; vocabulary pieces have
+    the lengths of the segments asked for.
     """
     q = terms.select("q").distinct()
     length = F.length("q")
@@ -229,10 +235,10 @@ def term_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
                 F.col("q"), (F.floor(j * length / (F.col("d") + 1)) + 1).cast("int"),
                 (F.floor((j + 1) * length / (F.col("d") + 1)) - F.floor(j * length / (F.col("d") + 1))).cast("int")).alias("seg"),
         ))).alias("x")).select("q", "d", "x.at", "x.seg")
-    cuts = vocabulary.select("term", F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("term")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct(i.alias("pos"), F.substring(F.col("term"), i, k).alias("seg")))
-    ))).alias("x")).select("term", "x.pos", "x.seg").distinct()
+    sizes = pieces.select(F.length("seg").alias("k")).distinct()  # a seventh of the longest query term at most
+    cuts = vocabulary.join(F.broadcast(sizes), F.length("term") >= F.col("k")).select("term", "k", F.explode(
+        F.sequence(F.lit(1), F.length("term") - F.col("k") + 1)).alias("pos")).select(
+        "term", "pos", F.substring("term", F.col("pos"), F.col("k")).alias("seg"))
     near = (
         cuts.join(small(pieces), "seg")
         .filter((F.abs(F.col("pos") - F.col("at")) <= F.col("d")) & (F.abs(n - length) <= F.col("d")))

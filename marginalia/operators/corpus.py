@@ -73,10 +73,15 @@ def from_legacy_chunks(df: DataFrame) -> DataFrame:
 def build_corpus(chunks: DataFrame, notes: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """SRC4 / JON1: chunk left-joined to its note and, when given, its vector.
 
+    Of notes that share an id the one of the largest path counts, so that a chunk
+    stays one row.
+
     No broadcast hint: the note side grows with the corpus, so the planner
     decides from its real size.
     """
-    n = notes.select(
+    fields = [c for c in notes.columns if c != "id"]
+    single = notes.groupBy("id").agg(F.max_by(F.struct(fields), F.struct(F.col("path").isNotNull(), "path")).alias("n")).select("id", "n.*")
+    n = single.select(
         F.col("id").alias("note_id"),
         F.col("type").alias("note_type"),
         F.col("status").alias("note_status"),

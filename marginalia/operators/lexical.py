@@ -258,10 +258,11 @@ def pool_size(limit: int, retrieval_mode: str = "default") -> int:
     return max(limit * 5, limit + 4) if retrieval_mode == "quality" else max(limit * 3, limit)
 
 
-def top_pool(scored: DataFrame, pool: int, *order: Column) -> DataFrame:
-    """Rows of rank 1..pool per query, with the column ``rank``."""
+def top_pool(scored: DataFrame, pool: int | None, *order: Column) -> DataFrame:
+    """Rows of rank 1..pool per query (all without a pool), with the column ``rank``."""
     w = Window.partitionBy("query_id").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if pool is None else ranked.filter(F.col("rank") <= pool)
 
 
 LEXICAL_ORDER = ["source_file", "heading", "chunk_id"]

@@ -39,8 +39,11 @@ def vector_state(vector_mode: str, status: str) -> tuple[str, str | None]:
     return status, reasons.get(status, "vector_index_not_ready")
 
 
-def clamp_limit(limit: int | None) -> int:
-    return 5 if limit is None else max(1, min(20, int(limit)))
+def asked_limit(limit: int | None) -> int:
+    """The limit asked for, 5 without one; below 1 is an error."""
+    if limit is not None and int(limit) < 1:
+        raise ValueError(f"limit must be 1 or more: {limit}")
+    return 5 if limit is None else int(limit)
 
 
 def search(
@@ -54,7 +57,7 @@ def search(
     Thin hits are removed after ranking, so a query may return fewer than
     ``limit`` rows.
     """
-    limit = clamp_limit(limit)
+    limit = asked_limit(limit)
     pool = lexical.pool_size(limit, retrieval_mode)
     scope = dict(repo_slug=repo_slug, note_type=note_type, integrity_mode=integrity_mode)
     plans = materialise(plan_queries(queries.filter(F.trim("query") != "")))

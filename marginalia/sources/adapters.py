@@ -31,8 +31,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         cycle(P.NOTE_STATUSES, did).alias("status"),
         F.col("source").alias("repo_slug"),
         F.concat_ws("/", F.lit("vault"), "source", "lang", F.concat(did, F.lit(".md"))).alias("path"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
-        F.substring("text", 1, 120).alias("summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.substring_index("text", "\n", 1).alias("summary"),
         F.array("lang").alias("tags"),
         F.array("source").alias("keywords"),
         F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (did % 365).cast("int")),
@@ -95,11 +95,11 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query table: the first six search tokens of each benchmark item."""
+    """Query table: the search tokens of each benchmark item."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(
         F.col("item_id").alias("query_id"),
-        F.concat_ws(" ", F.slice(tokenize("text"), 1, 6)).alias("query"),
+        F.concat_ws(" ", tokenize("text")).alias("query"),
     )
 
 

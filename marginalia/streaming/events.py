@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators.board import todo_state
 from marginalia.operators.usage import _keys, searches, unfolds
-from marginalia.sources.files import EVENT_SCHEMA, table_or_none
+from marginalia.sources.files import EVENT_SCHEMA
 
 
 def stream_events(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, fmt: str = "json") -> DataFrame:
@@ -73,8 +73,9 @@ def todo_state_stream(events: DataFrame, folder: str, checkpoint: str) -> Stream
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("list_id", "seq", "kind", "item_id", "title", F.lit(False).alias("completed"))
-        before = table_or_none(spark, f"{folder}/version={batch_id - 1}")
-        if before is not None:
+        if batch_id > 0:
+            # Only the first batch starts from nothing; a missing version is an error.
+            before = spark.read.parquet(f"{folder}/version={batch_id - 1}")
             rows = before.select(
                 "list_id", F.col("added_seq").alias("seq"), F.lit("added").alias("kind"), "item_id", "title", "completed"
             ).unionByName(rows)

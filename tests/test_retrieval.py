@@ -10,7 +10,7 @@ from marginalia.functions.joins import materialise
 from marginalia.operators import corpus as C
 from marginalia.operators import fusion, lexical, vectors
 from marginalia.operators import queries as Q
-from marginalia.plans.search import SearchIndex, build_search_index, clamp_limit, search, vector_state
+from marginalia.plans.search import SearchIndex, asked_limit, build_search_index, search, vector_state
 
 NOTES = [
     ("plan", "spec", "active", "Typed memory plan", "Build typed memory."),
@@ -104,7 +104,9 @@ def test_vector_states_and_limits():
     assert vector_state("off", "ready") == ("disabled", "disabled_by_request")
     assert vector_state("auto", "missing") == ("missing", "vector_index_missing")
     assert vector_state("auto", "ready") == ("ready", None)
-    assert [clamp_limit(x) for x in (None, 0, 7, 99)] == [5, 1, 7, 20]
+    assert [asked_limit(x) for x in (None, 1, 7, 99)] == [5, 1, 7, 99]
+    with pytest.raises(ValueError):
+        asked_limit(0)
     assert (lexical.pool_size(5), lexical.pool_size(1, "quality")) == (15, 5)
 
 
