@@ -46,16 +46,14 @@ def _template(raw: str, names: bool = True) -> Column:
     """The template words of the array column ``raw``; names stay words without ``names``."""
     units = F.array(*[F.lit(u) for u in UNITS])
 
-    def numeric(w: Column) -> Column:
-        first = F.substring(w, 1, 1)
-        return F.lower(first) == F.upper(first)
+    def numeric(t: Column) -> Column:  # words are all letters or all digits
+        return F.substring(t, -1, 1).between("0", "9")
 
     def one(t: Column, i: Column) -> Column:
         first, w = F.substring(t, 1, 1), _word(t)
-        unit = (i > 0) & numeric(_word(F.get(F.col(raw), i - 1))) & F.array_contains(units, w)
         name = F.lit(names) & (i > 0) & (first != F.lower(first)) & (t != F.upper(t))
-        return (F.when(name, "<name>").when(first.between("0", "9") | numeric(w), "<number>")
-                .when(unit, "<unit>").otherwise(w))
+        unit = (i > 0) & numeric(F.get(F.col(raw), i - 1)) & F.array_contains(units, w)
+        return F.when(numeric(t), "<number>").when(name, "<name>").when(unit, "<unit>").otherwise(w)
 
     return F.transform(F.col(raw), one)
 
@@ -65,8 +63,9 @@ def windows(rows: DataFrame, keep: list[str], text: str, names: bool = True) ->
     words = rows.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     tpl = words.filter(F.size("raw") > 0).withColumn("tpl", _template("raw", names))
     starts = F.sequence(F.lit(0), F.greatest(F.size("tpl") - WINDOW, F.lit(0)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("tpl", i + k) for k in range(WINDOW)]))
-    return tpl.select(*keep, "raw", "tpl", F.posexplode(hashes).alias("at", "hash"))
+    each = tpl.withColumn("word_hash", F.transform("tpl", lambda w: F.xxhash64(w)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("word_hash", i + k) for k in range(WINDOW)]))
+    return each.select(*keep, "raw", "tpl", F.posexplode(hashes).alias("at", "hash"))
 
 
 def _cut(array: str, at: str) -> Column:
