@@ -573,6 +573,16 @@ def _raw_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
+def _in_batches(spark, sf, base, start, batches=3):
+    """Run a stream over the events as they arrive in several parts, in order of time; it resumes from its progress."""
+    events = A.table(spark, sf, "events")
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / batches for k in range(1, batches)]).alias("c")).first()["c"]
+    part = F.size(F.filter(F.lit(cuts), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    for k in range(batches):
+        events.filter(part == k).write.mode("append").parquet(f"{base}/in")
+        start(spark.readStream.schema(events.schema).parquet(f"{base}/in")).awaitTermination()
+
+
 @register("src_event_log", S.with_(_EV[:2], "SELECT event_id, event_type <> 'view' AS other, (SELECT count(*) FROM shown WHERE search_id = event_id) AS n_results FROM ev"))
 def src_event_log(spark, sf):
     out = scratch(spark) + "/log"
@@ -594,15 +604,15 @@ def str_ingest_events(spark, sf):
 @register("str_use_signals", S.with_(_EV, "SELECT event_id, search_id, rank FROM sig"))
 def str_use_signals(spark, sf):
     base = scratch(spark)
-    pairs = ST.stream_use_signals(A.to_retrieval_events(_raw_stream(spark, sf)), within="4000 days", lateness="4000 days")
-    ST.ingest(pairs, f"{base}/out", f"{base}/progress").awaitTermination()
+    _in_batches(spark, sf, base, lambda stream: ST.ingest(
+        ST.stream_use_signals(A.to_retrieval_events(stream)), f"{base}/out", f"{base}/progress"))
     return ST.latest(spark.read.parquet(f"{base}/out"))
 
 
 @register("str_todo_stream", S.with_(_TODO, "SELECT * FROM state"))
 def str_todo_stream(spark, sf):
     base = scratch(spark)
-    ST.todo_state_stream(A.to_todo_events(_raw_stream(spark, sf)), f"{base}/state", f"{base}/progress").awaitTermination()
+    _in_batches(spark, sf, base, lambda stream: ST.todo_state_stream(A.to_todo_events(stream), f"{base}/state", f"{base}/progress"))
     return ST.todo_snapshot(spark, f"{base}/state")
 
 

@@ -6,11 +6,13 @@ lost executor or driver resumes where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marginalia.operators.board import todo_state
 from marginalia.operators.usage import _keys, searches, unfolds
@@ -30,29 +32,41 @@ def ingest(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def stream_use_signals(events: DataFrame, *, within: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """STR2: ``(event_id, search_id)`` candidates: an unfold and each earlier search that showed its target.
-
-    A stream-stream join on the target key, bounded in time on both sides, so
-    state is dropped once it can match no more.  ``latest`` picks the newest
-    search per unfold from the sink.
+def _last_search(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Walk a key's events of one batch in order; the state is the last search that showed it."""
+    rows = pd.concat(list(frames)).sort_values(["time", "id", "rank"], ascending=[True, True, False], kind="stable")
+    held = state.get if state.exists else None
+    out = []
+    for r in rows.itertuples(index=False):
+        if r.search:
+            if held is None or (r.time, r.id, -r.rank) >= (held[0], held[1], -held[2]):
+                held = (r.time, r.id, r.rank)
+        elif held is not None and held[:2] < (r.time, r.id):
+            out.append((r.id, r.time, held[1], held[0], held[2]))
+    if held is not None:
+        state.update(tuple(int(x) for x in held))
+    yield pd.DataFrame(out, columns=["event_id", "unfold_time", "search_id", "search_time", "rank"]).astype("int64")
+
+
+def stream_use_signals(events: DataFrame) -> DataFrame:
+    """STR2: ``(event_id, search_id)`` candidates: an unfold and the latest earlier search that showed its target.
+
+    The state holds one search per target key, without a time bound, and every
+    unfold gives one row per key of its target at most; ``latest`` picks the newer
+    one from the sink.  Events of a key are expected in order across batches: an
+    unfold that comes after a newer search of its key was seen finds none.  Times
+    are microseconds.
     """
-    shown = (
-        searches(events).withWatermark("timestamp", lateness)
-        .select("event_id", "timestamp", F.explode("results").alias("r"))
-        .select(F.col("event_id").alias("search_id"), F.col("timestamp").alias("search_time"), F.col("r.rank").alias("rank"),
-                F.explode(_keys(F.col("r.chunk_id"), F.col("r.source_path"))).alias("key"))
-    )
-    asked = (
-        unfolds(events).withWatermark("timestamp", lateness)
-        .select("event_id", F.col("timestamp").alias("unfold_time"),
-                F.explode(_keys(F.col("target.chunk_id"), F.col("target.source_path"))).alias("unfold_key"))
-    )
-    return asked.join(
-        shown,
-        F.expr(f"unfold_key = key AND search_time <= unfold_time AND search_time >= unfold_time - INTERVAL {within}"),
-    ).filter("search_time < unfold_time OR search_id < event_id").select(
-        "event_id", "unfold_time", "search_id", "search_time", "rank")
+    time = F.unix_micros("timestamp").alias("time")
+    shown = searches(events).select("event_id", time, F.explode("results").alias("r")).select(
+        F.explode(_keys(F.col("r.chunk_id"), F.col("r.source_path"))).alias("key"), "time", F.col("event_id").alias("id"),
+        F.coalesce("r.rank", F.lit(0)).alias("rank"), F.lit(True).alias("search"))
+    asked = unfolds(events).select(
+        F.explode(_keys(F.col("target.chunk_id"), F.col("target.source_path"))).alias("key"), time, F.col("event_id").alias("id"),
+        F.lit(0).cast("long").alias("rank"), F.lit(False).alias("search"))
+    return shown.union(asked).groupBy("key").applyInPandasWithState(
+        _last_search, "event_id long, unfold_time long, search_id long, search_time long, rank long",
+        "time long, id long, rank long", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest(candidates: DataFrame) -> DataFrame:
