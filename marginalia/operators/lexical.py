@@ -13,6 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,31 +50,49 @@ def field_tokens() -> dict[str, Column]:
 
 def _tagged(tokens: Column, field: int) -> Column:
     return F.transform(
-        tokens, lambda t: F.struct(F.lit(field).cast("byte").alias("f"), t.alias("term"))
+        tokens, lambda t: F.struct(t.alias("term"), F.lit(field).cast("byte").alias("f"))
     )
 
 
+def _run_ends(array: str, same: Callable[[Column], Column]) -> Column:
+    """Positions of a sorted array after which ``same`` of the element changes."""
+    places = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: ~same(F.get(F.col(array), i)).eqNullSafe(same(F.get(F.col(array), i + 1))))
+
+
+def _before(ends: str, j: Column) -> Column:
+    return F.coalesce(F.get(F.col(ends), j - 1), F.lit(-1))
+
+
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """CHK3: ``(term, chunk_id)`` rows with ``tf_*`` and ``len_*`` per field.
 
-    With ``terms`` (a column ``term``) only those terms are kept.
+    A chunk is one row, so its tokens are sorted and counted inside the row and
+    nothing is shuffled.  With ``terms`` (a column ``term``) only those are kept.
     """
-    # Three steps: tokens are cut once per chunk, below the explode.
+    lens = [f"len_{f}" for f in FIELDS]
+    # Tokens are cut once per chunk, below the explode.
     cut = corpus.select("chunk_id", *[t.alias(f"t_{f}") for f, t in field_tokens().items()])
     packed = cut.select(
         "chunk_id",
         *[F.size(f"t_{f}").alias(f"len_{f}") for f in FIELDS],
-        F.flatten(F.array(*[_tagged(F.col(f"t_{f}"), i) for i, f in enumerate(FIELDS)])).alias("all"),
+        F.array_sort(F.flatten(F.array(*[_tagged(F.col(f"t_{f}"), i) for i, f in enumerate(FIELDS)]))).alias("all"),
     )
-    rows = packed.select(
-        "chunk_id", *[f"len_{f}" for f in FIELDS], F.explode("all").alias("x")
-    ).select("chunk_id", *[f"len_{f}" for f in FIELDS], "x.f", "x.term")
+    runs = packed.withColumn("ends", _run_ends("all", lambda x: x)).select(
+        "chunk_id", *lens,
+        F.transform("ends", lambda e, j: F.struct(
+            F.get("all", e)["term"].alias("term"), F.get("all", e)["f"].alias("f"), (e - _before("ends", j)).cast("long").alias("tf"))).alias("runs"))
+    by_term = runs.withColumn("ends", _run_ends("runs", lambda x: x["term"])).select(
+        "chunk_id", *lens,
+        F.explode(F.transform("ends", lambda e, j: F.slice("runs", _before("ends", j) + 2, e - _before("ends", j)))).alias("x"))
+
+    def tf(i: int) -> Column:
+        return F.coalesce(F.get(F.filter("x", lambda r: r["f"] == i), F.lit(0))["tf"], F.lit(0).cast("long"))
+
+    rows = by_term.select(F.get("x", F.lit(0))["term"].alias("term"), "chunk_id", "x", *lens)
     if terms is not None:
         rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("term", "chunk_id").agg(
-        *[F.sum((F.col("f") == i).cast("long")).alias(f"tf_{f}") for i, f in enumerate(FIELDS)],
-        *[F.first(f"len_{f}").alias(f"len_{f}") for f in FIELDS],
-    )
+    return rows.select("term", "chunk_id", *[tf(i).alias(f"tf_{f}") for i, f in enumerate(FIELDS)], *lens)
 
 
 def field_stats(corpus: DataFrame) -> DataFrame:

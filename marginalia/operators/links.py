@@ -105,12 +105,14 @@ def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     own = path_key(F.col("path"))
     folder = F.when(F.contains(own, F.lit("/")), F.regexp_replace(own, r"/[^/]*$", "")).otherwise("")
     relative = path_key(collapse_path(F.concat_ws("/", F.when(folder != "", folder), "wanted")))
+    # A key that does not apply names nothing; it is spread, as equal nulls would meet in one task.
+    nothing = F.concat(F.lit("\u0000"), F.xxhash64("from_id", "target").cast("string"))
     keyed = (
         links.withColumn("wanted", wanted)
         .withColumn("usable", (F.col("wanted") != "") & ~outside)
-        .withColumn("direct_key", F.when(F.col("usable"), path_key(F.col("wanted"))))
-        .withColumn("relative_key", F.when(F.col("usable") & is_md, relative))
-        .withColumn("title_key", F.when(F.col("usable") & ~is_md, title_key(F.col("wanted"))))
+        .withColumn("direct_key", F.when(F.col("usable"), path_key(F.col("wanted"))).otherwise(nothing))
+        .withColumn("relative_key", F.when(F.col("usable") & is_md, relative).otherwise(nothing))
+        .withColumn("title_key", F.when(F.col("usable") & ~is_md, title_key(F.col("wanted"))).otherwise(nothing))
     )
     rel = path_keys.select(F.col("by_path_key").alias("rel_key"), F.col("by_path").alias("by_rel"))
     return (
