@@ -209,3 +209,47 @@ def test_use_signals_with_one_hot_key_equal_brute_force(spark):
     for width in (600, 7200):
         got = {r.event_id: (r.search_id, r["rank"]) for r in U.use_signals(df, width).collect()}
         assert got == want
+
+
+def test_a_missing_state_version_is_an_error(spark, tmp_path):
+    import shutil
+
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    schema = "list_id string, seq bigint, kind string, item_id string, title string"
+    src, out = str(tmp_path / "src"), str(tmp_path / "state")
+    for n in range(2):
+        spark.createDataFrame([("l", n, "added", f"i{n}", "T")], schema).write.mode("append").parquet(src)
+        run = lambda: ST.todo_state_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "progress")).awaitTermination()
+        if n == 0:
+            run()
+            shutil.rmtree(f"{out}/version=0")
+        else:
+            with pytest.raises(StreamingQueryException):
+                run()
+
+
+def test_streamed_signals_have_no_time_bound(spark, tmp_path):
+    r = lambda c: [(1, c, f"v/{c}.md", ["lexical"])]
+    target = lambda c: (c, f"v/{c}.md")
+    parts = [[(1, at(0), "memory_search", "q", r("a"), None), (2, at(1), "memory_unfold", None, None, target("a"))],
+             [(3, at(5000), "memory_unfold", None, None, target("a")), (4, at(5001), "memory_search", "q", r("a"), None)],
+             [(n, at(n), "memory_unfold", None, None, target("a")) for n in range(6000, 6040)]]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for rows in parts:
+        frame = spark.createDataFrame(rows, EVENTS)
+        frame.write.mode("append").parquet(src)
+        ST.ingest(ST.stream_use_signals(spark.readStream.schema(frame.schema).parquet(src)), out, str(tmp_path / "progress")).awaitTermination()
+    written = spark.read.parquet(out)
+    got = {x.event_id: x.search_id for x in ST.latest(written).collect()}
+    assert got == {2: 1, 3: 1, **{n: 4 for n in range(6000, 6040)}}
+    assert written.count() == 2 * len(got)  # one row per key of the target
+
+
+def test_long_terms_match_within_six_edits(spark):
+    words = ["".join(chr(97 + (7 * i + n) % 26) for i in range(n)) for n in (30, 36, 41, 60)]
+    changed = ["".join("#" if i % (len(w) // 6) == 0 and i // (len(w) // 6) < 6 else c for i, c in enumerate(w)) for w in words]
+    found = C.term_matches(spark.createDataFrame([(c,) for c in changed], "q string"), spark.createDataFrame([(w,) for w in words], "term string"))
+    assert {(x.q, x.term) for x in found.collect()} == set(zip(changed, words))
+

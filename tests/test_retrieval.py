@@ -162,3 +162,14 @@ def test_context_skips_and_never_exceeds_the_budget(spark):
     assert r["items"] == ["c1", "c3"] and r.omitted == ["c2", "c4"] and r.truncated
     r = fusion.assemble_context(df, 2000, max_items=1).first()
     assert r["items"] == ["c1"] and not r.truncated and r.candidate_count == 4
+
+
+def test_repeated_note_ids_do_not_multiply_chunks(spark):
+    notes = spark.createDataFrame(
+        [("n", "spec", "active", "home", f"vault/{i}.md", f"T{i}", "s", ["t"], ["k"], "2026-01-01", "ok", 0.0, []) for i in range(5)],
+        "id string, type string, status string, repo_slug string, path string, title string, summary string, tags array<string>, "
+        "keywords array<string>, updated string, validation_status string, mtime_ms double, validation_issues array<string>")
+    chunks = spark.createDataFrame([(f"c{i}", "n", f"vault/{i}.md § H", "H", 0, "text", "s", "spec", "active") for i in range(5)],
+                                   "chunk_id string, note_id string, source_path string, heading string, heading_level int, text string, summary string, type string, status string")
+    rows = C.build_corpus(chunks, notes).collect()
+    assert len(rows) == 5 and {r.note_title for r in rows} == {"T4"}
