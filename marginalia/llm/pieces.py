@@ -196,7 +196,9 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
         for pdf in frames:
             yield pdf.assign(ids=[viterbi(w, vocab) for w in pdf["word"]])
 
-    short = words.filter(F.length("word") <= LONGEST)
+    # A word has some thirty edges, so that its partitions are cut smaller than those of the words.
+    n = 8 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = words.filter(F.length("word") <= LONGEST).repartition(n, "word")
     found = best_path(edges(short, vocab).join(short.hint("shuffle_hash"), "word", "right"), vocab)
     return found.union(words.filter(F.length("word") > LONGEST).mapInPandas(run, "word string, ids array<int>"))
 
