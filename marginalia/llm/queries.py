@@ -69,7 +69,8 @@ def op5(spark, sf_dir):
 
 @register("op6_benchmark_decontamination")
 def op6(spark, sf_dir):
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "exact")
 
 
 @register("op8_secret_scans")
