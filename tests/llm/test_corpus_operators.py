@@ -188,6 +188,26 @@ def test_near_copies_equal_all_pairs(spark, k, percent):
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
 
+def test_copies_inside_a_large_family(spark):
+    """121 texts on one template, all pairs just under the threshold but eleven: no lead of a star is in one."""
+    template, p = [f"t{i}" for i in range(610)], 11
+    texts, other = [], []
+    for a in range(p):  # edits lie on lines of an 11 x 11 grid, of which two share one place at most
+        for b in range(p):
+            text = list(template)
+            for x in range(9):
+                text[3 + 5 * (x * p + (a * x + b) % p)] = f"f{b}" if x == 0 and a < 2 else f"f{a}.{b}.{x}"
+            texts.append(text)
+            if a == 2 and b < 6:  # its edits stand in another family, so that it has no shingle of its own and leads
+                other += [w for i, y in enumerate(text) if y[0] == "f" for w in text[i - 2 : i + 3]]
+    texts += [[*other, *(f"g{i}.{j}" for j in range(60))] for i in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = sorted(components_by_hand(rows, 3, 85))
+    assert sum(i != c for i, _, c in want[: p * p]) == p
+    got = minhash.near_duplicates(docs_of(spark, rows), 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_no_documents_no_copies(spark):
     assert minhash.near_duplicates(docs_of(spark, []), 85).count() == 0
 
