@@ -1,19 +1,20 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
 Words become a template: numbers, names (capitalised inside a sentence) and units
-after a number turn into typed placeholders.  Items have their windows a second time with
-the names as words, for copies that lost their case.  Windows of five template words are
+after a number turn into typed placeholders.  Items and documents have their windows
+twice, with the names as placeholders and as words.  Windows of five template words are
 hash-joined with those of the benchmark items.  Matches on one diagonal (document
 position minus item position) belong to one passage; its slots must be filled
 consistently, one document value per item value and back, which admits
 re-parameterised questions and turns away chance hits on placeholders.  A document
 leaks an item when its consistent passages cover at least ``similarity`` of the
-item's windows.
+item's windows, of both kinds together or of those with placeholders for names.  Windows
+with fewer than two literal words count only where a document has the same words.
 
 Defined results.  Null and empty texts and items have no windows and match
 nothing.  Items or documents of fewer than five words are one window, so they only
-match each other whole.  Item windows with fewer than two literal words are not
-counted; an item left without windows matches nothing.  Repeated rows give the
+match each other whole.  Item windows of numbers alone are not counted; an item left
+without windows matches nothing.  Repeated rows give the
 same result once per distinct ``(doc_id, text)``; ids may be null.  Extra columns
 are ignored.
 """
@@ -42,30 +43,49 @@ def _word(raw: Column) -> Column:
     return F.lower(F.ltrim(raw, F.lit(MARKS)))
 
 
-def _template(raw: str, names: bool = True) -> Column:
-    """The template words of the array column ``raw``; names stay words without ``names``."""
+def _numeric(t: Column) -> Column:  # words are all letters or all digits
+    return F.substring(t, -1, 1).between("0", "9")
+
+
+def _template(raw: str) -> Column:
+    """The template words of the array column ``raw``, names as words."""
     units = F.array(*[F.lit(u) for u in UNITS])
 
-    def numeric(t: Column) -> Column:  # words are all letters or all digits
-        return F.substring(t, -1, 1).between("0", "9")
+    def one(t: Column, i: Column) -> Column:
+        w = _word(t)
+        unit = (i > 0) & _numeric(F.get(F.col(raw), i - 1)) & F.array_contains(units, w)
+        return F.when(_numeric(t), "<number>").when(unit, "<unit>").otherwise(w)
+
+    return F.transform(F.col(raw), one)
+
+
+def _named(raw: str, plain: str) -> Column:
+    """The template ``plain`` of ``raw`` with the names as placeholders."""
 
     def one(t: Column, i: Column) -> Column:
-        first, w = F.substring(t, 1, 1), _word(t)
-        name = F.lit(names) & (i > 0) & (first != F.lower(first)) & (t != F.upper(t))
-        unit = (i > 0) & numeric(F.get(F.col(raw), i - 1)) & F.array_contains(units, w)
-        return F.when(numeric(t), "<number>").when(name, "<name>").when(unit, "<unit>").otherwise(w)
+        first = F.substring(t, 1, 1)
+        name = (i > 0) & (first != F.lower(first)) & (t != F.upper(t)) & ~_numeric(t)
+        return F.when(name, "<name>").otherwise(F.get(F.col(plain), i))
 
     return F.transform(F.col(raw), one)
 
 
-def windows(rows: DataFrame, keep: list[str], text: str, names: bool = True) -> DataFrame:
-    """``keep, at, hash, raw, tpl``: one row per window start; ``raw`` and ``tpl`` are the whole word arrays."""
+def _joint(hashes: str, at: Column) -> Column:
+    """Hash of the window at ``at``; places beyond the end are not hashed."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(WINDOW)])
+
+
+def windows(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep, raw, plain, named, at, hash``: each window start once per hash of its two templates; the arrays are whole."""
     words = rows.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
-    tpl = words.filter(F.size("raw") > 0).withColumn("tpl", _template("raw", names))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("tpl") - WINDOW, F.lit(0)))
-    each = tpl.withColumn("word_hash", F.transform("tpl", lambda w: F.xxhash64(w)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("word_hash", i + k) for k in range(WINDOW)]))
-    return each.select(*keep, "raw", "tpl", F.posexplode(hashes).alias("at", "hash"))
+    tpl = words.filter(F.size("raw") > 0).withColumn("plain", _template("raw")).withColumn("named", _named("raw", "plain"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("raw") - WINDOW, F.lit(0)))
+    each = tpl.withColumns({f"{x}_hash": F.transform(x, lambda w: F.xxhash64(w)) for x in ("plain", "named")})
+    both = each.withColumns({f"{x}_hash": F.transform(starts, lambda i: _joint(f"{x}_hash", i)) for x in ("plain", "named")})  # noqa: B023
+    spot = lambda x, i: F.struct(i.alias("at"), F.get(f"{x}_hash", i).alias("hash"))
+    spots = F.flatten(F.transform(starts, lambda i: F.when(F.get("plain_hash", i) == F.get("named_hash", i), F.array(spot("plain", i))).otherwise(F.array(spot("plain", i), spot("named", i)))))
+    # One generator only, so that the whole arrays are not copied for each window.
+    return both.select(*keep, "raw", "plain", "named", F.explode(spots).alias("e")).select(*keep, "raw", "plain", "named", F.col("e.at").alias("at"), F.col("e.hash").alias("hash"))
 
 
 def _cut(array: str, at: str) -> Column:
@@ -78,27 +98,48 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     ``text_key`` is ``xxhash64(text)``; ``exact`` tells whether no slot was refilled.
     """
     literal = F.size(F.filter("item_tpl", lambda w: ~w.isin(*PLACEHOLDERS)))
-    texts = benchmark.select("item_id", F.col("text").alias("item_text"))
-    both = [windows(texts, ["item_id"], "item_text", names) for names in (True, False)]
-    items = (both[0].union(both[1]).select("item_id", F.col("at").alias("item_at"), "hash", _cut("raw", "at").alias("item_raw"), _cut("tpl", "at").alias("item_tpl"))
-             .filter(literal >= F.least(F.lit(2), F.size("item_tpl"))).distinct())
-    totals = items.groupBy("item_id").agg(F.count_distinct("item_at").alias("total"))
+    cut = windows(benchmark.select("item_id", F.col("text").alias("item_text")), ["item_id"], "item_text")
+    kinds = [cut.select("item_id", F.lit(x).alias("kind"), F.col("at").alias("item_at"), _cut("raw", "at").alias("item_raw"), _cut(x, "at").alias("item_tpl")) for x in ("named", "plain")]
+    each = kinds[0].union(kinds[1]).distinct().withColumn("_h", F.transform("item_tpl", lambda w: F.xxhash64(w))).withColumn("hash", _joint("_h", F.lit(0))).drop("_h")
+    strong = literal >= F.least(F.lit(2), F.size("item_tpl"))
+    same = F.lit("same")  # of weak windows, only those with the same words count
+    items = each.withColumn("kind", F.when(strong, F.col("kind")).when((F.col("kind") == "plain") & F.exists("item_raw", lambda t: ~_numeric(t)), same)).filter("kind IS NOT NULL")
+    at = lambda *of: F.count_distinct(F.when(F.col("kind").isin(*of), F.col("item_at")))
+    totals = items.groupBy("item_id").agg(at("named").alias("total_named"), at("named", "plain").alias("total"), at("named", "plain", "same").alias("total_all"))
     known = items.limit(BROADCAST_WINDOWS + 1).count()
     side = F.broadcast(items) if known <= BROADCAST_WINDOWS else items
+    doc_tpl = F.when(F.col("kind") == "named", _cut("named", "at")).otherwise(_cut("plain", "at"))
+    lower = lambda x: F.transform(x, _word)
     hits = (windows(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), ["doc_id", "text_key"], "text")
-            .join(side, "hash")
-            .select("doc_id", "text_key", "item_id", "item_at", "at", "item_tpl", "item_raw", _cut("raw", "at").alias("doc_raw"), _cut("tpl", "at").alias("doc_tpl"))
-            .filter("item_tpl = doc_tpl"))
+            .join(side, "hash").filter(F.col("item_tpl") == doc_tpl)
+            .select("doc_id", "text_key", "item_id", "kind", "item_at", "at", "item_tpl", "item_raw", _cut("raw", "at").alias("doc_raw"))
+            .filter((F.col("kind") != "same") | (lower(F.col("item_raw")) == lower(F.col("doc_raw")))))
     slots = F.filter(F.arrays_zip("item_tpl", "item_raw", "doc_raw"), lambda s: s["item_tpl"].isin(*PLACEHOLDERS))
     pair = F.transform(slots, lambda s: F.struct(_word(s["item_raw"]).alias("i"), _word(s["doc_raw"]).alias("d")))
-    passages = (hits.select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pair.alias("pair"))
+    per = lambda kind, c: F.collect_set(F.when(F.col("kind") == kind, F.col(c)))
+    flat = lambda kind: F.array_distinct(F.flatten(per(kind, "pair"))).alias(f"pair_{kind}")
+    passages = (hits.select("doc_id", "text_key", "item_id", "kind", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pair.alias("pair"))
                 .groupBy("doc_id", "text_key", "item_id", "diagonal")
-                .agg(F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pair")))
-    fills = lambda side: F.size(F.array_distinct(F.transform("pair", lambda p: p[side])))
-    steady = passages.filter((fills("i") == F.size("pair")) & (fills("d") == F.size("pair")))
-    covered = (steady.select("doc_id", "text_key", "item_id", F.forall("pair", lambda p: p["i"] == p["d"]).alias("exact"), F.explode("found").alias("w"))
-               .groupBy("doc_id", "text_key", "item_id").agg(F.count_distinct("w").alias("n"), F.min("exact").alias("exact")))
-    share = F.col("n") / F.col("total")
+                .agg(*[per(k, "item_at").alias(k) for k in ("named", "plain", "same")], flat("named"), flat("plain"))
+                .withColumn("pair_both", F.array_union("pair_named", "pair_plain")))
+
+    def steady(pairs: str) -> Column:
+        fills = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+        return (fills("i") == F.size(pairs)) & (fills("d") == F.size(pairs))
+
+    # A passage counts with both kinds of windows, or else with the kind whose slots are filled consistently.
+    state = passages.withColumn("both", steady("pair_both")).withColumns({f"ok_{k}": F.col("both") | steady(f"pair_{k}") for k in ("named", "plain")})
+
+    def counted(kind: str, ok: Column, pairs: str) -> Column:
+        exact = F.forall(pairs, lambda p: p["i"] == p["d"]).alias("exact")
+        return F.when(ok, F.transform(kind, lambda w: F.struct(w.alias("w"), F.lit(kind).alias("kind"), exact))).otherwise(F.array())
+
+    found = [counted("named", F.col("ok_named"), "pair_named"), counted("plain", F.col("ok_plain"), "pair_plain"), counted("same", F.lit(True), "pair_plain")]
+    of = lambda *kinds: F.count_distinct(F.when(F.col("f.kind").isin(*kinds), F.col("f.w")))
+    covered = (state.select("doc_id", "text_key", "item_id", F.explode(F.concat(*found)).alias("f")).groupBy("doc_id", "text_key", "item_id")
+               .agg(of("named").alias("named"), of("named", "plain").alias("n"), of("named", "plain", "same").alias("all"), F.min("f.exact").alias("exact")))
+    part = lambda n, total: F.when(F.col(total) > 0, F.col(n) / F.col(total)).otherwise(F.lit(0.0))
+    share = F.greatest(part("named", "total_named"), part("n", "total"), part("all", "total_all"))
     return covered.join(totals, "item_id").filter(share >= similarity).select("doc_id", "text_key", "item_id", share.alias("coverage"), "exact")
 
 

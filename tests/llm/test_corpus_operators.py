@@ -83,6 +83,15 @@ def test_leaks_exact_refilled_recased_and_chance(spark):
     assert decontaminate.leaks(docs_of(spark, rows).limit(0), items).count() == 0 and decontaminate.leaks(docs_of(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leaks_of_items_dense_in_names_and_numbers(spark):
+    names = "Barack Obama met Angela Merkel, Emmanuel Macron and Boris Johnson in Paris"
+    title, sums = "The Old Man Reads A Long Letter From His Daughter", "add 12 15 3 4"
+    items = spark.createDataFrame([(1, names), (2, title), (3, sums)], "item_id long, text string")
+    rows = [(1, f"Then {names} again."), (2, f"They say: {title}!"), (3, f"now {sums} up"), (4, "now add 12 15 3 5 up"), (5, "the old man reads a book"), (6, f"so {names.lower()} it is")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(spark, rows), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (6, 1)}
+
+
 @needs_tables
 def test_leaks_of_the_tables(spark):
     sf = SF.replace("0.001", "0.01")
