@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import audit_queries, chat, decontaminate, html, licenses, minhash, pieces, quality, secrets, topk, urls
+from marginalia.llm import audit_queries, chat, decontaminate, html, licenses, minhash, mixing_queries, pieces, quality, ranked_queries, secrets, topk, urls
 from marginalia.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,6 @@ def op3(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-for more in (audit_queries,):
+for more in (audit_queries, mixing_queries, ranked_queries):
     QUERIES.update(more.QUERIES)
     ORACLES.update(more.ORACLES)
