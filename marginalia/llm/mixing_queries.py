@@ -29,7 +29,7 @@ p AS (
     row_number() OVER () AS id
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT p.doc_id, p.size, p.words AS source_size, p.target,
-  CAST(coalesce(sum(greatest(0, least(o + size, b * 512 + take) - greatest(o, b * 512))), 0) AS BIGINT) AS taken
+  CAST(coalesce(sum(greatest(0, least(o + size, b * 512 + take) - greatest(o, b * 512))) FILTER (u.take IS NOT NULL), 0) AS BIGINT) AS taken
 FROM p LEFT JOIN uses u ON u.si = p.si AND u.b >= o // 512 AND u.b <= (o + size - 1) // 512 AND size > 0
 GROUP BY p.id, p.doc_id, p.size, p.words, p.target"""
 

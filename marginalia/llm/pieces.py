@@ -26,11 +26,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,8 @@ def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
+        # The blocks of a task count up from its partition's number: no two tasks share a name.
+        names = count(TaskContext.get().partitionId() << 32)
 
         def flush(ids: list, sums: list, at: list, number: dict) -> pa.RecordBatch:
             n = np.array([len(a) for a in at], np.int64)
@@ -103,9 +107,8 @@ def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             planes = flat.view(np.uint8).reshape(-1, 4).T.tobytes()
             meta = pa.array([{"id": i, "crc": c, "n": k} for i, c, k in zip(ids, sums, n.tolist(), strict=True)],
                             pa.struct([("id", pa.int64()), ("crc", pa.int64()), ("n", pa.int64())]))
-            name = f"{zlib.crc32(planes):08x}-{len(flat)}-{ids[0]}-{len(ids)}"
             return pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.ListArray.from_arrays([0, len(meta)], meta), pa.array([pack.compress(planes)], pa.binary()),
+                [pa.array([next(names)], pa.int64()), pa.ListArray.from_arrays([0, len(meta)], meta), pa.array([pack.compress(planes)], pa.binary()),
                  pa.array([list(number)], pa.list_(pa.string()))], ["block", "docs", "at", "words"])
 
         ids, sums, at, number, size = [], [], [], {}, 0
@@ -122,7 +125,7 @@ def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         if ids:
             yield flush(ids, sums, at, number)
 
-    schema = "block string, docs array<struct<id:bigint,crc:bigint,n:bigint>>, at binary, words array<string>"
+    schema = "block bigint, docs array<struct<id:bigint,crc:bigint,n:bigint>>, at binary, words array<string>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -219,7 +222,7 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary, bytes_of: dict[int, int]) ->
 
 
 def encode(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, ids, n_pieces`` and ``round_trip``, whether decoding gives the text back."""
+    """Per row of ``docs``: ``doc_id, ids, n_pieces`` and ``round_trip``: decoding gave the text back; if it does not, this fails."""
     vocab = vocab or load()
     packed = stage(blocks(docs, vocab), "blocks")
     words = packed.select("block", F.posexplode("words").alias("at", "word"))
@@ -247,7 +250,9 @@ def encode(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
                     n = offset[mine + 1] - offset[mine]
                     spot = np.repeat(offset[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     text = "".join([texts[w] for w in mine])
-                    for column, v in zip(out, (d["id"], values[spot].astype(np.int32), int(n.sum()), zlib.crc32(text.encode("utf-8", "surrogatepass")) == d["crc"]), strict=True):
+                    if zlib.crc32(text.encode("utf-8", "surrogatepass")) != d["crc"]:
+                        raise ValueError(f"pieces of document {d['id']} do not give its text back")
+                    for column, v in zip(out, (d["id"], values[spot].astype(np.int32), int(n.sum()), True), strict=True):
                         column.append(v)
                     if len(out[0]) == 512:
                         yield batch_of(out)
