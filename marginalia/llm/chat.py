@@ -2,8 +2,10 @@
 
 A conversation becomes windows of whole turns.  Prefix sums of turn tokens choose
 the spans: a window takes turns while its system turn, its history and its own turns
-fit the budget; a turn that does not fit alone is a window by itself.  Later windows
-repeat the system turn and the last ``history`` turns before their own.  The loss
+fit the budget; a turn that does not fit alone is a window by itself, the only kind
+over the budget.  Later windows repeat the system turn and the last ``history`` turns
+before their own, as far as these leave room for their first own turn: the oldest
+turns of the history go first, the system turn last.  The loss
 mask covers assistant texts of a window's own turns only, so that repeated targets
 are masked and every assistant text counts once.
 
@@ -84,7 +86,8 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
     before: deque = deque(maxlen=history)
     own: list[tuple[str, str]] = []
     carried: list[tuple[str, str]] = []
-    used, number, seen = 0, 0, 0
+    # Tokens of all turns so far, and what of them lies before the window less what it repeats.
+    total, opened, number, seen = 0, 0, 0, 0
 
     def close() -> tuple[int, str, list[dict], int]:
         parts, loss, at = [], [], 0
@@ -98,19 +101,22 @@ def windows_of(turns: Iterator[tuple[str, str]], budget: int, history: int) -> I
 
     for role, text in turns:
         size = n_tokens(text)
-        if own and used + size > budget:
+        if own and total + size - opened > budget:
             yield close()
             before.extend(own)
             number += 1
-            # The system turn comes first; it is not repeated twice when the history still reaches it.
-            recent = list(before)[-history:] if history else []
-            reaches = seen <= len(recent)
-            carried = recent if reaches or system is None else [system, *recent]
-            own, used = [], sum(n_tokens(t) for _, t in carried)
+            recent = list(before)
+            # The system turn comes first, also when the history still reaches it.
+            kept = [system] if system is not None else []
+            recent = recent[1:] if kept and seen <= len(recent) else recent
+            carried = [*kept, *recent]
+            while carried and sum(n_tokens(t) for _, t in carried) + size > budget:
+                carried.pop(len(kept) if len(carried) > len(kept) else 0)
+            own, opened = [], total - sum(n_tokens(t) for _, t in carried)
         if seen == 0 and role == "system":
             system = (role, text)
         own.append((role, text))
-        used += size
+        total += size
         seen += 1
     if own:
         yield close()

@@ -40,7 +40,7 @@ from marginalia.llm.common import stage
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 512  # words
-CHUNK = 50_000  # rows that are numbered in one task, about
+CHUNK = 8_192  # rows that are numbered in one task, about
 BITS = 48  # of a point
 CELLS = 10  # 2^10 cells in which points meet the sources that cover them
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,7 +64,8 @@ def _numbered(rows: DataFrame, by: list[str], order: list, sums: dict[str, str])
     inside = Window.partitionBy(*by, "bucket").orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({"_at": F.row_number().over(inside) - 1, **{f"_{o}_at": F.coalesce(F.sum(c).over(before), F.lit(0)) for o, c in sums.items()}})
-    return (local.join(offsets, [*by, "bucket"])
+    # Written tables are small while packed: sides that grow with the documents are never sent whole.
+    return (local.join(offsets.hint("merge"), [*by, "bucket"])
             .withColumns({"number": F.col("_n_before") + F.col("_at"), **{o: F.col(f"_{o}_before") + F.col(f"_{o}_at") for o in sums}})
             .select(*rows.columns, "number", *sums))
 
@@ -144,7 +145,7 @@ def _schedule(sources: DataFrame, block: int, seed: int) -> DataFrame:
     hits = (points.join(cover, "cell").filter("u >= low AND u < high")
             .select("si", "k", F.expr(f"k div {CHUNK}").alias("bucket")))
     dealt = _numbered(stage(hits, "mix-slots"), ["si"], ["k"], {}).select("si", F.col("number").alias("rank"), "k")
-    return (ranked.join(dealt, ["si", "rank"], "left")
+    return (ranked.join(dealt.hint("merge"), ["si", "rank"], "left")
             .select(F.coalesce("k", F.col("rank") + F.lit(slots)).alias("position"), "si", "rank", "epoch", "block", "take"))
 
 
@@ -152,7 +153,7 @@ def passages(m: Mix, block: int = BLOCK) -> DataFrame:
     """What each block of the mix reads: ``position, source, doc_id, first_word, n_words`` and the document's place."""
     pieces = _pieces(m, block)
     low, high = F.col("low"), F.least(F.col("high"), F.col("take"))
-    return (pieces.join(m.schedule, ["si", "block"]).filter(high > low)
+    return (pieces.join(m.schedule.hint("merge"), ["si", "block"]).filter(high > low)
             .select("position", "si", "source", "pos", "doc_id", (F.col("block") * block + low - F.col("start")).alias("first_word"), (high - low).alias("n_words")))
 
 
@@ -167,6 +168,6 @@ def _pieces(m: Mix, block: int) -> DataFrame:
 def taken(m: Mix, block: int = BLOCK) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
     words = F.greatest(F.lit(0), F.least(F.col("high"), F.coalesce("take", F.lit(0))) - F.col("low"))
-    sums = (_pieces(m, block).join(m.schedule.select("si", "block", "take"), ["si", "block"], "left")
+    sums = (_pieces(m, block).join(m.schedule.select("si", "block", "take").hint("merge"), ["si", "block"], "left")
             .groupBy("si", "pos", "doc_id", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")))
     return sums.join(m.sources.select("si", F.col("words").alias("source_size"), "target"), "si").select("doc_id", "size", "source_size", "target", "taken")

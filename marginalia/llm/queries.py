@@ -92,15 +92,22 @@ t AS (
     len(regexp_extract_all(text, '[^\x00-\x20]+')) AS k,
     length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + length(role) + CASE WHEN role = 'user' THEN 14 ELSE 8 END AS n
   FROM c),
-f AS (SELECT *, first_value(role) OVER w = 'system' AND i > 3 AS again, first_value(k) OVER w AS k1, first_value(n) OVER w AS n1,
-    lag(k, 1, 0) OVER w + lag(k, 2, 0) OVER w AS k2, lag(n, 1, 0) OVER w + lag(n, 2, 0) OVER w AS n2
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+f AS (
+  SELECT *, CASE WHEN sys THEN first_value(k) OVER w ELSE 0 END AS ks, CASE WHEN sys THEN first_value(n) OVER w ELSE 0 END AS ns,
+    CASE WHEN i > 1 + m THEN lag(k, 1, 0) OVER w ELSE 0 END AS k1, CASE WHEN i > 1 + m THEN lag(n, 1, 0) OVER w ELSE 0 END AS n1,
+    CASE WHEN i > 2 + m THEN lag(k, 2, 0) OVER w ELSE 0 END AS k2, CASE WHEN i > 2 + m THEN lag(n, 2, 0) OVER w ELSE 0 END AS n2
+  FROM (SELECT *, first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' AND i > 1 AS sys,
+      CASE WHEN first_value(role) OVER (PARTITION BY conv_id ORDER BY i) = 'system' THEN 1 ELSE 0 END AS m FROM t)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+carry AS (
+  SELECT conv_id, i, k, n, CASE WHEN ks + k1 + k2 + k <= 512 THEN ks + k1 + k2 WHEN ks + k1 + k <= 512 THEN ks + k1 WHEN ks + k <= 512 THEN ks ELSE 0 END AS kc,
+    CASE WHEN ks + k1 + k2 + k <= 512 THEN ns + n1 + n2 WHEN ks + k1 + k <= 512 THEN ns + n1 WHEN ks + k <= 512 THEN ns ELSE 0 END AS nc
+  FROM f),
 walk AS (
-  SELECT conv_id, i, k AS used, n AS size, true AS opens FROM f WHERE i = 1
+  SELECT conv_id, i, k AS used, n AS size, true AS opens FROM carry WHERE i = 1
   UNION ALL
-  SELECT f.conv_id, f.i, CASE WHEN used + f.k > 512 THEN k2 + CASE WHEN again THEN k1 ELSE 0 END ELSE used END + f.k,
-    CASE WHEN used + f.k > 512 THEN n2 + CASE WHEN again THEN n1 ELSE 0 END ELSE 0 END + f.n, used + f.k > 512
-  FROM walk JOIN f ON f.conv_id = walk.conv_id AND f.i = walk.i + 1),
+  SELECT c.conv_id, c.i, CASE WHEN used + c.k > 512 THEN kc ELSE used END + c.k, CASE WHEN used + c.k > 512 THEN nc ELSE 0 END + c.n, used + c.k > 512
+  FROM walk JOIN carry c ON c.conv_id = walk.conv_id AND c.i = walk.i + 1),
 s AS (SELECT conv_id, CAST(sum(size) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (opens) AS BIGINT) AS n_windows FROM walk GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

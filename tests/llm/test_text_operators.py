@@ -46,6 +46,35 @@ def test_windows_respect_the_budget_and_target_each_text_once():
     assert seen == turns and targets == [t for r, t in turns if r == "assistant"]
 
 
+@pytest.mark.parametrize("system", [True, False])
+def test_windows_over_the_budget_are_single_turns(system):
+    rng = random.Random(3)
+    turns = [("system", "s " * 20)] * system + [(("user", "assistant")[i % 2], f"w{i} " * rng.choice([0, 3, 30, 60, 99, 100, 101, 300])) for i in range(200)]
+    seen = []
+    for number, (_, text, _, repeated) in enumerate(chat.windows_of(iter(turns), 100, 2)):
+        mine = chat.parse(text)
+        total = sum(chat.n_tokens(t) for _, t in mine)
+        assert total <= 100 or (len(mine) == 1 and repeated == 0)
+        own = mine[repeated:]
+        # What is repeated: the system turn and the end of the history, and one turn more would not fit.
+        history = seen[system:][-2:] if number else []
+        kept = mine[1:repeated] if system and repeated else mine[:repeated]
+        assert kept == history[len(history) - len(kept):]
+        if len(kept) < len(history):
+            left = ([turns[0]] if system else []) + history[len(history) - len(kept) - 1:]
+            assert sum(chat.n_tokens(t) for _, t in [*left, own[0]]) > 100
+        seen += own
+    assert seen == turns
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_no_given_window_exceeds_the_budget(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    for r in chat.format_conversations(turns).collect():
+        mine = chat.parse(r.text)
+        assert sum(chat.n_tokens(t) for _, t in mine) <= chat.BUDGET or len(mine) == 1
+
+
 def test_chat_edge_rows(spark):
     rows = [(None, 0, "user", "a"), (1, None, None, None), (1, 0, "assistant", "x" * 70_000), (1, 0, "assistant", "x" * 70_000), (2, 1, "user", ""), (2, 0, "tool", "é𝄞")]
     frame = spark.createDataFrame(rows, EMPTY["turns"]).withColumn("window", F.lit(1)).withColumn("loss", F.lit("x"))
@@ -75,6 +104,16 @@ def test_pieces_equal_a_plain_pass_and_come_back(spark):
     assert pieces.encode(empty(spark, "docs"), vocab).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
+def test_partitions_that_look_alike_keep_their_words(spark):
+    vocab = pieces.load()
+    one = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string").coalesce(1)
+    texts = ["alpha beta gamma", "red green blue", "alpha beta gamma"]
+    docs = one(None, texts[0]).union(one(None, texts[1])).union(one(None, texts[2])).union(one(1, "same words here")).union(one(1, "same words here"))
+    got = sorted(r.ids for r in pieces.encode(docs, vocab).collect())
+    assert got == sorted(pieces.viterbi(pieces.normalised(t, True), vocab) for t in [*texts, "same words here", "same words here"])
+
+
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
 def test_paths_are_as_good_as_the_library_finds_with_the_same_scores():
     import sentencepiece
