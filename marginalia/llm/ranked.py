@@ -4,8 +4,8 @@ Documents are dealt to tiles of at most ``DOCS`` documents and about ``POSTINGS`
 postings.  A tile is a grid of its terms (rows, sorted by hash) and documents
 (columns) and becomes one compressed quadtree: cells of a level halve rows and
 columns, rows ``LEAD`` levels ahead, down to one row by ``LEAF`` columns.  Every cell
-that holds a posting keeps the largest impact in it, as the difference to the
-cell above; a cell with a single posting has no cells below, its posting is the
+that holds postings keeps the largest impact in it, rounded up and stored as the
+difference to the cell above; a cell with a single posting has no cells below, its posting is the
 leaf.
 
 Search.  The rows of an item's terms descend jointly: a state is a range of
@@ -34,22 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import U64, mix, stage
 
-DOCS_BITS = 13
+DOCS_BITS = 12
 DOCS = 1 << DOCS_BITS  # columns of a tile at most
-POSTINGS = 1 << 21  # of a tile, passed by its last document only
+POSTINGS = 1 << 20  # of a tile, passed by its last document only
 LEAD = 5  # levels by which rows are split ahead of columns
 LEAF = 6  # a leaf cell spans 2^LEAF columns
 CHUNK = 1 << 20  # bytes of text that are cut into terms at once
 PACK = 256  # items of a pack, about
-FRONTIER = 8  # states that leave the frontier together
+FRONTIER = 32  # states that leave the frontier together
 NO_ID = np.iinfo(np.int64).max
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # for readers and tests; the code below works on bytes
 IMPACT = 1_000_000_000
+STEP = 16  # of stored maxima
 
 # Bytes of terms: 0-9, A-Z as a-z, a-z, and all bytes of other characters; 0 elsewhere.
 _FOLD = np.zeros(256, np.uint8)
@@ -158,6 +161,13 @@ class Shape:
             out |= ((x >> source) & 1) << to
         return out
 
+    def column(self, path: np.ndarray) -> np.ndarray:
+        """First column of the leaf at the end of whole paths."""
+        out = np.zeros(len(path), np.int64)
+        for source, to in self.col_bits:
+            out |= ((path >> to) & 1) << source
+        return out
+
     def row_path(self, row: np.ndarray) -> np.ndarray:
         return self._path(row, self.row_bits)
 
@@ -170,66 +180,76 @@ def _bits(n: int) -> int:
 
 
 class Treap:
-    """The compressed quadtree of a tile, with maxima; built once, searched from its stored arrays."""
+    """The compressed quadtree of a tile, with maxima; built once, searched from its stored arrays.
+
+    Postings are in the order of their paths.  ``cells`` has, from the last level
+    that spans all columns down, the prefixes of cells with several postings and
+    the maxima in steps of ``STEP``, rounded up, so that they are bounds.
+    """
 
-    def __init__(self, n_rows: int, n_cols: int, path: np.ndarray, column: np.ndarray, impact: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, n_rows: int, n_cols: int, path: np.ndarray, column: np.ndarray, tf: np.ndarray, m: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]] | None):
         self.shape = Shape(_bits(n_rows), _bits(n_cols))
-        self.path, self.column, self.impact, self.cells = path, column, impact, cells
+        self.path, self.column, self.tf, self.m = path, column, tf, m
+        self.impact = impact_of(tf, m[column])
+        self.start = int(np.flatnonzero(self.shape.col_shift == self.shape.col_shift[0])[-1])
+        self.cells = self._cells() if cells is None else cells
 
     @classmethod
-    def build(cls, row: np.ndarray, column: np.ndarray, impact: np.ndarray, n_rows: int, n_cols: int) -> Treap:
-        shape = Shape(_bits(n_rows), _bits(n_cols))
+    def build(cls, row: np.ndarray, column: np.ndarray, tf: np.ndarray, m: np.ndarray, n_rows: int) -> Treap:
+        shape = Shape(_bits(n_rows), _bits(len(m)))
         path = shape.row_path(row) | shape.col_path(column)
         order = np.lexsort((column, path))
-        path, column, impact = path[order], column[order], impact[order]
+        return cls(n_rows, len(m), path[order], column[order], tf[order], m, None)
+
+    def _cells(self) -> list[tuple[np.ndarray, np.ndarray]]:
         cells = []
-        for level in range(shape.depth + 1):
-            prefix = path >> shape.below[level]
+        for below in self.shape.below[self.start :]:
+            prefix = self.path >> below
             first = np.flatnonzero(np.concatenate(([True], prefix[1:] != prefix[:-1])))
-            many = np.diff(np.append(first, len(path))) > 1
-            top = np.maximum.reduceat(impact, first)
-            cells.append((prefix[first[many]], top[many]))
-        return cls(n_rows, n_cols, path, column, impact, cells)
+            many = np.diff(np.append(first, len(prefix))) > 1
+            cells.append((prefix[first[many]], -(-np.maximum.reduceat(self.impact, first)[many] // STEP)))
+        return cells
 
     def pack(self) -> bytes:
-        """Stored form: paths as differences, maxima as differences to the cell above."""
-        parts = [_deltas(self.path), self.column.astype(np.uint16), self.impact.astype(np.uint32)]
-        above = None
-        for level, (prefix, top) in enumerate(self.cells):
-            loss = top
-            if above is not None:
-                up = above[1][np.searchsorted(above[0], prefix >> (self.shape.below[level - 1] - self.shape.below[level]))]
-                loss = up - top
-            parts += [_deltas(prefix), loss.astype(np.uint32)]
-            above = (prefix, top)
-        head = np.array([x.nbytes for x in parts], np.int64)
-        return np.array([len(parts)], np.int64).tobytes() + head.tobytes() + b"".join(x.tobytes() for x in parts)
+        """Stored form: numbers as differences, maxima as differences to the cell above, byte by byte compressed."""
+        parts = [np.diff(self.path, prepend=0), self.column & ((1 << LEAF) - 1), self.tf, self.m]
+        for i, (prefix, top) in enumerate(self.cells):
+            parts += [np.diff(prefix, prepend=0), self._above(i, prefix) - top if i else top]
+        codec = zstandard.ZstdCompressor(level=3)
+        planes = [codec.compress(_planes(x)) for x in parts]
+        head = np.array([len(planes), *(len(x) for x in planes)], np.int64)
+        return head.tobytes() + b"".join(planes)
+
+    def _above(self, i: int, prefix: np.ndarray) -> np.ndarray:
+        """Maxima of the cells above cells of level ``i``."""
+        keys, tops = self.cells[i - 1]
+        below = self.shape.below
+        return tops[np.searchsorted(keys, prefix >> (below[self.start + i - 1] - below[self.start + i]))]
 
     @classmethod
     def unpack(cls, n_rows: int, n_cols: int, data: bytes) -> Treap:
         n = int(np.frombuffer(data, np.int64, 1)[0])
         sizes = np.frombuffer(data, np.int64, n, 8)
         ends = 8 + 8 * n + np.cumsum(sizes)
-        raw = [data[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-        tree = cls(n_rows, n_cols, _whole(raw[0]), np.frombuffer(raw[1], np.uint16).astype(np.int64), np.frombuffer(raw[2], np.uint32).astype(np.int64), [])
-        for level, i in enumerate(range(3, n, 2)):
-            prefix, top = _whole(raw[i]), np.frombuffer(raw[i + 1], np.uint32).astype(np.int64)
-            if tree.cells:
-                above = tree.cells[-1]
-                top = above[1][np.searchsorted(above[0], prefix >> (tree.shape.below[level - 1] - tree.shape.below[level]))] - top
-            tree.cells.append((prefix, top))
+        codec = zstandard.ZstdDecompressor()
+        raw = [_numbers(codec.decompress(data[e - s : e])) for s, e in zip(sizes, ends, strict=True)]
+        path, shape = np.cumsum(raw[0]), Shape(_bits(n_rows), _bits(n_cols))
+        tree = cls(n_rows, n_cols, path, shape.column(path) | raw[1], raw[2], raw[3], [])
+        for i, at in enumerate(range(4, n, 2)):
+            prefix, top = np.cumsum(raw[at]), raw[at + 1]
+            tree.cells.append((prefix, tree._above(i, prefix) - top if i else top))
         return tree
 
     def maxima(self, level: int, row_path: np.ndarray, first_column: np.ndarray) -> np.ndarray:
-        """Largest impact of the cell of each row (across) and range of documents (down) at ``level``; 0 if empty."""
+        """Bound of the impacts in the cell of each row (across) and range of documents (down) at ``level``; 0 if empty."""
         below = self.shape.below[level]
         prefix = (row_path[None, :] | self.shape.col_path(first_column)[:, None]) >> below
-        keys, tops = self.cells[level]
+        keys, tops = self.cells[level - self.start]
         out = np.zeros(prefix.shape, np.int64)
         if len(keys):
             at = np.minimum(np.searchsorted(keys, prefix), len(keys) - 1)
             many = keys[at] == prefix
-            out[many] = tops[at[many]]
+            out[many] = tops[at[many]] * STEP
         else:
             many = np.zeros(prefix.shape, bool)
         lone = np.flatnonzero(~many.ravel())
@@ -257,8 +277,7 @@ class Treap:
     def search(self, row: np.ndarray, weight: np.ndarray, ids: np.ndarray, k: int, floor: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and scores of the best ``k`` documents of at least ``floor``, ties to smaller ids, and the states scored."""
         shape, rows = self.shape, self.shape.row_path(row)
-        shift = shape.col_shift
-        start = int(np.flatnonzero(shift == shift[0])[-1])  # the last level before columns are split
+        shift, start = shape.col_shift, self.start
         best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
         level, column = np.array([start]), np.zeros(1, np.int64)
         bound = self.maxima(start, rows, column) @ weight
@@ -289,22 +308,45 @@ class Treap:
                 bound = np.append(bound, self.maxima(int(lv) + 1, rows, down) @ weight)
 
 
-def _deltas(x: np.ndarray) -> np.ndarray:
-    """Ascending numbers as differences, in 32 bits where they fit."""
-    d = np.diff(x, prepend=0)
-    return np.concatenate((np.zeros(1, np.uint32), d.astype(np.uint32))) if d.max(initial=0) < 1 << 32 else np.concatenate((np.ones(2, np.uint32), d.view(np.uint32)))
+def impact_of(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Saturated frequency of a term in a document of relative length ``m``."""
+    return (IMPACT * tf) // (1000 * tf + 8 * m)
+
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 byte by byte, all lowest bytes first, led by the width."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def _whole(raw: bytes) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint32)
-    return np.cumsum(data[1:].astype(np.int64)) if data[0] == 0 else np.cumsum(data[2:].copy().view(np.int64))
+
+def _numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel().astype(np.int64, copy=False)
 
 
 def statistics(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Documents with a term, and all terms with repeats."""
-    n = F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
-    row = docs.select(n.alias("n")).filter("n > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return int(row[0]), int(row[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = total = 0
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_binary())
+            offset = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+            inside = _FOLD[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]]] > 0
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            # Every text begins anew.
+            first = np.unique(offset[:-1][offset[1:] > offset[:-1]]) - offset[0]
+            begins[first] = inside[first]
+            if len(first):
+                each = np.add.reduceat(begins, first, dtype=np.int64)
+                n, total = n + int((each > 0).sum()), total + int(each.sum())
+        yield pa.RecordBatch.from_pydict({"n": [n], "total": [total]})
+
+    row = docs.select(F.coalesce(F.col(text).cast("string"), F.lit(""))).mapInArrow(run, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def _named(c: str) -> Column:
@@ -322,11 +364,10 @@ def build_tiles(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_i
     def tile(ids: list, parts: list) -> pd.DataFrame:
         doc, term, tf, size = parts
         m = 10 + per * size // max(1, n_terms)
-        impact = (IMPACT * tf) // (1000 * tf + 8 * m[doc])
         terms, row = np.unique(term, return_inverse=True)
         top = np.zeros(len(terms), np.int64)
-        np.maximum.at(top, row, impact)
-        tree = Treap.build(row, doc, impact, len(terms), len(ids))
+        np.maximum.at(top, row, impact_of(tf, m[doc]))
+        tree = Treap.build(row, doc, tf, m, len(terms))
         name = f"{ids[0]}-{ids[-1]}-{len(ids)}-{int(np.bitwise_xor.reduce(mix(term + size[doc].astype(U64)))):x}"
         return pd.DataFrame({"tile": [name], "n_docs": [len(ids)], "n_terms": [len(terms)], "n_postings": [len(row)], "terms": [terms.view(np.int64)],
                              "dfs": [np.bincount(row).astype(np.int32)], "tops": [top.astype(np.int32)], "ids": [np.array(ids, np.int64).tobytes()], "tree": [tree.pack()]})
