@@ -635,10 +635,46 @@ def str_changed_notes(spark, sf):
     return spark.read.parquet(f"{base}/out").select(F.col("path").cast("long").alias("doc_id"))
 
 
+@register("str_index_update", S.with_(S.LEXICAL, "SELECT query_id, rank, chunk_id, score FROM lex"))
+def str_index_update(spark, sf):
+    """An index of older texts takes two batches of changes; a search then equals one over a rebuilt index.
+
+    At first every fifth file lacks, every third has an older text, and every
+    seventh has a copy that later goes.  The first batch brings the files of even
+    numbers, the second those of odd ones and, again, some that did not change.
+    """
+    from marginalia.functions.joins import materialise
+    from marginalia.operators import lexical as X
+    from marginalia.operators import queries as Q
+    from marginalia.plans import segments as G
+
+    base, k = scratch(spark), F.col("doc_id")
+    docs = A.table(spark, sf, "documents")
+    older = docs.filter(k % 5 != 0).withColumn("text", F.when(k % 3 == 0, F.concat(F.lit("Older heading\n"), F.reverse("text"), F.lit(" older words"))).otherwise(F.col("text"))).withColumn(
+        "n_chars", F.when(k % 3 == 0, F.col("n_chars") - 1).otherwise(F.col("n_chars")))
+    copies = docs.filter(k % 7 == 0).withColumn("doc_id", k + 10**9)
+
+    def corpus_of(rows, name):
+        rows.write.mode("overwrite").parquet(f"{base}/{name}/documents.parquet")
+        A.table(spark, sf, "labels").write.mode("overwrite").parquet(f"{base}/{name}/labels.parquet")
+        return A.corpus(spark, f"{base}/{name}")
+
+    first = corpus_of(older.unionByName(copies), "v0")
+    G.update(spark, f"{base}/index", 0, first)
+    gone = first.filter(F.col("note_id").rlike("^doc-1[0-9]{9}")).select(F.col("source_file").alias("path"))
+    G.update(spark, f"{base}/index", 1, corpus_of(docs.filter((k % 2 == 0) & ((k % 5 == 0) | (k % 3 == 0))), "v1"), gone)
+    G.update(spark, f"{base}/index", 2, corpus_of(docs.filter(k % 2 != 0), "v2"))
+    corpus, index = G.load(spark, f"{base}/index")
+    plans = materialise(Q.plan_queries(A.queries(spark, sf)))
+    d = X.lexical_search(plans, index, corpus, pool=15)
+    return d.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
+
+
 @register("src_written_index", S.with_(S.LEXICAL, "SELECT query_id, rank, chunk_id, score FROM lex"))
 def src_written_index(spark, sf):
-    """Write every index table, load them again and search."""
+    """Write every index table, posting blocks included, load them again and search the blocks by their bounds."""
     from marginalia.operators import lexical as X
+    from marginalia.operators import pruning as PR
     from marginalia.operators import queries as Q
     from marginalia.functions.joins import materialise
     from marginalia.plans.search import SearchIndex
@@ -650,9 +686,12 @@ def src_written_index(spark, sf):
     from marginalia.operators import links as L
 
     files.write_index({
-        "notes": n, "chunks": A.chunks(spark, sf), "edges": L.split_links(A.link_rows(spark, sf), A.notes(spark, sf))[0],
+        "corpus": corpus, "notes": n, "chunks": A.chunks(spark, sf), "edges": L.split_links(A.link_rows(spark, sf), A.notes(spark, sf))[0],
         "lexical_postings": rows, "lexical_stats": X.field_stats(corpus)}, base)
-    files.write_index({"term_df": spark.read.parquet(f"{base}/lexical_postings").groupBy("term").agg(F.count("*").alias("df"))}, base)
+    stored = spark.read.parquet(f"{base}/lexical_postings")
+    files.write_index({"term_df": stored.groupBy("term").agg(F.count("*").alias("df"))}, base)
+    built = X.index_from_tables(stored, spark.read.parquet(f"{base}/term_df"), spark.read.parquet(f"{base}/lexical_stats"))
+    files.write_index({"lexical_blocks": PR.posting_blocks(built, spark.read.parquet(f"{base}/corpus"), per_block=256)}, base)
     index: SearchIndex = files.load_index(spark, base)
     plans = materialise(Q.plan_queries(A.queries(spark, sf)))
     d = X.lexical_search(plans, index.lexical, index.corpus, pool=15)

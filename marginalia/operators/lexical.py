@@ -24,6 +24,7 @@ from marginalia.functions.joins import candidate_pairs, small
 from marginalia.functions.text import pick, strings, tokenize
 
 FIELDS = list(P.FIELD_WEIGHTS)
+TERM_PARTS = 64
 
 
 @dataclass
@@ -34,6 +35,8 @@ class LexicalIndex:
     term_df: DataFrame
     n_docs: int
     avg_len: dict[str, float]
+    # Stored posting blocks with score maxima, where the index has them.
+    blocks: DataFrame | None = None
 
 
 def field_tokens() -> dict[str, Column]:
@@ -115,7 +118,7 @@ def build_lexical_index(corpus: DataFrame, terms: DataFrame | None = None) -> Le
     )
 
 
-def index_from_tables(rows: DataFrame, term_df: DataFrame, stats: DataFrame) -> LexicalIndex:
+def index_from_tables(rows: DataFrame, term_df: DataFrame, stats: DataFrame, blocks: DataFrame | None = None) -> LexicalIndex:
     s = stats.first()
     n = int(s["n_docs"])
     return LexicalIndex(
@@ -123,6 +126,7 @@ def index_from_tables(rows: DataFrame, term_df: DataFrame, stats: DataFrame) ->
         term_df=term_df,
         n_docs=n,
         avg_len={f: (s[f"total_{f}"] / n if n else 0.0) for f in FIELDS},
+        blocks=blocks,
     )
 
 
@@ -130,16 +134,34 @@ def idf(n_docs: int) -> Column:
     return F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
 
-def bm25_weight(index: LexicalIndex) -> Column:
-    """Contribution of one posting row joined with its ``df``."""
+def bm25_impact(avg_len: dict[str, float]) -> Column:
+    """The part of a posting's score that does not depend on the document frequency."""
     total = F.lit(0.0)
     for f, weight in P.FIELD_WEIGHTS.items():
         tf = F.col(f"tf_{f}").cast("double")
-        avg = index.avg_len[f]
+        avg = avg_len[f]
         ratio = F.col(f"len_{f}") / F.lit(avg) if avg > 0 else F.lit(1.0)
         part = tf * (P.BM25_K1 + 1) / (tf + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * ratio))
         total = total + F.when(tf > 0, weight * part).otherwise(0.0)
-    return idf(index.n_docs) * total
+    return total
+
+
+def bm25_weight(index: LexicalIndex) -> Column:
+    """Contribution of one posting row joined with its ``df``."""
+    return idf(index.n_docs) * bm25_impact(index.avg_len)
+
+
+def term_part(term: Column) -> Column:
+    """Folder of a term in stored postings."""
+    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+
+
+def prune_parts(stored: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stored rows in the folders of ``terms``: reads at most ``TERM_PARTS`` numbers, which reach the scan as a partition filter."""
+    if "part" not in stored.columns:
+        return stored
+    parts = [r[0] for r in terms.select(term_part(F.col("term"))).distinct().collect()]
+    return stored.filter(F.col("part").isin(parts))
 
 
 def query_terms(plans: DataFrame) -> DataFrame:
@@ -155,7 +177,7 @@ def bm25_parts(plans: DataFrame, index: LexicalIndex) -> DataFrame:
     """
     terms = query_terms(plans)
     weighted = index.term_df.join(small(terms), "term")
-    return index.postings.join(small(weighted, like=terms), "term").select(
+    return prune_parts(index.postings, terms).join(small(weighted, like=terms), "term").select(
         "query_id", "chunk_id", bm25_weight(index).alias("score"))
 
 
@@ -304,7 +326,14 @@ def lexical_search(
     repo_slug: str | None = None, note_type: str | None = None,
     integrity_mode: str = "prefer-healthy",
 ) -> DataFrame:
-    """LEX6: ranked lexical list per query, cut to ``pool``; scores to 3 places."""
+    """LEX6: ranked lexical list per query, cut to ``pool``; scores to 3 places.
+
+    An index with stored blocks is searched by their bounds.
+    """
+    if index.blocks is not None:
+        from marginalia.operators.pruning import pruned_search
+
+        return pruned_search(plans, index, corpus, pool=pool, repo_slug=repo_slug, note_type=note_type, integrity_mode=integrity_mode)
     scored = eligible(
         lexical_scores(plans, index, corpus), plans, corpus,
         repo_slug=repo_slug, note_type=note_type, integrity_mode=integrity_mode,

@@ -6,10 +6,11 @@ source_path>``; their order is ``(timestamp, event_id)``.
 
 Scale notes
 -----------
-Matching an unfold to the latest earlier search is done per target key in two
-levels.  Inside a time slice a window looks back; across slices only one row
-per key and slice is carried.  A key that holds a third of all events is thus
-spread over as many tasks as there are slices.
+Matching an unfold to the latest earlier search is an as-of join by volume: all
+rows are ranged by (key, time) into parts of about ``ROWS_PER_RANGE`` rows, so that
+a key that holds a third of all events is cut into as many ranges as it needs.
+Inside a range a window looks back; across ranges only one row per key and range
+is carried.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_SECONDS = 3600
+from marginalia.functions.joins import materialise
+
+ROWS_PER_RANGE = 1_000_000
 
 
 def explode_results(events: DataFrame) -> DataFrame:
@@ -47,41 +50,42 @@ def _keys(chunk_id: Column, source_path: Column) -> Column:
     return F.array_compact(F.array(key("chunk", chunk_id), key("path", source_path)))
 
 
-def use_signals(events: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def use_signals(events: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """JON6: per unfold the latest earlier search that showed its target.
 
     Returns ``event_id`` (the unfold), ``search_id`` and the matched result's
     ``rank, chunk_id, source_path`` (the first matching result of the search).
     """
     spot = F.struct("timestamp", "event_id")
-    bucket = F.floor(F.unix_timestamp("timestamp") / slice_seconds)
-
     shown = (
         searches(events)
-        .select(spot.alias("at"), bucket.alias("bucket"), F.posexplode("results").alias("position", "r"))
+        .select(spot.alias("at"), F.posexplode("results").alias("position", "r"))
         .select(
-            "at", "bucket",
+            "at",
             F.struct("at", "position", "r.rank", "r.chunk_id", "r.source_path").alias("hit"),
             F.explode(_keys(F.col("r.chunk_id"), F.col("r.source_path"))).alias("key"),
         )
         # The same key twice in one search: its first result counts.
-        .groupBy("key", "bucket", "at").agg(F.min("hit").alias("hit"))
+        .groupBy("key", "at").agg(F.min("hit").alias("hit"))
     )
     asked = unfolds(events).select(
-        spot.alias("at"), bucket.alias("bucket"),
-        F.explode(_keys(F.col("target.chunk_id"), F.col("target.source_path"))).alias("key"),
-    )
-    # Level one: the latest search of the same slice.
-    rows = shown.select("key", "bucket", "at", "hit", F.lit(False).alias("is_unfold")).unionByName(
+        spot.alias("at"), F.explode(_keys(F.col("target.chunk_id"), F.col("target.source_path"))).alias("key"))
+    rows = shown.select("key", "at", "hit", F.lit(False).alias("is_unfold")).unionByName(
         asked.withColumn("hit", F.lit(None).cast(shown.schema["hit"].dataType)).withColumn("is_unfold", F.lit(True)))
+    most = int(events.agg(F.sum(2 * F.coalesce(F.array_size("results"), F.lit(0)) + 2)).first()[0] or 1)
+    parts = -(-most // rows_per_range)
+    # Ranges are numbered in the order of (key, at); they are written, as the numbers come from the running tasks.
+    rows = materialise(rows.repartitionByRange(parts, "key", "at").withColumn("bucket", F.spark_partition_id()))
+    shown, asked = rows.filter("NOT is_unfold"), rows.filter("is_unfold")
+    # Level one: the latest search of the same range.
     back = Window.partitionBy("key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("hit", ignorenulls=True).over(back)).filter("is_unfold")
-    # Level two: the last search of each earlier slice, one row per key and slice.
+    # Level two: the last search of each earlier range, one row per key and range.
     ends = shown.groupBy("key", "bucket").agg(F.max_by("hit", "at").alias("end"))
-    asked_slices = asked.select("key", "bucket").distinct().withColumn("end", F.lit(None).cast(shown.schema["hit"].dataType))
+    asked_ranges = asked.select("key", "bucket").distinct().withColumn("end", F.lit(None).cast(shown.schema["hit"].dataType))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        ends.unionByName(asked_slices).groupBy("key", "bucket").agg(F.max("end").alias("end"))
+        ends.unionByName(asked_ranges).groupBy("key", "bucket").agg(F.max("end").alias("end"))
         .withColumn("carried", F.last("end", ignorenulls=True).over(earlier))
         .select("key", "bucket", "carried")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.joins import materialise
-from marginalia.operators import lexical, links, notes as N, registry, vectors
+from marginalia.operators import governance, lexical, links, notes as N, pruning, registry, vectors
 from marginalia.operators.corpus import build_corpus
 from marginalia.sources import files
 
@@ -25,18 +25,22 @@ class Index:
     def corpus(self) -> DataFrame:
         return build_corpus(self.chunks, self.notes)
 
-    def tables(self) -> dict[str, DataFrame]:
-        """All tables of a written index."""
-        corpus = self.corpus()
-        rows = lexical.postings(corpus)
-        return {
+    def tables(self, as_of: str | None = None) -> dict[str, DataFrame]:
+        """All tables of a written index (SRC5); the cleanup report needs the day it speaks of."""
+        corpus = materialise(self.corpus())
+        report = {} if as_of is None else {"cleanup_report": governance.cleanup_report(self.notes, self.chunks, as_of)}
+        rows, totals = materialise(lexical.postings(corpus)), materialise(lexical.field_stats(corpus))
+        term_df = rows.groupBy("term").agg(F.count("*").alias("df"))
+        return report | {
+            "corpus": corpus,
             "notes": self.notes.drop("body"),
             "chunks": self.chunks,
             "nodes": self.nodes,
             "edges": self.edges,
             "lexical_postings": rows,
-            "lexical_stats": lexical.field_stats(corpus),
-            "term_df": rows.groupBy("term").agg(F.count("*").alias("df")),
+            "lexical_blocks": pruning.posting_blocks(lexical.index_from_tables(rows, term_df, totals), corpus),
+            "lexical_stats": totals,
+            "term_df": term_df,
             "vectors": vectors.embed_chunks(corpus).select("chunk_id", "note_id", "values"),
             "diagnostics": registry.diagnostics(self.notes, self.unresolved),
             "manifest": files.index_manifest(self.notes.select("id", "path", "repo_slug", "content_hash"), self.chunks, self.edges),

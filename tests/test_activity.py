@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+
+import pytest
 
 from marginalia.operators import board as B
 from marginalia.operators import catalog as C
@@ -28,10 +31,10 @@ def log(spark):
     ], EVENTS)
 
 
-def test_use_signals_look_back_across_slices(spark):
+def test_use_signals_look_back_across_ranges(spark):
     got = [tuple(r) for r in U.use_signals(log(spark)).collect()]
     assert got == [(4, 2, 2, "d", "v/d.md")]
-    assert [tuple(r) for r in U.use_signals(log(spark), slice_seconds=10**9).collect()] == got
+    assert [tuple(r) for r in U.use_signals(log(spark), rows_per_range=3).collect()] == got
 
 
 def test_report_buckets(spark):
@@ -206,8 +209,8 @@ def test_use_signals_with_one_hot_key_equal_brute_force(spark):
                     want[i] = (j, shown.index(key) + 1)
                     break
     df = spark.createDataFrame(rows, EVENTS).repartition(7)
-    for width in (600, 7200):
-        got = {r.event_id: (r.search_id, r["rank"]) for r in U.use_signals(df, width).collect()}
+    for rows_per_range in (60, 100_000):
+        got = {r.event_id: (r.search_id, r["rank"]) for r in U.use_signals(df, rows_per_range).collect()}
         assert got == want
 
 
@@ -224,7 +227,7 @@ def test_a_missing_state_version_is_an_error(spark, tmp_path):
         run = lambda: ST.todo_state_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "progress")).awaitTermination()
         if n == 0:
             run()
-            shutil.rmtree(f"{out}/version=0")
+            shutil.rmtree(f"{out}/items/version=0")
         else:
             with pytest.raises(StreamingQueryException):
                 run()
@@ -244,7 +247,55 @@ def test_streamed_signals_have_no_time_bound(spark, tmp_path):
     written = spark.read.parquet(out)
     got = {x.event_id: x.search_id for x in ST.latest(written).collect()}
     assert got == {2: 1, 3: 1, **{n: 4 for n in range(6000, 6040)}}
-    assert written.count() == 2 * len(got)  # one row per key of the target
+    assert written.filter("kind <> 'end'").count() == 2 * len(got)  # one row per key of the target
+
+
+@pytest.mark.parametrize("slice_seconds", [6 * 3600, 40 * 86400])
+def test_streamed_signals_in_any_order_equal_the_batch(spark, tmp_path, slice_seconds):
+    """Batches in random order, a third of the events on one key: late searches and late unfolds count."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        key = "hot" if rnd.random() < 0.34 else f"k{rnd.randrange(25)}"
+        t = at((i // 2 * 2) * 2.7)  # ties in time
+        if rnd.random() < 0.4:
+            rows.append((i, t, "memory_search", f"q{i}", [(n + 1, c, f"v/{c}", ["lexical"]) for n, c in enumerate([key, f"k{rnd.randrange(25)}", key])], None))
+        else:
+            rows.append((i, t, "memory_unfold", None, None, (key, f"v/{key}" if i % 3 else None)))
+    want = {r.event_id: (r.search_id, r["rank"]) for r in U.use_signals(spark.createDataFrame(rows, EVENTS), 50).collect()}
+    rnd.shuffle(rows)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100:(k + 1) * 100], EVENTS).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(spark.createDataFrame([], EVENTS).schema).parquet(src)
+        ST.ingest(ST.stream_use_signals(stream, slice_seconds), out, str(tmp_path / "progress")).awaitTermination()
+    written = spark.read.parquet(out)
+    assert {x.event_id: (x.search_id, x["rank"]) for x in ST.latest(written).collect()} == want
+    assert written.filter("key = 'chunk:hot'").select("slice").distinct().count() >= (8 if slice_seconds < 86400 else 1)
+
+
+def test_todo_stream_writes_changes_only_and_compacts(spark, tmp_path):
+    """Random list events in 19 batches: resets, items put again, a base after 16; equal to the fold of all."""
+    rnd = random.Random(2)
+    schema = "list_id string, seq bigint, kind string, item_id string, title string, items array<struct<id:string,title:string,completed:boolean>>"
+    src, out = str(tmp_path / "src"), str(tmp_path / "state")
+    every, seq = [], 0
+    for k in range(19):
+        rows = []
+        for _ in range(30 if k else 120):
+            seq += 1
+            kind = rnd.choices(["added", "toggled", "deleted", "cleared", "replaced"], [8, 6, 3, 0.3, 0.4])[0]
+            lst = rnd.choice(["hot"] * 3 + ["a", "b"])
+            put = [(f"i{rnd.randrange(20)}", rnd.choice(["T", " "]), rnd.random() < 0.5)] if kind == "replaced" else None
+            rows.append((lst, seq, kind, None if kind in ("cleared", "replaced") else f"i{rnd.randrange(20)}", f"t{seq}" if kind == "added" else None, put))
+        every += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        ST.todo_state_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "progress")).awaitTermination()
+        if k in (0, 7, 16, 18):
+            got = sorted(tuple(r) for r in ST.todo_snapshot(spark, out).collect())
+            assert got == sorted(tuple(r) for r in B.todo_state(spark.createDataFrame(every, schema)).collect())
+    written = spark.read.parquet(f"{out}/items")
+    assert written.filter("version = 18").count() <= 31 and spark.read.parquet(f"{out}/base").select("version").distinct().count() == 1
 
 
 def test_long_terms_match_within_six_edits(spark):
