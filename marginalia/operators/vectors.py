@@ -8,28 +8,35 @@ Scale notes
 * Embedding is a narrow step: one pass over the text inside the scan's tasks,
   with a per-task cache of token vectors.  Going through a term dictionary
   would shuffle every posting twice and 48 sums per chunk.
-* Search keeps the corpus where it is.  A bounded block of query vectors goes
-  to every task, each Arrow batch is scored with one matrix product and only
-  the best ``pool`` rows per query leave the batch.  More queries than one
-  block holds are handled block by block.
+* Search works on clustered lists.  Rows with like signs towards fixed
+  directions are packed into lists with a center and a radius; queries are packed
+  into blocks.  A list meets a block only where the bound of some query reaches the
+  threshold, is scored with one matrix product, and returns the best ``pool`` rows
+  per query.  Nothing passes the driver but counts.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
+from marginalia.functions.joins import materialise
 from marginalia.functions.text import blank_to_null, hash32, lookup, tokenize, trigrams
 from marginalia.operators.lexical import filter_corpus, top_pool
 
-# Query vectors held by one task at a time.
-QUERY_BLOCK = 4096
+# Query vectors of a block; rows of a list; heads of lists that meet a block at once.
+QUERY_BLOCK = 256
+LIST_ROWS = 1024
+HEADS = 4096
+SIGNS = 16
 TOKEN_CACHE = 500_000
 
 ALIAS_GROUPS = {token: group for group in P.CONCEPT_GROUPS for token in group}
@@ -227,6 +234,95 @@ def embed_queries(plans: DataFrame) -> DataFrame:
 # --- VEC3: similarity search --------------------------------------------------
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """Add ``dims`` and ``sig``: the signs of a vector's products with fixed random directions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.assign(dims=[len(v) for v in pdf["values"]], sig=0)
+            for dims, at in pdf.groupby("dims").groups.items():
+                if dims:
+                    directions = np.random.default_rng(int(dims)).standard_normal((int(dims), SIGNS))
+                    signs = np.stack(pdf.loc[at, "values"].to_numpy()).astype(np.float64) @ directions > 0
+                    pdf.loc[at, "sig"] = signs @ (1 << np.arange(SIGNS)[::-1])
+            yield pdf
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    return rows.filter(F.size("values") > 0).mapInPandas(run, f"{kinds}, dims int, sig int")
+
+
+def _lists(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pack rows of one length and signature prefix into lists of at most ``LIST_ROWS``, each with its center and radius."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = count(TaskContext.get().partitionId() << 32)
+
+        def flush(held: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(held["values"].to_numpy()).astype(np.int64)
+            center = x.mean(axis=0)
+            radius = float(np.sqrt(((x - center) ** 2).sum(axis=1).max()))
+            return pd.DataFrame({"list": [next(names)], "dims": [x.shape[1]], "center": [center.tobytes()], "radius": [radius * (1 + 1e-9) + 1.0],
+                                 "data": [x.tobytes()], **{c: [held[c].tolist()] for c in columns}})
+
+        parts, key, n = [], None, 0
+        for pdf in batches:
+            for (dims, near), part in pdf.groupby(["dims", "near"], sort=False):
+                for low in range(0, len(part), LIST_ROWS):
+                    piece = part.iloc[low : low + LIST_ROWS]
+                    if parts and (key != (dims, near) or n + len(piece) > LIST_ROWS):
+                        yield flush(pd.concat(parts))
+                        parts, n = [], 0
+                    parts.append(piece)
+                    key, n = (dims, near), n + len(piece)
+        if parts:
+            yield flush(pd.concat(parts))
+
+    kinds = dict(rows.dtypes)
+    arrays = ", ".join(f"`{c}` array<{kinds[c]}>" for c in columns)
+    return rows.mapInPandas(run, f"list long, dims int, center binary, radius double, data binary, {arrays}")
+
+
+def _query_blocks(queries: DataFrame, block: int) -> DataFrame:
+    """Queries packed by vector length: ``block, dims, query_id, banned, data``."""
+    kind = dict(queries.dtypes)["query_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = count(TaskContext.get().partitionId() << 32)
+        for pdf in batches:
+            for dims, part in pdf.groupby(pdf["query_vector"].map(len)):
+                for low in range(0, len(part), block):
+                    q = part.iloc[low : low + block]
+                    yield pd.DataFrame({"block": [next(names)], "dims": [dims], "query_id": [q["query_id"].tolist()], "banned": [[list(s) for s in q["excluded_statuses"]]],
+                                        "data": [np.stack(q["query_vector"].to_numpy()).astype(np.int64).tobytes()]})
+
+    rows = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector", "excluded_statuses")
+    return rows.mapInPandas(run, f"block long, dims int, query_id array<{kind}>, banned array<array<string>>, data binary")
+
+
+def _reached(lists: DataFrame, asked: DataFrame, need: int) -> DataFrame:
+    """``(block, list)`` pairs in which some query can reach ``need``: its product with the center plus its length times the radius.
+
+    Heads of lists meet query blocks as keyed rows, numbers only.
+    """
+    n_lists, n_asked = lists.count(), asked.count()
+    groups, sides = -(-n_lists // HEADS) or 1, -(-n_asked // 8) or 1
+
+    def bound(queries: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"block": [], "list": []}, dtype="int64")]
+        for dims, of in heads.groupby("dims"):
+            centers = np.frombuffer(b"".join(of["center"]), np.float64).reshape(len(of), dims)
+            for q in queries[queries["dims"] == dims].itertuples(index=False):
+                x = np.frombuffer(q.data, np.int64).reshape(-1, dims).astype(np.float64)
+                most = x @ centers.T + np.sqrt((x**2).sum(axis=1))[:, None] * of["radius"].to_numpy()
+                out.append(pd.DataFrame({"block": q.block, "list": of["list"].to_numpy()[(most + 1e6 >= need * 1e6 - 500_000).any(axis=0)]}))
+        return pd.concat(out, ignore_index=True)
+
+    left = asked.select("block", "dims", "data", F.pmod(F.xxhash64("block"), F.lit(sides)).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    right = lists.select("list", "dims", "center", "radius", F.pmod(F.xxhash64("list"), F.lit(groups)).cast("int").alias("part"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long"))).alias("side"))
+    return left.groupBy("side", "part").cogroup(right.groupBy("side", "part")).applyInPandas(bound, "block long, list long")
+
+
 def similarity_top(
     vectors: DataFrame, queries: DataFrame, *, id_col: str, pool: int,
     keys: list[str], min_similarity: float = P.MIN_SIMILARITY, block: int = QUERY_BLOCK,
@@ -234,66 +330,44 @@ def similarity_top(
     """JON7: best rows per query by cosine, at or above the threshold.
 
     ``vectors`` has ``id_col``, ``values`` (whole millionths), ``status`` and
-    the tie-break columns ``keys`` (strings); ``queries`` has ``query_id``,
+    the tie-break columns ``keys``; ``queries`` has ``query_id``,
     ``query_vector`` and ``excluded_statuses``.  Vectors of another length than
     the query's never match.  Similarity is rounded to six places.
     """
     need = int(round(min_similarity * 1e6))
-    spark = vectors.sparkSession
-    n_blocks = max(1, -(-queries.count() // block))  # counted without embedding
-    narrow = vectors.select(id_col, "status", *[k for k in keys if k != id_col], "values")
-    kinds = dict(vectors.dtypes)
-    query_kind = dict(queries.dtypes)["query_id"]
-    schema = ", ".join(
-        [f"query_id {query_kind}", f"{id_col} {kinds[id_col]}", "similarity double"]
-        + [f"{k} {kinds[k]}" for k in keys if k != id_col]
-    )
-    parts = []
-    for b in range(n_blocks):
-        # At most ``block`` rows on average; hashing keeps the blocks even.
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select(
-            "query_id", "query_vector", "excluded_statuses").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype=object if query_kind == "string" else np.int64)
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        banned = {s for r in rows for s in r[2]}
-        ban = {s: np.array([s in r[2] for r in rows]) for s in banned}
-        shared = spark.sparkContext.broadcast((ids, matrix, ban))
-
-        def score(batches, shared=shared):
-            ids, matrix, ban = shared.value
-            tie = [k for k in keys if k != id_col]
-            for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == matrix.shape[1] for v in pdf["values"]]]
-                if pdf.empty:
-                    continue
-                # Rows in tie order, so that a stable sort keeps the right ones.
-                pdf = pdf.sort_values(keys, kind="stable").reset_index(drop=True)
+    columns = [id_col, "status", *[k for k in keys if k != id_col]]
+    kinds, query_kind = dict(vectors.dtypes), dict(queries.dtypes)["query_id"]
+    rows = materialise(_signed(vectors.select(*columns, "values")))
+    bits = min(SIGNS, max(0, (rows.count() // LIST_ROWS).bit_length()))
+    order = ["dims", "near", *keys]
+    near = rows.withColumn("near", F.shiftright("sig", SIGNS - bits))
+    lists = materialise(_lists(near.repartitionByRange(*order).sortWithinPartitions(*order), columns))
+    asked = materialise(_query_blocks(queries, block))
+    pairs = _reached(lists, asked, need).join(asked.withColumnRenamed("data", "matrix").drop("dims").withColumnRenamed("query_id", "query_ids"), "block")
+    tie = [k for k in keys if k != id_col]
+
+    def score(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in found.itertuples(index=False):
+            x = np.frombuffer(r.data, np.int64).reshape(-1, r.dims).astype(np.float64)
+            status = np.array(r.status, dtype=object)
+            columns_of = {c: np.array(getattr(r, c), dtype=object) for c in [id_col, *tie]}
+            for q in blocks.itertuples(index=False):
                 # Every product and partial sum is a whole number below 2**53.
-                dots = matrix @ np.stack(pdf["values"].to_numpy()).astype(np.float64).T
+                dots = np.frombuffer(q.matrix, np.int64).reshape(-1, r.dims).astype(np.float64) @ x.T
                 micro = np.floor((np.abs(dots) + 500_000) / 1e6) * np.sign(dots)
-                status = pdf["status"].to_numpy()
-                for s, flags in ban.items():
-                    micro[np.ix_(flags, status == s)] = -np.inf
-                picked_q, picked_d = [], []
-                for q in range(len(ids)):
-                    good = np.flatnonzero(micro[q] >= need)
-                    best = good[np.argsort(-micro[q][good], kind="stable")[:pool]]
-                    picked_q.append(np.full(len(best), q))
-                    picked_d.append(best)
-                qi, di = np.concatenate(picked_q).astype(int), np.concatenate(picked_d).astype(int)
-                out = {"query_id": ids[qi], id_col: pdf[id_col].to_numpy()[di],
-                       "similarity": micro[qi, di] / 1e6}
-                out.update({k: pdf[k].to_numpy()[di] for k in tie})
-                yield pd.DataFrame(out)
-
-        parts.append(narrow.mapInPandas(score, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+                for s in {s for banned in q.banned for s in banned}:
+                    micro[np.ix_(np.array([s in banned for banned in q.banned]), status == s)] = -np.inf
+                for i, query in enumerate(q.query_ids):
+                    good = np.flatnonzero(micro[i] >= need)
+                    # Rows are in tie order, so that a stable sort keeps the right ones.
+                    best = good[np.argsort(-micro[i][good], kind="stable")[:pool]]
+                    out.append(pd.DataFrame({"query_id": query, "similarity": micro[i][best] / 1e6, **{c: v[best] for c, v in columns_of.items()}}))
+        names = ["query_id", id_col, "similarity", *tie]
+        return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame({c: [] for c in names})
+
+    schema = ", ".join([f"query_id {query_kind}", f"{id_col} {kinds[id_col]}", "similarity double", *[f"{k} {kinds[k]}" for k in tie]])
+    found = pairs.groupBy("list").cogroup(lists.groupBy("list")).applyInPandas(score, schema)
     return top_pool(found, pool, F.desc("similarity"), *keys)
 
 

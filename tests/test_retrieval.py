@@ -140,6 +140,35 @@ def test_vector_search_in_blocks_equals_one_block(spark):
     assert run(1) == run(100) and run(100)
 
 
+@pytest.mark.parametrize("least", [-1.0, 0.2, 0.9])
+def test_clustered_lists_equal_an_exact_scan(spark, monkeypatch, least):
+    """Clusters, copies, other lengths, nulls and excluded states; far lists are not scored."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "LIST_ROWS", 16)
+    monkeypatch.setattr(vectors, "HEADS", 5)
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((12, 24))
+    unit = lambda v: [int(x) for x in np.rint(v / np.linalg.norm(v) * 1e6)]
+    rows = [(i, unit(centers[i % 12] + rng.standard_normal(24) * 0.15), ("ok", "old")[i % 5 == 0]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1], "ok") for i in range(40)] + [(2000, None, "ok"), (2001, [1, 2, 3], "ok"), (2002, [0] * 24, "ok"), (2003, [], "ok")]
+    asked = [(i, unit(centers[i] + rng.standard_normal(24) * 0.1), ["old"] if i % 2 else []) for i in range(9)] + [(50, [1, 0, 0], []), (51, None, [])]
+    v = spark.createDataFrame(rows, "vec_id bigint, values array<bigint>, status string")
+    q = spark.createDataFrame(asked, "query_id bigint, query_vector array<bigint>, excluded_statuses array<string>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.similarity) for r in vectors.similarity_top(v, q, id_col="vec_id", pool=6, keys=["vec_id"], min_similarity=least, block=4).collect())
+    want = []
+    for i, x, banned in asked:
+        dots = [(j, sum(a * b for a, b in zip(x, y))) for j, y, s in rows if x and y and len(x) == len(y) and s not in banned]
+        scored = [(-((abs(d) + 500_000) // 10**6) * (1 if d > 0 else -1 if d < 0 else 0), j) for j, d in dots]
+        scored = sorted((m, j) for m, j in scored if -m >= round(least * 1e6))
+        want += [(i, n, j, -m / 1e6) for n, (m, j) in enumerate(scored[:6], 1)]
+    assert got == sorted(want)
+    if least == 0.9:
+        lists = materialise(vectors._lists(vectors._signed(v.select("vec_id", "status", "values")).withColumn("near", F.shiftright("sig", 10)).repartitionByRange("dims", "near").sortWithinPartitions("dims", "near"), ["vec_id", "status"]))
+        blocks = materialise(vectors._query_blocks(q, 1))
+        assert vectors._reached(lists, blocks, 900_000).count() < 0.7 * lists.count() * blocks.count()
+
+
 def test_token_vector_matches_column_expansion(spark):
     words = ["routing", "building", "layouts", "ab", "why", "a/b.c_d-e", "classes", "ing"]
     df = spark.createDataFrame([(w,) for w in words], "token string")
