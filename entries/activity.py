@@ -573,11 +573,11 @@ def _raw_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _in_batches(spark, sf, base, start, batches=3):
-    """Run a stream over the events as they arrive in several parts, in order of time; it resumes from its progress."""
+def _in_batches(spark, sf, base, start, batches=3, shuffled=False):
+    """Run a stream over the events as they arrive in several parts, in order of time or in any; it resumes from its progress."""
     events = A.table(spark, sf, "events")
     cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / batches for k in range(1, batches)]).alias("c")).first()["c"]
-    part = F.size(F.filter(F.lit(cuts), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
+    part = F.pmod(F.xxhash64("event_id"), F.lit(batches)) if shuffled else F.size(F.filter(F.lit(cuts), lambda c: c < F.unix_micros(F.col("ts").cast("timestamp"))))
     for k in range(batches):
         events.filter(part == k).write.mode("append").parquet(f"{base}/in")
         start(spark.readStream.schema(events.schema).parquet(f"{base}/in")).awaitTermination()
@@ -605,7 +605,7 @@ def str_ingest_events(spark, sf):
 def str_use_signals(spark, sf):
     base = scratch(spark)
     _in_batches(spark, sf, base, lambda stream: ST.ingest(
-        ST.stream_use_signals(A.to_retrieval_events(stream)), f"{base}/out", f"{base}/progress"))
+        ST.stream_use_signals(A.to_retrieval_events(stream)), f"{base}/out", f"{base}/progress"), shuffled=True)
     return ST.latest(spark.read.parquet(f"{base}/out"))
 
 

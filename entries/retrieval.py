@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from entries import sql as S
 from marginalia import policy as P
-from marginalia.functions.joins import materialise
+from marginalia.functions.joins import materialise, shared_folder
 from marginalia.functions.text import strings, tokenize
 from marginalia.operators import corpus as C
-from marginalia.operators import fusion, lexical, links, vectors
+from marginalia.operators import evals, fusion, lexical, links, usage, vectors
 from marginalia.operators import queries as Q
 from marginalia.plans import search as plan
 from marginalia.sources import adapters as A
+from marginalia.sources import files
 
 AS_OF = "2024-12-31"
 QUERIES, ORACLES = {}, {}
@@ -509,7 +512,8 @@ def fus_search_no_vectors(spark, sf):
 
 
 _CONTEXT = S.with_([*S.LEXICAL, ("hits", "SELECT l.query_id, l.rank, l.chunk_id, greatest(1, ceil(length(c.text) / 4.0))::BIGINT AS t FROM lex l JOIN corpus c USING (chunk_id)")], """
-SELECT query_id, array_to_string(list_transform(f.taken, lambda x: x), '|') AS items, array_to_string(f.omitted, '|') AS omitted,
+SELECT query_id, array_to_string(list_transform(f.taken, lambda x: x), '|') AS items, array_to_string(list_transform(f.omitted, lambda x: x || ':token_budget'), '|') AS omitted,
+  array_to_string(list_transform(f.taken, lambda x: split_part(x, ':', 2)), '|') AS note_ids, len(f.taken) AS n_taken,
   len(h)::BIGINT AS candidate_count, f.used AS estimated_tokens, len(f.omitted) > 0 AS truncated FROM (
   SELECT query_id, h, list_reduce(h, lambda a, x: CASE WHEN a.used + x.used <= 600
       THEN {'used': a.used + x.used, 'taken': list_concat(a.taken, x.taken), 'omitted': a.omitted}
@@ -522,5 +526,46 @@ SELECT query_id, array_to_string(list_transform(f.taken, lambda x: x), '|') AS i
 def ctx_assemble(spark, sf):
     plans, corpus, index = _parts(spark, sf)
     ranked = lexical.lexical_search(plans, index, corpus, pool=15)
-    d = fusion.assemble_context(ranked.join(corpus.select("chunk_id", "text"), "chunk_id"))
-    return d.select("query_id", bar("items").alias("items"), bar("omitted").alias("omitted"), "candidate_count", "estimated_tokens", "truncated")
+    d = fusion.assemble_context(ranked.join(corpus.select("chunk_id", "text", "source_path", "type", "status", "validation_status", "validation_issues"), "chunk_id"))
+    return d.select(
+        "query_id", bar(F.transform("items", lambda h: h["chunk_id"])).alias("items"), bar(F.transform("omitted", lambda h: F.concat_ws(":", h["chunk_id"], h["reason"]))).alias("omitted"),
+        bar(F.transform("references", lambda h: h["note_id"])).alias("note_ids"), F.col("selected_count").alias("n_taken"), "candidate_count", "estimated_tokens", "truncated")
+
+
+@register("evl_golden_context", S.with_([*S.LEXICAL, ("h", "SELECT l.query_id, l.rank, l.chunk_id, greatest(1, ceil(length(c.text) / 4.0))::BIGINT AS t FROM lex l JOIN corpus c USING (chunk_id) WHERE l.rank <= 3")], """
+SELECT query_id, chunk_id AS expected, passed, (a <= 400)::BIGINT + (b IS NOT NULL AND CASE WHEN a <= 400 THEN a ELSE 0 END + b <= 400)::BIGINT AS selected_count,
+  CASE WHEN a <= 400 THEN a ELSE 0 END + CASE WHEN b IS NOT NULL AND CASE WHEN a <= 400 THEN a ELSE 0 END + b <= 400 THEN b ELSE 0 END AS context_tokens
+FROM (SELECT query_id, max(t) FILTER (rank = 1) AS a, max(t) FILTER (rank = 2) AS b FROM h GROUP BY query_id)
+JOIN (SELECT query_id, chunk_id, rank <= 3 AS passed FROM lex) USING (query_id)"""))
+def evl_golden_context(spark, sf):
+    """Every hit as an expected one: those of the first three pass; each with its query's small context."""
+    plans, corpus, index = _parts(spark, sf)
+    ranked = materialise(lexical.lexical_search(plans, index, corpus, pool=15))
+    judgements = ranked.select("query_id", F.col("source_file").alias("expected_path"), F.lit(None).cast("string").alias("expected_heading"), F.col("chunk_id").alias("expected"))
+    d = evals.golden_checks(ranked.join(corpus.select("chunk_id", "text"), "chunk_id"), judgements)
+    return d.select("query_id", "expected", "passed", "selected_count", "context_tokens")
+
+
+@register("src_hit_events", S.with_(S.LEXICAL, "SELECT query_id AS event_id, rank, chunk_id, score, true AS weak_use, false AS strong_use, 'lexical' AS sources FROM lex"))
+def src_hit_events(spark, sf):
+    """Hits as search events, logged in two batches, one of them twice, and read back."""
+    plans, corpus, index = _parts(spark, sf)
+    ranked = materialise(lexical.lexical_search(plans, index, corpus, pool=15)).withColumn("retrieval_sources", F.array(F.lit("lexical")))
+    asked = plans.select("query_id", F.col("query_id").cast("long").alias("event_id"), F.timestamp_seconds(F.col("query_id").cast("long")).alias("timestamp"), "query")
+    events, path = materialise(usage.shown_events(asked, ranked)), f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1):
+        files.append_events(events.filter(F.pmod("event_id", F.lit(2)) == batch), path, batch)
+    return usage.explode_results(usage.searches(files.read_events(spark, path))).filter("rank IS NOT NULL").select(
+        "event_id", "rank", "chunk_id", "score", "weak_use", "strong_use", bar("retrieval_sources").alias("sources"))
+
+
+@register("flt_repo_search")
+def flt_repo_search(spark, sf):
+    """FLT3: the context of every source: some have a home note, for the others the search answers."""
+    corpus = A.corpus(spark, sf)
+    home = (F.pmod(F.xxhash64("repo_slug"), F.lit(3)) == 0) & (F.pmod(F.xxhash64("note_id"), F.lit(5)) == 0)
+    named = corpus.withColumns({
+        "type": F.when(home, "repo-home").otherwise(F.col("type")), "heading": F.when(home, F.lit(P.REPO_CONTEXT_HEADINGS[0])).otherwise(F.col("heading")),
+        "source_file": F.when(home, F.concat(F.lit(f"vault/{P.REPOSITORY_ROOT}/"), "repo_slug", F.lit(f"/{P.REPO_HOME_FILE}"))).otherwise(F.col("source_file"))})
+    index = plan.build_search_index(named, _edges(spark, sf)[0])
+    return plan.repo_context(corpus.select("repo_slug"), index, as_of=AS_OF)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia import policy as P
 from marginalia.functions.joins import small
 from marginalia.functions.text import strings
+from marginalia.operators.fusion import assemble_context
 
 
 def evaluate_retrieval(results: DataFrame, judgements: DataFrame) -> DataFrame:
@@ -38,6 +39,18 @@ def evaluate_hits_at_k(results: DataFrame, judgements: DataFrame, k: int = 3) ->
         F.coalesce(F.max(hit), F.lit(False)).alias("passed"))
 
 
+def golden_checks(results: DataFrame, judgements: DataFrame) -> DataFrame:
+    """EVL2: the hit check of every judgement with the small context its query would get.
+
+    ``results`` are hits with text; of the first hits the context takes
+    ``GOLDEN_ITEMS`` at most, within ``GOLDEN_TOKENS``.
+    """
+    close = results.filter(F.col("rank") <= P.GOLDEN_HITS)
+    context = assemble_context(close, P.GOLDEN_TOKENS, max_items=P.GOLDEN_ITEMS)
+    return evaluate_hits_at_k(close, judgements, P.GOLDEN_HITS).join(
+        context.select("query_id", "selected_count", F.col("estimated_tokens").alias("context_tokens"), "references"), "query_id", "left")
+
+
 def evaluate_catalog(ranked: DataFrame, judgements: DataFrame) -> DataFrame:
     """EVL3: first entry, membership in the first three, and no forbidden entry.
 

@@ -149,43 +149,43 @@ def policy_rerank(fused: DataFrame, plans: DataFrame, as_of: str, integrity_mode
     )
 
 
+# What a reference says about a chunk; an item adds score reasons, text and size.
+REFERENCE = ["note_id", "source_file", "source_path", "heading", "type", "status", "validation_status", "validation_issues", "score"]
+
+
 def assemble_context(
     ranked: DataFrame, budget: int = P.DEFAULT_TOKEN_BUDGET, max_items: int | None = None,
 ) -> DataFrame:
-    """CTX1: one bundle per query from hits ``query_id, rank, chunk_id, note_id, text``.
+    """CTX1: one bundle per query from hits ``query_id, rank, chunk_id, note_id, text`` and more.
 
-    A hit that would exceed the budget is skipped and later ones may still fit,
-    so this is a fold and not a running sum.  The folded list has at most the
-    result limit of rows per query.
+    ``items`` and ``references`` are structs of the taken hits, as far as the hits
+    have their columns; ``omitted`` names the hits that would exceed the budget, with
+    the reason.  A hit that does not fit is skipped and later ones may still fit, so
+    this is a fold and not a running sum.  The folded list has at most the result
+    limit of rows per query.
     """
     hits = ranked if max_items is None else ranked.filter(F.col("rank") <= max_items)
-    item = F.struct(
-        F.col("rank"), F.col("chunk_id"), F.col("note_id"), estimate_tokens("text").alias("tokens")
-    )
+    named = [c for c in REFERENCE if c in hits.columns and c != "note_id"]
+    reasons = [c for c in ("reasons",) if c in hits.columns]
+    item = F.struct("rank", "chunk_id", "note_id", *named, *reasons, "text", estimate_tokens("text").alias("tokens"))
     totals = ranked.groupBy("query_id").agg(F.count("*").alias("candidate_count"))
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("hits"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"),
-        F.array().cast("array<string>").alias("taken"),
-        F.array().cast("array<string>").alias("omitted"),
-    )
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(item), lambda x, y: x["rank"] - y["rank"]).alias("hits"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("fits"))
 
     def step(acc, hit):
         fits = acc["used"] + hit["tokens"] <= budget
-        return F.struct(
-            (acc["used"] + F.when(fits, hit["tokens"]).otherwise(0)).alias("used"),
-            F.when(fits, F.concat(acc["taken"], F.array(hit["chunk_id"]))).otherwise(acc["taken"]).alias("taken"),
-            F.when(fits, acc["omitted"]).otherwise(F.concat(acc["omitted"], F.array(hit["chunk_id"]))).alias("omitted"),
-        )
+        return F.struct((acc["used"] + F.when(fits, hit["tokens"]).otherwise(0)).alias("used"), F.concat(acc["fits"], F.array(fits)).alias("fits"))
 
-    folded = lists.withColumn("f", F.aggregate("hits", start, step))
+    folded = lists.withColumn("f", F.aggregate("hits", start, step)).withColumns({
+        "taken": F.filter("hits", lambda h, i: F.get(F.col("f.fits"), i)), "left": F.filter("hits", lambda h, i: ~F.get(F.col("f.fits"), i))})
     return folded.join(totals, "query_id").select(
         "query_id",
-        F.col("f.taken").alias("items"),
-        F.col("f.omitted").alias("omitted"),
-        F.col("candidate_count"),
-        F.size("f.taken").cast("long").alias("selected_count"),
+        F.transform("taken", lambda h: F.struct(*[h[c].alias(c) for c in ("note_id", "chunk_id", *named, *reasons, "text")], h["tokens"].alias("estimated_tokens"))).alias("items"),
+        F.transform("taken", lambda h: F.struct(*[h[c].alias(c) for c in ("note_id", *named)])).alias("references"),
+        F.transform("left", lambda h: F.struct(h["note_id"].alias("note_id"), h["chunk_id"].alias("chunk_id"), F.lit("token_budget").alias("reason"))).alias("omitted"),
+        "candidate_count",
+        F.size("taken").cast("long").alias("selected_count"),
         F.col("f.used").alias("estimated_tokens"),
         F.lit(budget).cast("long").alias("token_budget"),
-        ((F.size("f.omitted") > 0) | (F.size("f.taken") < F.size("hits"))).alias("truncated"),
+        ((F.size("left") > 0) | (F.size("taken") < F.size("hits"))).alias("truncated"),
     )

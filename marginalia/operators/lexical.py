@@ -265,15 +265,21 @@ def eligible(
     """FLT1: keep the ``(query, chunk)`` rows whose chunk the query may return.
 
     ``columns`` are carried over from the corpus.  The static filters reach the
-    scan; only the status rule depends on the query.
+    scan; the status rule, and the repository of plans with a ``scope_repo``, depend
+    on the query.
     """
     docs = filter_corpus(corpus, repo_slug, note_type, integrity_mode)
+    scoped = "scope_repo" in plans.columns
     keep = ["chunk_id", "status", *[c for c in columns if c != "status"]]
+    allowed = ~F.array_contains("excluded_statuses", F.col("status"))
+    if scoped:
+        allowed = allowed & (F.col("scope_repo").isNull() | (F.col("scope_repo") == F.col("in_repo")))
+    rules = ["excluded_statuses", *(["scope_repo"] if scoped else [])]
     return (
-        scored.join(docs.select(*keep), "chunk_id")
-        .join(small(plans.select("query_id", "excluded_statuses"), like=plans), "query_id")
-        .filter(~F.array_contains("excluded_statuses", F.col("status")))
-        .drop("excluded_statuses")
+        scored.join(docs.select(*keep, *([F.col("repo_slug").alias("in_repo")] if scoped else [])), "chunk_id")
+        .join(small(plans.select("query_id", *rules), like=plans), "query_id")
+        .filter(allowed)
+        .drop(*rules, "in_repo")
     )
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.joins import materialise
 
 ROWS_PER_RANGE = 1_000_000
+TARGET = "struct<chunk_id:string,note_id:string,source_path:string,source_file:string,heading:string,strong_use:boolean>"
+RESULTS = ("array<struct<rank:bigint,chunk_id:string,note_id:string,source_path:string,source_file:string,heading:string,score:double,"
+           "weak_use:boolean,strong_use:boolean,retrieval_sources:array<string>>>")
 
 
 def explode_results(events: DataFrame) -> DataFrame:
@@ -30,6 +33,40 @@ def explode_results(events: DataFrame) -> DataFrame:
     ).select("event_id", "timestamp", "tool", "query", "position", "r.*")
 
 
+def _shown(hits: DataFrame) -> Column:
+    """A hit as the event log keeps it: shown is weak use, opened would be strong use."""
+    of = lambda c, kind: (F.col(c) if c in hits.columns else F.lit(None)).cast(kind).alias(c)
+    if "retrieval_sources" in hits.columns:
+        sources = F.col("retrieval_sources")
+    elif "reasons" in hits.columns:
+        sources = F.transform(F.filter("reasons", lambda r: r.isin("source:lexical", "source:vector", "source:graph")), lambda r: F.substring_index(r, ":", -1))
+    else:
+        sources = F.array().cast("array<string>")
+    return F.struct(
+        F.col("rank").cast("long").alias("rank"), *[of(c, "string") for c in ("chunk_id", "note_id", "source_path", "source_file", "heading")],
+        of("score", "double"), F.lit(True).alias("weak_use"), F.lit(False).alias("strong_use"), sources.alias("retrieval_sources"))
+
+
+def shown_events(asked: DataFrame, hits: DataFrame, tool: str = "memory_search") -> DataFrame:
+    """SRC7: one event per row of ``asked`` (``query_id, event_id, timestamp, query``) with its hits in order.
+
+    A question without hits gives an event with an empty list.  ``tool`` is
+    ``memory_search``, or ``memory_context`` for hits of a repository's context.
+    A list has at most the result limit of entries.
+    """
+    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(_shown(hits)), lambda x, y: (x["rank"] - y["rank"]).cast("int")).alias("results"))
+    empty = F.array().cast(lists.schema["results"].dataType)
+    return asked.select("query_id", "event_id", "timestamp", "query").join(lists, "query_id", "left").select(
+        "timestamp", "event_id", F.lit(tool).alias("tool"), "query", F.coalesce("results", empty).alias("results"), F.lit(None).cast(TARGET).alias("target"))
+
+
+def unfold_events(opened: DataFrame) -> DataFrame:
+    """SRC7: one event per opened chunk (``event_id, timestamp`` and the chunk's columns), a strong use."""
+    target = F.struct(*[F.col(c).cast("string").alias(c) for c in ("chunk_id", "note_id", "source_path", "source_file", "heading")], F.lit(True).alias("strong_use"))
+    return opened.select("timestamp", "event_id", F.lit("memory_unfold").alias("tool"), F.lit(None).cast("string").alias("query"),
+                         F.lit(None).cast(RESULTS).alias("results"), target.alias("target"))
+
+
 def searches(events: DataFrame) -> DataFrame:
     return events.filter((F.col("tool") == "memory_search") & (F.coalesce("query", F.lit("")) != ""))
 

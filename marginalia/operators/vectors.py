@@ -292,11 +292,12 @@ def _query_blocks(queries: DataFrame, block: int) -> DataFrame:
             for dims, part in pdf.groupby(pdf["query_vector"].map(len)):
                 for low in range(0, len(part), block):
                     q = part.iloc[low : low + block]
-                    yield pd.DataFrame({"block": [next(names)], "dims": [dims], "query_id": [q["query_id"].tolist()], "banned": [[list(s) for s in q["excluded_statuses"]]],
+                    yield pd.DataFrame({"block": [next(names)], "dims": [dims], "query_id": [q["query_id"].tolist()], "banned": [[list(s) for s in q["excluded_statuses"]]], "scope": [[None if pd.isna(x) else x for x in q["scope"]]],
                                         "data": [np.stack(q["query_vector"].to_numpy()).astype(np.int64).tobytes()]})
 
-    rows = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector", "excluded_statuses")
-    return rows.mapInPandas(run, f"block long, dims int, query_id array<{kind}>, banned array<array<string>>, data binary")
+    scope = F.col("scope_repo") if "scope_repo" in queries.columns else F.lit(None).cast("string")
+    rows = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector", "excluded_statuses", scope.alias("scope"))
+    return rows.mapInPandas(run, f"block long, dims int, query_id array<{kind}>, banned array<array<string>>, scope array<string>, data binary")
 
 
 def _reached(lists: DataFrame, asked: DataFrame, need: int) -> DataFrame:
@@ -332,10 +333,12 @@ def similarity_top(
     ``vectors`` has ``id_col``, ``values`` (whole millionths), ``status`` and
     the tie-break columns ``keys``; ``queries`` has ``query_id``,
     ``query_vector`` and ``excluded_statuses``.  Vectors of another length than
-    the query's never match.  Similarity is rounded to six places.
+    the query's never match.  Queries with a ``scope_repo`` match vectors of that
+    ``repo_slug`` only.  Similarity is rounded to six places.
     """
     need = int(round(min_similarity * 1e6))
-    columns = [id_col, "status", *[k for k in keys if k != id_col]]
+    scoped = "scope_repo" in queries.columns
+    columns = [id_col, "status", *(["repo_slug"] if scoped else []), *[k for k in keys if k not in (id_col, "repo_slug")]]
     kinds, query_kind = dict(vectors.dtypes), dict(queries.dtypes)["query_id"]
     rows = materialise(_signed(vectors.select(*columns, "values")))
     bits = min(SIGNS, max(0, (rows.count() // LIST_ROWS).bit_length()))
@@ -358,6 +361,8 @@ def similarity_top(
                 micro = np.floor((np.abs(dots) + 500_000) / 1e6) * np.sign(dots)
                 for s in {s for banned in q.banned for s in banned}:
                     micro[np.ix_(np.array([s in banned for banned in q.banned]), status == s)] = -np.inf
+                for repo in {x for x in q.scope if x is not None} if scoped else ():
+                    micro[np.ix_(np.array([x == repo for x in q.scope]), np.array(r.repo_slug, dtype=object) != repo)] = -np.inf
                 for i, query in enumerate(q.query_ids):
                     good = np.flatnonzero(micro[i] >= need)
                     # Rows are in tie order, so that a stable sort keeps the right ones.

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia import policy as P
 from marginalia.functions.joins import materialise, small
 from marginalia.functions.text import is_substantive
-from marginalia.operators import fusion, lexical, links, vectors
+from marginalia.operators import evals, fusion, lexical, links, vectors
 from marginalia.operators.queries import plan_queries
 
 
@@ -86,6 +87,22 @@ def search(
     )
 
 
+def repo_context(slugs: DataFrame, index: SearchIndex, *, as_of: str) -> DataFrame:
+    """FLT3: context of each repository: ``repo_slug, position, chunk_id, origin``.
+
+    The chunks of its home note, or, where there is none, the hits of a search for
+    its architecture within the repository.
+    """
+    asked = materialise(slugs.select("repo_slug").filter(F.col("repo_slug").isNotNull()).distinct())
+    home = materialise(evals.repo_context(index.corpus, asked))
+    lacking = asked.join(home.select("repo_slug"), "repo_slug", "left_anti")
+    queries = lacking.select(
+        F.col("repo_slug").alias("query_id"), F.concat(F.lit(P.REPO_FALLBACK_QUERY), "repo_slug").alias("query"), F.col("repo_slug").alias("scope_repo"))
+    found = search(queries, index, as_of=as_of, limit=P.REPO_FALLBACK_LIMIT)
+    return home.select("repo_slug", F.col("position").cast("int").alias("position"), "chunk_id", F.lit("home").alias("origin")).unionByName(
+        found.select(F.col("query_id").alias("repo_slug"), F.col("rank").alias("position"), "chunk_id", F.lit("search").alias("origin")))
+
+
 def lexical_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms of the planned queries, to build restricted postings."""
     return plan_queries(queries).select(F.explode("terms").alias("term")).distinct()

@@ -10,7 +10,7 @@ from marginalia.functions.joins import materialise
 from marginalia.operators import corpus as C
 from marginalia.operators import fusion, lexical, vectors
 from marginalia.operators import queries as Q
-from marginalia.plans.search import SearchIndex, asked_limit, build_search_index, search, vector_state
+from marginalia.plans.search import SearchIndex, asked_limit, build_search_index, repo_context, search, vector_state
 
 NOTES = [
     ("plan", "spec", "active", "Typed memory plan", "Build typed memory."),
@@ -188,9 +188,39 @@ def test_context_skips_and_never_exceeds_the_budget(spark):
         r = fusion.assemble_context(df, budget).first()
         assert r.estimated_tokens <= budget
     r = fusion.assemble_context(df, 20).first()
-    assert r["items"] == ["c1", "c3"] and r.omitted == ["c2", "c4"] and r.truncated
+    assert [x.chunk_id for x in r["items"]] == ["c1", "c3"] and [(x.chunk_id, x.note_id, x.reason) for x in r.omitted] == [("c2", "n2", "token_budget"), ("c4", "n4", "token_budget")]
+    assert r.truncated and [x.note_id for x in r.references] == ["n1", "n3"] and [x.estimated_tokens for x in r["items"]] == [10, 10] and r["items"][0].text == "x" * 40
     r = fusion.assemble_context(df, 2000, max_items=1).first()
-    assert r["items"] == ["c1"] and not r.truncated and r.candidate_count == 4
+    assert [x.chunk_id for x in r["items"]] == ["c1"] and not r.truncated and r.candidate_count == 4
+
+
+def test_context_items_carry_the_hit(spark):
+    rows = [(1, 1, "c1", "n1", "f", "f § h", "h", "spec", "active", "warning", ["w"], 2.5, ["source:lexical"], "text")]
+    df = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, note_id string, source_file string, source_path string, heading string, type string, status string, "
+                                     "validation_status string, validation_issues array<string>, score double, reasons array<string>, text string")
+    r = fusion.assemble_context(df).first()
+    assert r.references[0].asDict() == {"note_id": "n1", "source_file": "f", "source_path": "f § h", "heading": "h", "type": "spec", "status": "active", "validation_status": "warning",
+                                        "validation_issues": ["w"], "score": 2.5}
+    assert r["items"][0].asDict() == r.references[0].asDict() | {"chunk_id": "c1", "reasons": ["source:lexical"], "text": "text", "estimated_tokens": 1}
+
+
+def test_a_repository_without_home_is_searched(spark):
+    """Hits equal those of a search that is restricted to the repository."""
+    corpus, edges = tables(spark)
+    away = corpus.withColumns({"repo_slug": F.lit("away"), "chunk_id": F.concat(F.lit("away-"), "chunk_id"), "note_id": F.concat(F.lit("away-"), "note_id")})
+    home = corpus.limit(1).withColumns({"repo_slug": F.lit("homed"), "chunk_id": F.lit("home"), "type": F.lit("repo-home"), "heading": F.lit(P.REPO_CONTEXT_HEADINGS[1]),
+                                        "source_file": F.lit(f"vault/{P.REPOSITORY_ROOT}/homed/{P.REPO_HOME_FILE}")})
+    index = build_search_index(materialise(corpus.unionByName(away).unionByName(home)), edges)
+    slugs = spark.createDataFrame([("home",), ("away",), ("homed",), ("unknown",), (None,), ("home",)], "repo_slug string")
+    got = {}
+    for r in repo_context(slugs, index, as_of="2026-01-05").collect():
+        got.setdefault((r.repo_slug, r.origin), []).append((r.position, r.chunk_id))
+    assert got.pop(("homed", "home")) == [(2, "home")]
+    for slug in ("home", "away"):
+        q = spark.createDataFrame([(1, f"architecture spec plan memory {slug}")], "query_id bigint, query string")
+        want = [(r["rank"], r.chunk_id) for r in search(q, index, as_of="2026-01-05", repo_slug=slug, limit=5).collect()]
+        assert sorted(got.pop((slug, "search"))) == sorted(want) != []
+    assert got == {}
 
 
 def test_repeated_note_ids_do_not_multiply_chunks(spark):
