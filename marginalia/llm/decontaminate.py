@@ -10,6 +10,8 @@ re-parameterised questions and turns away chance hits on placeholders.  A docume
 leaks an item when its consistent passages cover at least ``similarity`` of the
 item's windows, of both kinds together or of those with placeholders for names.  Windows
 with fewer than two literal words count only where a document has the same words.
+Every window has an anchor, its rarest literal word; windows are made only of
+documents that hold the anchors of enough windows of an item.
 
 Defined results.  Null and empty texts and items have no windows and match
 nothing.  Items or documents of fewer than five words are one window, so they only
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import stage
+
 WINDOW = 5
 SIMILARITY = 0.8
 # Item windows are sent to every task up to this many rows (at most 25 MB); more are joined by a shuffle.
@@ -31,6 +35,7 @@ BROADCAST_WINDOWS = 200_000
 
 # A word, with the sentence mark before it if there is one; measure words.
 TOKEN = r"(?:[.!?:\n][\s\"']*)?(?:[\p{L}\p{M}]+|\p{N}+)"
+WORD = r"[\p{L}\p{M}]+|\p{N}+"
 MARKS = " .!?:\n\r\t\"'\u000b\f"
 UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
          "kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter "
@@ -92,6 +97,34 @@ def _cut(array: str, at: str) -> Column:
     return F.slice(F.col(array), F.col(at) + 1, WINDOW)
 
 
+def candidates(docs: DataFrame, items: DataFrame, totals: DataFrame, similarity: float) -> DataFrame:
+    """``_id, _key`` of the documents that hold the anchor words of enough windows of an item.
+
+    The anchor of a window is the literal word of its template that the fewest items
+    have, the longest of these; a document without it cannot match the window.  So the
+    anchors a document holds bound what it can cover, and no leak is left out.
+    """
+    words = F.when(F.col("kind") == "same", F.filter(F.transform("item_raw", _word), lambda w: ~_numeric(w))).otherwise(
+        F.filter("item_tpl", lambda w: ~w.isin(*PLACEHOLDERS)))
+    rank = F.when(F.col("kind") == "named", 0).when(F.col("kind") == "plain", 1).otherwise(2)
+    # The literal words without names are literal in both kinds of a window.
+    spots = items.groupBy("item_id", "item_at", "item_raw").agg(
+        F.min_by(words, rank).alias("words"), F.max(F.col("kind") == "named").alias("named"), F.max(F.col("kind") != "same").alias("strong"))
+    literal = spots.select("item_id", "item_at", "item_raw", "named", "strong", F.explode("words").alias("word"))
+    common = literal.groupBy("word").agg(F.count_distinct("item_id").alias("items"))
+    anchors = literal.join(common, "word").groupBy("item_id", "item_at", "item_raw", "named", "strong").agg(
+        F.min(F.struct("items", (-F.length("word")).alias("short"), "word")).alias("a")).select("item_id", "item_at", "named", "strong", "a.word").distinct()
+    anchors = stage(anchors.groupBy("word", "item_id").agg(
+        F.sum(F.col("named").cast("int")).alias("n_named"), F.sum(F.col("strong").cast("int")).alias("n"), F.count("*").alias("n_all")), "anchors")
+    side = F.broadcast(anchors) if anchors.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else anchors
+    every = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)))
+    held = (docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.transform(every, F.lower))).alias("word"))
+            .join(side, "word").groupBy("doc_id", "text_key", "item_id").agg(*[F.sum(c).alias(c) for c in ("n_named", "n", "n_all")]))
+    enough = lambda n, total: (F.col(total) > 0) & (F.col(n) / F.col(total) >= similarity)
+    found = held.join(totals, "item_id").filter(enough("n_named", "total_named") | enough("n", "total") | enough("n_all", "total_all"))
+    return stage(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "anchored")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_key, item_id, coverage, exact`` of every leaked item.
 
@@ -103,9 +136,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     each = kinds[0].union(kinds[1]).distinct().withColumn("_h", F.transform("item_tpl", lambda w: F.xxhash64(w))).withColumn("hash", _joint("_h", F.lit(0))).drop("_h")
     strong = literal >= F.least(F.lit(2), F.size("item_tpl"))
     same = F.lit("same")  # of weak windows, only those with the same words count
-    items = each.withColumn("kind", F.when(strong, F.col("kind")).when((F.col("kind") == "plain") & F.exists("item_raw", lambda t: ~_numeric(t)), same)).filter("kind IS NOT NULL")
+    items = stage(each.withColumn("kind", F.when(strong, F.col("kind")).when((F.col("kind") == "plain") & F.exists("item_raw", lambda t: ~_numeric(t)), same)).filter("kind IS NOT NULL"), "item-windows")
     at = lambda *of: F.count_distinct(F.when(F.col("kind").isin(*of), F.col("item_at")))
     totals = items.groupBy("item_id").agg(at("named").alias("total_named"), at("named", "plain").alias("total"), at("named", "plain", "same").alias("total_all"))
+    # Windows are made of the documents that can reach an item at all.
+    near = candidates(docs, items, totals, similarity)
+    docs = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
     known = items.limit(BROADCAST_WINDOWS + 1).count()
     side = F.broadcast(items) if known <= BROADCAST_WINDOWS else items
     doc_tpl = F.when(F.col("kind") == "named", _cut("named", "at")).otherwise(_cut("plain", "at"))
