@@ -121,18 +121,15 @@ def build_corpus(chunks: DataFrame, notes: DataFrame, vectors: DataFrame | None
 
 
 def corpus_stats(corpus: DataFrame, vector_status: str = "missing") -> DataFrame:
-    """AGG4: chunk count and counts by type and status, long form."""
-    total = corpus.agg(F.count("*").alias("n")).select(
-        F.lit("chunks").alias("facet"), F.lit("all").alias("key"), "n"
-    )
-    state = corpus.sparkSession.range(1).select(
-        F.lit("vector_status").alias("facet"), F.lit(vector_status).alias("key"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    facets = [
-        corpus.groupBy(F.coalesce(F.col(c), F.lit("unknown")).alias("key"))
-        .agg(F.count("*").alias("n"))
-        .select(F.lit(name).alias("facet"), "key", "n")
-        for c, name in (("type", "type"), ("status", "status"))
-    ]
-    return total.unionByName(state).unionByName(facets[0]).unionByName(facets[1])
+    """AGG4: chunk count and counts by type and status, long form; one pass over the corpus."""
+    def facet(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("facet"), key.alias("key"), F.lit(1).cast("long").alias("n"))
+
+    spark = corpus.sparkSession
+    known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    each = corpus.select(F.inline(F.array(facet("chunks", F.lit("all")), facet("type", known("type")), facet("status", known("status")))))
+    # An empty corpus has its total, too.
+    none = spark.range(1).select(F.lit("chunks").alias("facet"), F.lit("all").alias("key"), F.lit(0).cast("long").alias("n"))
+    state = spark.range(1).select(
+        F.lit("vector_status").alias("facet"), F.lit(vector_status).alias("key"), F.lit(1).cast("long").alias("n"))
+    return each.unionByName(none).groupBy("facet", "key").agg(F.sum("n").alias("n")).unionByName(state)

@@ -72,25 +72,22 @@ def _has(issue: str) -> Column:
 def diagnostics(reg: DataFrame, unresolved: DataFrame) -> DataFrame:
     """AGG3 in long form: ``section, key, detail, n``.
 
-    Counting facets share one pass; listing facets share another.
+    Counted facets and listed notes come from one pass over the registry.
     """
     def facet(section: str, key: Column, n: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), key.alias("key"), n.cast("long").alias("n"))
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), F.lit("").alias("detail"), F.lit(None).cast("string").alias("of"), n.cast("long").alias("n"))
 
-    counts = reg.select(F.explode(F.array(
+    kept_type = F.coalesce("legacy_type", F.lit("")) != ""
+    kept_status = F.coalesce("legacy_status", F.lit("")) != ""
+    arrow = lambda a, b: F.concat(F.col(a), F.lit(" -> "), F.col(b))
+    # A listed note is a group of its own.
+    row = lambda cond, section, detail: F.when(cond, F.struct(
+        F.lit(section).alias("section"), F.col("path").alias("key"), detail.alias("detail"), F.col("id").alias("of"), F.lit(1).cast("long").alias("n")))
+    found = reg.select(F.explode(F.array_compact(F.array(
         facet("notes", F.lit("all"), F.lit(1)),
         facet("chunks", F.lit("all"), F.size("chunk_ids")),
         facet("notes_by_type", F.col("type"), F.lit(1)),
         facet("notes_by_status", F.col("status"), F.lit(1)),
-    )).alias("x")).groupBy("x.section", "x.key").agg(F.sum("x.n").alias("n")).select(
-        "section", "key", F.lit("").alias("detail"), "n"
-    )
-    kept_type = F.coalesce("legacy_type", F.lit("")) != ""
-    kept_status = F.coalesce("legacy_status", F.lit("")) != ""
-    arrow = lambda a, b: F.concat(F.col(a), F.lit(" -> "), F.col(b))
-    row = lambda cond, section, detail: F.when(
-        cond, F.struct(F.lit(section).alias("section"), F.col("path").alias("key"), detail.alias("detail")))
-    listed = reg.select(F.explode(F.array_compact(F.array(
         row(_has("missing_frontmatter_id"), "synthetic_ids", F.lit("")),
         row(kept_type & (F.lower(F.trim("legacy_type")) != F.col("type")), "legacy_type_normalizations",
             arrow("legacy_type", "type")),
@@ -98,12 +95,12 @@ def diagnostics(reg: DataFrame, unresolved: DataFrame) -> DataFrame:
         row(_has("missing_frontmatter_id"), "validation_warnings",
             F.concat(F.col("path"), F.lit(": missing frontmatter id; generated "), F.col("id"))),
         row(_has("missing_summary"), "validation_warnings", F.concat(F.col("path"), F.lit(": missing summary"))),
-    ))).alias("x")).select("x.section", "x.key", "x.detail", F.lit(1).cast("long").alias("n"))
+    ))).alias("x")).groupBy("x.section", "x.key", "x.detail", "x.of").agg(F.sum("x.n").alias("n")).select("section", "key", "detail", "n")
     missing = unresolved.select(
         F.lit("unresolved_links").alias("section"), F.col("from_id").alias("key"),
         F.col("target").alias("detail"), F.lit(1).cast("long").alias("n"),
     ).distinct()
-    return counts.unionByName(listed).unionByName(missing)
+    return found.unionByName(missing)
 
 
 def diff_manifest(previous: DataFrame, current: DataFrame) -> DataFrame:
