@@ -559,11 +559,20 @@ def src_hit_events(spark, sf):
         "event_id", "rank", "chunk_id", "score", "weak_use", "strong_use", bar("retrieval_sources").alias("sources"))
 
 
-@register("flt_repo_search")
+_IN_REPO = [(n, body.replace("NOT list_contains(p.excluded, c.sstatus)", "NOT list_contains(p.excluded, c.sstatus) AND c.repo_slug = p.query_id")) for n, body in _HYBRID]
+_HOMED = f"""SELECT * REPLACE (CASE WHEN homed THEN 'repo-home' ELSE type END AS type, CASE WHEN homed THEN {S.q(P.REPO_CONTEXT_HEADINGS[0])} ELSE heading END AS heading,
+  CASE WHEN homed THEN 'vault/{P.REPOSITORY_ROOT}/' || repo_slug || '/{P.REPO_HOME_FILE}' ELSE source_file END AS source_file)
+FROM (SELECT *, repo_slug LIKE '%3' AND doc_id % 3 = 0 AS homed FROM ({S.CORPUS}))"""
+_REPO_ASK = "SELECT DISTINCT source AS query_id, 'architecture spec plan memory ' || source AS query FROM documents WHERE source NOT IN (SELECT repo_slug FROM corpus WHERE homed)"
+
+
+@register("flt_repo_search", S.with_([(n, {"corpus": _HOMED, "queries": _REPO_ASK}.get(n, body)) for n, body in _IN_REPO], f"""
+SELECT query_id AS repo_slug, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS position, chunk_id, 'search' AS origin FROM reranked WHERE {S.SUBSTANTIVE}
+UNION ALL SELECT repo_slug, 1, min(chunk_id), 'home' FROM corpus WHERE homed GROUP BY repo_slug"""))
 def flt_repo_search(spark, sf):
     """FLT3: the context of every source: some have a home note, for the others the search answers."""
     corpus = A.corpus(spark, sf)
-    home = (F.pmod(F.xxhash64("repo_slug"), F.lit(3)) == 0) & (F.pmod(F.xxhash64("note_id"), F.lit(5)) == 0)
+    home = F.col("repo_slug").endswith("3") & (F.substring_index("note_id", "-", -1).cast("long") % 3 == 0)
     named = corpus.withColumns({
         "type": F.when(home, "repo-home").otherwise(F.col("type")), "heading": F.when(home, F.lit(P.REPO_CONTEXT_HEADINGS[0])).otherwise(F.col("heading")),
         "source_file": F.when(home, F.concat(F.lit(f"vault/{P.REPOSITORY_ROOT}/"), "repo_slug", F.lit(f"/{P.REPO_HOME_FILE}"))).otherwise(F.col("source_file"))})
