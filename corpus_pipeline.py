@@ -1,7 +1,9 @@
 """The document pipeline: quality, near copies, benchmark leaks, secrets, pieces.
 
 Every stage takes the documents that its predecessor kept and returns documents; the
-last returns their pieces.  ``run`` writes each stage's result to the shared folder
+last returns their pieces.  Null texts count as empty, repeated rows (equal id and text)
+as one document, different texts under one id as several; rows without an id leave
+only as exact copies; an empty table gives no rows.  ``run`` writes each stage's result to the shared folder
 and reads it again, so that a lost executor costs one stage at most.
 """
 
@@ -23,8 +25,10 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group with shingle sets of 0.8 or more alike."""
     keep = minhash.near_duplicates(docs, percent=80, words=5).filter("kept OR doc_id IS NULL").select("doc_id")
-    real = docs.join(keep.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return real.union(docs.filter("doc_id IS NULL").dropDuplicates(["text"])).select(docs.columns)
+    named = docs.withColumn("_text", F.xxhash64("text"))
+    # Different texts under one id are different documents.
+    real = named.join(keep.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"])
+    return real.unionByName(named.filter("doc_id IS NULL").dropDuplicates(["_text"])).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
