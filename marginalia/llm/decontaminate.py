@@ -93,6 +93,11 @@ def windows(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
     return both.select(*keep, "raw", "plain", "named", F.explode(spots).alias("e")).select(*keep, "raw", "plain", "named", F.col("e.at").alias("at"), F.col("e.hash").alias("hash"))
 
 
+def _short(df: DataFrame, like: str) -> DataFrame:
+    """Stage a table that is small beside the documents in a sixteenth of the usual number of files."""
+    return stage(df.coalesce(1 + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16), like)
+
+
 def _cut(array: str, at: str) -> Column:
     return F.slice(F.col(array), F.col(at) + 1, WINDOW)
 
@@ -114,7 +119,7 @@ def candidates(docs: DataFrame, items: DataFrame, totals: DataFrame, similarity:
     common = literal.groupBy("word").agg(F.count_distinct("item_id").alias("items"))
     anchors = literal.join(common, "word").groupBy("item_id", "item_at", "item_raw", "named", "strong").agg(
         F.min(F.struct("items", (-F.length("word")).alias("short"), "word")).alias("a")).select("item_id", "item_at", "named", "strong", "a.word").distinct()
-    anchors = stage(anchors.groupBy("word", "item_id").agg(
+    anchors = _short(anchors.groupBy("word", "item_id").agg(
         F.sum(F.col("named").cast("int")).alias("n_named"), F.sum(F.col("strong").cast("int")).alias("n"), F.count("*").alias("n_all")), "anchors")
     side = F.broadcast(anchors) if anchors.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else anchors
     every = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)))
@@ -122,7 +127,7 @@ def candidates(docs: DataFrame, items: DataFrame, totals: DataFrame, similarity:
             .join(side, "word").groupBy("doc_id", "text_key", "item_id").agg(*[F.sum(c).alias(c) for c in ("n_named", "n", "n_all")]))
     enough = lambda n, total: (F.col(total) > 0) & (F.col(n) / F.col(total) >= similarity)
     found = held.join(totals, "item_id").filter(enough("n_named", "total_named") | enough("n", "total") | enough("n_all", "total_all"))
-    return stage(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "anchored")
+    return _short(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "anchored")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -136,12 +141,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     each = kinds[0].union(kinds[1]).distinct().withColumn("_h", F.transform("item_tpl", lambda w: F.xxhash64(w))).withColumn("hash", _joint("_h", F.lit(0))).drop("_h")
     strong = literal >= F.least(F.lit(2), F.size("item_tpl"))
     same = F.lit("same")  # of weak windows, only those with the same words count
-    items = stage(each.withColumn("kind", F.when(strong, F.col("kind")).when((F.col("kind") == "plain") & F.exists("item_raw", lambda t: ~_numeric(t)), same)).filter("kind IS NOT NULL"), "item-windows")
+    items = _short(each.withColumn("kind", F.when(strong, F.col("kind")).when((F.col("kind") == "plain") & F.exists("item_raw", lambda t: ~_numeric(t)), same)).filter("kind IS NOT NULL"), "item-windows")
     at = lambda *of: F.count_distinct(F.when(F.col("kind").isin(*of), F.col("item_at")))
     totals = items.groupBy("item_id").agg(at("named").alias("total_named"), at("named", "plain").alias("total"), at("named", "plain", "same").alias("total_all"))
     # Windows are made of the documents that can reach an item at all.
     near = candidates(docs, items, totals, similarity)
-    docs = docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    docs = stage(docs.select("doc_id", "text").join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi"), "near-items")
     known = items.limit(BROADCAST_WINDOWS + 1).count()
     side = F.broadcast(items) if known <= BROADCAST_WINDOWS else items
     doc_tpl = F.when(F.col("kind") == "named", _cut("named", "at")).otherwise(_cut("plain", "at"))
