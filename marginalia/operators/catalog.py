@@ -27,16 +27,6 @@ def tier_rank(tier: Column) -> Column:
     return F.coalesce(lookup(TIER_RANK, tier), F.lit(99))
 
 
-def field_score(text: Column, query: Column) -> Column:
-    """CAT1 for one row: phrase containment 10, plus 2 per shared distinct token."""
-    phrase = F.when(F.contains(lower_strip(text), lower_strip(query)), 10).otherwise(0)
-    return phrase + 2 * F.size(F.array_intersect(catalog_tokens(text), catalog_tokens(query)))
-
-
-def list_score(values: Column, query: Column, multiplier: int) -> Column:
-    return F.aggregate(values, F.lit(0), lambda acc, v: acc + field_score(v, query) * multiplier)
-
-
 def _elements(catalog: DataFrame) -> DataFrame:
     """One row per scored text of an entry: ``id, kind, el, text``."""
     def texts(kind: str, values: Column) -> Column:
