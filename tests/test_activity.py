@@ -274,13 +274,14 @@ def test_streamed_signals_in_any_order_equal_the_batch(spark, tmp_path, slice_se
     assert written.filter("key = 'chunk:hot'").select("slice").distinct().count() >= (8 if slice_seconds < 86400 else 1)
 
 
-def test_todo_stream_writes_changes_only_and_compacts(spark, tmp_path):
-    """Random list events in 19 batches: resets, items put again, a base after 16; equal to the fold of all."""
+def test_todo_stream_writes_changes_only_and_compacts(spark, tmp_path, monkeypatch):
+    """Random list events in seven batches: resets, items put again, a base after four; equal to the fold of all."""
+    monkeypatch.setattr(ST, "COMPACT_EVERY", 4)
     rnd = random.Random(2)
     schema = "list_id string, seq bigint, kind string, item_id string, title string, items array<struct<id:string,title:string,completed:boolean>>"
     src, out = str(tmp_path / "src"), str(tmp_path / "state")
     every, seq = [], 0
-    for k in range(19):
+    for k in range(7):
         rows = []
         for _ in range(30 if k else 120):
             seq += 1
@@ -291,11 +292,11 @@ def test_todo_stream_writes_changes_only_and_compacts(spark, tmp_path):
         every += rows
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         ST.todo_state_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "progress")).awaitTermination()
-        if k in (0, 7, 16, 18):
+        if k in (0, 3, 4, 6):
             got = sorted(tuple(r) for r in ST.todo_snapshot(spark, out).collect())
             assert got == sorted(tuple(r) for r in B.todo_state(spark.createDataFrame(every, schema)).collect())
     written = spark.read.parquet(f"{out}/items")
-    assert written.filter("version = 18").count() <= 31 and spark.read.parquet(f"{out}/base").select("version").distinct().count() == 1
+    assert written.filter("version = 6").count() <= 31 and spark.read.parquet(f"{out}/base").select("version").distinct().count() == 1
 
 
 def test_long_terms_match_within_six_edits(spark):
