@@ -568,9 +568,9 @@ def scratch(spark):
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
-def _raw_stream(spark, sf):
-    schema = A.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _raw_stream(spark, sf, name="events"):
+    """A table as a stream; it may be one file or a folder of parts, so the name is a pattern that fits either."""
+    return spark.readStream.schema(A.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _in_batches(spark, sf, base, start, batches=3, shuffled=False):
@@ -622,7 +622,7 @@ def str_changed_notes(spark, sf):
     """Streamed note rows against the last manifest: only new or changed ones are kept."""
     base = scratch(spark)
     docs, k = A.table(spark, sf, "documents"), F.col("doc_id")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = _raw_stream(spark, sf, "documents")
     rows = stream.filter(k % 17 != 0).select(k.cast("string").alias("path"), F.col("text").alias("content"), (F.col("n_chars") + F.when(k % 9 == 0, 1).otherwise(0)).cast("double").alias("mtime_ms"))
     previous = docs.filter(k % 23 != 0).select(k.cast("string").alias("path"), F.col("n_chars").cast("double").alias("mtime_ms"), F.lit(True).alias("reusable"))
 

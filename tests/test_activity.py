@@ -305,3 +305,12 @@ def test_long_terms_match_within_six_edits(spark):
     found = C.term_matches(spark.createDataFrame([(c,) for c in changed], "q string"), spark.createDataFrame([(w,) for w in words], "term string"))
     assert {(x.q, x.term) for x in found.collect()} == set(zip(changed, words))
 
+
+
+def test_changed_notes_of_a_table_in_parts(spark, tmp_path):
+    from entries import activity
+
+    docs = spark.createDataFrame([(i, f"text {i}", 10 + i) for i in range(1, 60)], "doc_id long, text string, n_chars int")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r[0] for r in activity.QUERIES["str_changed_notes"](spark, str(tmp_path)).collect())
+    assert got == [i for i in range(1, 60) if i % 17 and (i % 23 == 0 or i % 9 == 0)]
