@@ -147,3 +147,14 @@ def test_a_stream_of_changes_keeps_the_index_in_step(spark, tmp_path):
     assert G.segments(spark, folder) == 2
     lexicon = state_of(spark, folder)[0]
     assert lexicon["four"] == lexicon["one"] == 1 and "two" not in lexicon and "three" not in lexicon
+
+
+def test_known_terms_are_kept_before_any_sort(spark):
+    """Postings of given terms equal those of the whole index, by either way, and other tokens are never sorted."""
+    docs = materialise(corpus(spark, rows_of([f"n{i}" for i in range(40)], 5)))
+    terms = spark.createDataFrame([("lor1",), ("mem2",), ("lor1",), ("nowhere",), ("vault",)], "term string")
+    want = sorted(map(tuple, X.postings(docs).filter(F.col("term").isin("lor1", "mem2", "vault")).collect()))
+    kept = X.postings(docs, terms)
+    assert sorted(map(tuple, kept.collect())) == want != []
+    assert "array_sort" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert kept.columns == X.postings(docs).columns
