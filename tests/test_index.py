@@ -158,3 +158,15 @@ def test_known_terms_are_kept_before_any_sort(spark):
     assert sorted(map(tuple, kept.collect())) == want != []
     assert "array_sort" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert kept.columns == X.postings(docs).columns
+
+
+def test_blocks_hold_each_chunk_once(spark):
+    """Postings are numbers; ids and states are in one directory row per block."""
+    docs = materialise(corpus(spark, rows_of([f"n{i}" for i in range(40)], 5)))
+    index = X.build_lexical_index(docs)
+    blocks = materialise(PR.posting_blocks(index, docs, per_block=8))
+    held = blocks.filter("chunks IS NOT NULL").select("block", F.explode("chunks").alias("c")).select("block", "c.number", "c.chunk_id")
+    assert sorted(r.chunk_id for r in held.collect()) == sorted(r.chunk_id for r in docs.collect())
+    postings = blocks.filter("numbers IS NOT NULL").select("term", "block", F.explode("numbers").alias("number"))
+    got = sorted(map(tuple, postings.join(held, ["block", "number"]).select("term", "chunk_id").collect()))
+    assert got == sorted(map(tuple, index.postings.select("term", "chunk_id").collect()))
