@@ -5,9 +5,10 @@ A page becomes text lines, one per block, each marked as boilerplate by structur
 Pages of a host are sorted by URL path and each one is paired with its neighbours on
 both sides; their lines are aligned by longest common subsequence and shared lines
 are deleted.  Lines inside ``article`` or ``main`` are the page's own by its markup
-and stay even if a neighbour repeats them; where such elements hold text, they are
-the text.  A neighbour that shares more than half of the open text is a copy and
-deletes nothing.
+and stay even if a neighbour repeats them.  Where such elements hold text, an open
+line outside them stays only if a neighbour was compared and lacks it; else the open
+lines are the text.  A neighbour that shares more than half of the page's text
+(boilerplate by structure aside) is a copy and deletes nothing.
 
 Pairing is exact at any size: each of the sort's ranges reports its first and last
 key (as many rows as there are shuffle partitions), pages are dealt to ranges with
@@ -191,15 +192,15 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
 
 def main_text(page: list[tuple[str, str]], neighbours: list[list[tuple[str, str]]]) -> str:
     """Text of a page after differencing with its neighbours' lines."""
-    if any(mark == OWN for mark, _ in page):
-        return "\n".join(text for mark, text in page if mark == OWN)
-    total = sum(len(text) for mark, text in page if mark == OPEN)
-    gone = [False] * len(page)
+    own = any(mark == OWN for mark, _ in page)
+    total = sum(len(text) for mark, text in page if mark != BOILERPLATE)
+    gone, differed = [False] * len(page), False
     for other in neighbours:
         shared = shared_lines([t for _, t in page], [t for _, t in other])
-        if 2 * sum(len(text) for (mark, text), s in zip(page, shared, strict=True) if s and mark == OPEN) <= total:
-            gone = [g or s for g, s in zip(gone, shared, strict=True)]
-    return "\n".join(text for (mark, text), g in zip(page, gone, strict=True) if mark == OPEN and not g)
+        if 2 * sum(len(text) for (mark, text), s in zip(page, shared, strict=True) if s and mark != BOILERPLATE) <= total:
+            gone, differed = [g or s for g, s in zip(gone, shared, strict=True)], True
+    # Beside an article, an open line needs a neighbour that tells it from the frame.
+    return "\n".join(text for (mark, text), g in zip(page, gone, strict=True) if mark == OWN or mark == OPEN and not g and (differed or not own))
 
 
 def _keyed(pages: DataFrame) -> DataFrame:

@@ -179,6 +179,12 @@ def test_lines_of_neighbours_go_copies_stay(spark):
     assert html.extract(empty(spark, "pages")).count() == 0
 
 
+def test_differencing_decides_beside_an_article():
+    page = lambda i: html.lines(f"<div>Site of all</div><article><p>Story {i} with its own words</p><p>To be continued</p></article><p>Card of story {i} only</p><div>Legal</div>")
+    assert html.main_text(page(1), [page(0), page(2)]) == "Story 1 with its own words\nTo be continued\nCard of story 1 only"
+    assert html.main_text(page(1), [page(1)]) == html.main_text(page(1), []) == "Story 1 with its own words\nTo be continued"
+
+
 # --- urls ---------------------------------------------------------------------
 
 
