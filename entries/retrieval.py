@@ -576,5 +576,5 @@ def flt_repo_search(spark, sf):
     named = corpus.withColumns({
         "type": F.when(home, "repo-home").otherwise(F.col("type")), "heading": F.when(home, F.lit(P.REPO_CONTEXT_HEADINGS[0])).otherwise(F.col("heading")),
         "source_file": F.when(home, F.concat(F.lit(f"vault/{P.REPOSITORY_ROOT}/"), "repo_slug", F.lit(f"/{P.REPO_HOME_FILE}"))).otherwise(F.col("source_file"))})
-    index = plan.build_search_index(named, _edges(spark, sf)[0])
+    index = plan.build_search_index(named, _edges(spark, sf)[0], plan.repo_queries(corpus))
     return plan.repo_context(corpus.select("repo_slug"), index, as_of=AS_OF)

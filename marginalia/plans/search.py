@@ -87,17 +87,22 @@ def search(
     )
 
 
+def repo_queries(slugs: DataFrame) -> DataFrame:
+    """The architecture question of each repository, asked within it."""
+    return slugs.select("repo_slug").filter(F.col("repo_slug").isNotNull()).distinct().select(
+        F.col("repo_slug").alias("query_id"), F.concat(F.lit(P.REPO_FALLBACK_QUERY), "repo_slug").alias("query"), F.col("repo_slug").alias("scope_repo"))
+
+
 def repo_context(slugs: DataFrame, index: SearchIndex, *, as_of: str) -> DataFrame:
     """FLT3: context of each repository: ``repo_slug, position, chunk_id, origin``.
 
     The chunks of its home note, or, where there is none, the hits of a search for
-    its architecture within the repository.
+    its architecture within the repository.  An index built for ``repo_queries`` of
+    these slugs has all that the search reads.
     """
-    asked = materialise(slugs.select("repo_slug").filter(F.col("repo_slug").isNotNull()).distinct())
-    home = materialise(evals.repo_context(index.corpus, asked))
-    lacking = asked.join(home.select("repo_slug"), "repo_slug", "left_anti")
-    queries = lacking.select(
-        F.col("repo_slug").alias("query_id"), F.concat(F.lit(P.REPO_FALLBACK_QUERY), "repo_slug").alias("query"), F.col("repo_slug").alias("scope_repo"))
+    asked = materialise(repo_queries(slugs))
+    home = materialise(evals.repo_context(index.corpus, asked.select("scope_repo").withColumnRenamed("scope_repo", "repo_slug")))
+    queries = asked.join(home.select(F.col("repo_slug").alias("scope_repo")), "scope_repo", "left_anti")
     found = search(queries, index, as_of=as_of, limit=P.REPO_FALLBACK_LIMIT)
     return home.select("repo_slug", F.col("position").cast("int").alias("position"), "chunk_id", F.lit("home").alias("origin")).unionByName(
         found.select(F.col("query_id").alias("repo_slug"), F.col("rank").alias("position"), "chunk_id", F.lit("search").alias("origin")))
@@ -120,8 +125,10 @@ def build_search_index(
     docs = materialise(vectors.embed_chunks(corpus) if with_vectors else corpus)
     terms = materialise(lexical_terms(queries)) if queries is not None else None
     rows = lexical.postings(docs, terms)
+    term_df = rows.groupBy("term").agg(F.count("*").alias("df"))
     if terms is not None:
         rows = materialise(rows)
-    index = lexical.index_from_tables(
-        rows, rows.groupBy("term").agg(F.count("*").alias("df")), lexical.field_stats(docs))
+        # A broadcast of it then waits for a small table only.
+        term_df = materialise(rows.groupBy("term").agg(F.count("*").alias("df")))
+    index = lexical.index_from_tables(rows, term_df, lexical.field_stats(docs))
     return SearchIndex(docs, edges, index, "ready" if with_vectors else "missing")

@@ -10,7 +10,7 @@ from marginalia.functions.joins import materialise
 from marginalia.operators import corpus as C
 from marginalia.operators import fusion, lexical, vectors
 from marginalia.operators import queries as Q
-from marginalia.plans.search import SearchIndex, asked_limit, build_search_index, repo_context, search, vector_state
+from marginalia.plans.search import SearchIndex, asked_limit, build_search_index, repo_context, repo_queries, search, vector_state
 
 NOTES = [
     ("plan", "spec", "active", "Typed memory plan", "Build typed memory."),
@@ -223,6 +223,15 @@ def test_a_repository_without_home_is_searched(spark):
     assert got == {}
 
 
+def test_repository_context_needs_postings_of_its_questions_only(spark):
+    corpus, edges = tables(spark)
+    slugs = spark.createDataFrame([("home",), (None,), ("unknown",)], "repo_slug string")
+    small, full = build_search_index(corpus, edges, repo_queries(slugs)), build_search_index(corpus, edges)
+    got = [sorted(map(tuple, repo_context(slugs, index, as_of="2026-01-05").collect())) for index in (small, full)]
+    assert got[0] == got[1] != []
+    assert {r.term for r in small.lexical.term_df.collect()} <= set("architecture spec plan memory home unknown".split())
+
+
 def test_repeated_note_ids_do_not_multiply_chunks(spark):
     notes = spark.createDataFrame(
         [("n", "spec", "active", "home", f"vault/{i}.md", f"T{i}", "s", ["t"], ["k"], "2026-01-01", "ok", 0.0, []) for i in range(5)],
