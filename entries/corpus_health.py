@@ -184,6 +184,8 @@ def src_index_manifest(spark, sf):
     return m.select("notes", "chunks", "repo_slug")
 
 
+# Notes of one parse task: orders are compact, a split of them holds millions.
+ROWS_PER_TASK = 50_000
 # Frontmatter variants from orders: flow lists, nested maps, quotes, faults.
 _YAML = ["id: o-{k}", "type: {t}", "repo_slug: shop", "title: '{k}'", "status: {s}", "created: {d}", "updated: {d}",
          "owner: {o}", "summary: sum {k}", "tags: [a, b, a]", "keywords: {w}", "links:\n  parents: [p{k}]\n  children: []\n  related: []\n  supersedes: []\n  superseded_by: []",
@@ -193,7 +195,7 @@ _S6 = [*P.NOTE_STATUSES, ""]
 
 
 def yaml_notes(spark, sf):
-    o, k = spread(A.table(spark, sf, "orders")), F.col("o_orderkey")
+    o, k = spread(A.table(spark, sf, "orders"), ROWS_PER_TASK), F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     fills = {
         "k": k.cast("string"), "t": A.cycle(_T8, k), "s": A.cycle(_S6, F.col("o_custkey")),

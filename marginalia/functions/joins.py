@@ -37,13 +37,17 @@ def small(df: DataFrame, like: DataFrame | None = None, max_rows: int = BROADCAS
     return F.broadcast(df) if known_rows(df if like is None else like, max_rows) <= max_rows else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Give a scan of fewer splits than cores one partition per core.
 
-    A cluster-sized input has more splits than cores and is left alone.
+    A cluster-sized input has more splits than cores and is left alone.  With
+    ``rows_per_task``, for steps that cost much per row of a compact table, it gets
+    as many partitions as its rows ask for; a scan's rows are counted from its footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task is not None:
+        n = max(n, -(-df.count() // rows_per_task))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,5 +1,9 @@
+import random
+
 import pytest
 
+from marginalia.functions import frontmatter
+from marginalia.functions.joins import spread
 from marginalia.operators import links as L
 from marginalia.operators import migration as M
 from marginalia.operators import notes as N
@@ -175,3 +179,20 @@ def test_migration_plan(spark):
     clean = r.content.replace("nest:\n  a:\n    - 1\n    - \"x\"\n  b: true\npriority: \"P1\"\n", "")
     again = M.plan_fixes(parsed(spark, ("04 Tasks/my-task.md", clean)), "home").first()
     assert again.changes == [] and again.content == clean
+
+
+def test_simple_blocks_read_as_the_yaml_parser_reads_them(monkeypatch):
+    values = ["a", "1", "1.5", "true", "null", "", "a b", "'x y'", "''", "'it''s'", '"q"', "[a, 1]", "[]", "[a,b]", "[a, ]", "x # c", "x: y", "2024-01-01", "5.", "&a x", "|", "a "]
+    rng, blocks = random.Random(5), ["id: o\ntags: [a, b]\nlinks:\n  parents: [p1]\n  children: []\nkeep: true"]
+    for _ in range(3000):
+        lines = [rng.choice(["", "", "  "]) + rng.choice(["a", "b", "links", "x_1", "9z"]) + rng.choice([":", ": ", ": "]) + rng.choice(values) for _ in range(rng.randint(1, 4))]
+        blocks.append("\n".join(lines) + rng.choice(["", "\n", "\n  - x"]))
+    got = [frontmatter._read(b) for b in blocks]
+    simple = [frontmatter._simple(b) is not None for b in blocks]
+    monkeypatch.setattr(frontmatter, "_simple", lambda _: None)
+    assert got == [frontmatter._read(b) for b in blocks] and simple[0] and sum(simple) > 100
+
+
+def test_costly_rows_get_partitions_by_their_number(spark):
+    assert spread(spark.range(1000, numPartitions=1), 20).rdd.getNumPartitions() == 50
+    assert spread(spark.range(1000, numPartitions=60), 20).rdd.getNumPartitions() == 60
