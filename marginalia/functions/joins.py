@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rank_rows(df: DataFrame, key: str, *order: Column | str, name: str = "rank", rows_per_task: int = 500_000) -> DataFrame:
+    """Number the rows of each ``key`` from 1 in ``order``; no task sorts more than about ``rows_per_task`` rows.
+
+    Rows are dealt to ranges of (key, order), numbered inside each range, and moved up
+    by the rows of the key in the ranges before: a hot key is many ranges.
+    """
+    staged = materialise(df)
+    parts = -(-staged.count() // rows_per_task)
+    if parts <= 1:
+        return staged.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    ranged = materialise(staged.repartitionByRange(parts, key, *order).withColumn("range", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ranged.groupBy(key, "range").agg(F.count("*").alias("n")).select(key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    # As many rows as ranges and keys.
+    inside = F.row_number().over(Window.partitionBy("range", key).orderBy(*order))
+    return (ranged.repartition(parts, "range", key).withColumn(name, inside).join(small(ahead), [key, "range"])
+            .withColumn(name, (F.col(name) + F.col("ahead")).cast("int")).drop("range", "ahead"))
+
+
 def lower_strip(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
@@ -182,6 +201,29 @@ def contains_pairs(
     )
 
 
+def short_contains_pairs(
+    haystacks: DataFrame, needles: DataFrame, hay_id: str, needle_id: str, parts: int,
+) -> DataFrame:
+    """``contains_pairs`` for many short haystacks and few needles.
+
+    A word carries its haystack, so a match is verified where its anchor is found and
+    no haystack is shuffled; pairs are dealt by haystack to ``parts`` partitions.
+    """
+    if known_rows(needles) > BROADCAST_ROWS:
+        return contains_pairs(haystacks, needles, hay_id, needle_id)
+    anchored = materialise(_anchors(needles.select(needle_id, "needle")))
+    hay_words = haystacks.select(hay_id, "hay", F.explode(F.array_distinct(F.concat(
+        words("hay"), F.regexp_extract_all("hay", F.lit(r"([^a-z0-9])"))))).alias("anchor"))
+    keys = anchored.filter(F.col("how").isin("whole", "mark")).select(needle_id, "anchor")
+    partial = anchored.filter(F.col("how").isin("head", "tail", "part"))
+    if known_rows(partial):
+        keys = keys.unionByName(_partial_words(hay_words.filter(F.col("anchor").rlike("^[a-z0-9]")), partial, needle_id))
+    keys = materialise(keys.join(F.broadcast(needles.select(needle_id, "needle")), needle_id))
+    found = hay_words.join(small(keys), "anchor").filter(F.expr("instr(hay, needle) > 0")).select(hay_id, needle_id)
+    # A word that holds part of a needle may stand beside another one that does.
+    return found.repartition(parts, hay_id).distinct()
+
+
 def _partial_words(hay_words: DataFrame, partial: DataFrame, needle_id: str) -> DataFrame:
     """Expand head, tail and part anchors to the whole words that carry them.
 

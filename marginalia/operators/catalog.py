@@ -7,15 +7,17 @@ equi-join on tokens, anchors, prefixes or segments, never a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
-from marginalia.functions.joins import contains_pairs, lower_strip, materialise, small
+from marginalia.functions.joins import contains_pairs, lower_strip, materialise, rank_rows, short_contains_pairs, small, spread
 from marginalia.functions.text import catalog_tokens, lookup, pick, strings, strip
 from marginalia.operators.queries import expand_catalog_query
 
 MULTIPLIER = {"triggers": 4, "tags": 3, "name": 1, "description": 1, "anti_triggers": 4}
+# Entries of one task; each gives some ten tokens and as many pairs as tasks share them.
+ENTRIES_PER_TASK = 5_000
 REASONS = {
     "triggers": "evidence match", "tags": "tag match", "name": "name match",
     "description": "description match", "anti_triggers": "anti-trigger penalty",
@@ -40,6 +42,11 @@ def _elements(catalog: DataFrame) -> DataFrame:
     return catalog.select("id", F.posexplode(every).alias("el", "x")).select("id", "el", "x.kind", "x.text")
 
 
+def _parts(catalog: DataFrame) -> int:
+    """Partitions for rows dealt by entry: as many as the catalog has, or the session's number."""
+    return max(catalog.rdd.getNumPartitions(), int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def route_evidence(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
     """CAT2: scores per ``(task_id, id)`` pair that shares a token or a phrase.
 
@@ -47,24 +54,23 @@ def route_evidence(tasks: DataFrame, catalog: DataFrame) -> DataFrame:
     nothing with a task have the constant evidence 0.5; those pairs are not
     listed (``route_tasks`` accounts for them).
     """
+    catalog = spread(catalog, ENTRIES_PER_TASK)
     elements = _elements(catalog)
     weight = F.coalesce(lookup(MULTIPLIER, F.col("kind")), F.lit(0))
-    tokens = (
-        elements.filter("kind <> 'match'")
-        .select("id", "kind", weight.alias("m"), F.explode(catalog_tokens("text")).alias("token"))
-        .groupBy("id", "kind", "token").agg(F.sum(F.col("m") * 2).alias("score"))
-    )
+    tokens = elements.filter("kind <> 'match'").select(
+        "id", "kind", (weight * 2).cast("long").alias("score"), F.explode(catalog_tokens("text")).alias("token"))
     asked = tasks.select("task_id", F.explode(catalog_tokens("task")).alias("token"))
     shared = tokens.join(small(asked), "token").select("task_id", "id", "kind", "score")
 
-    keyed = elements.withColumn("el_id", F.concat_ws("|", "id", F.col("el").cast("string")))
-    pairs = contains_pairs(
-        keyed.select("el_id", lower_strip(F.col("text")).alias("hay")),
-        tasks.select("task_id", lower_strip(F.col("task")).alias("needle")), "el_id", "task_id")
-    phrases = pairs.join(keyed, "el_id").select(
-        "task_id", "id", "kind", F.when(F.col("kind") == "match", 1).otherwise(weight * 10).alias("score"))
+    keyed = elements.select(F.struct("id", "kind", "el").alias("element"), lower_strip(F.col("text")).alias("hay"))
+    pairs = short_contains_pairs(
+        keyed, tasks.select("task_id", lower_strip(F.col("task")).alias("needle")), "element", "task_id", _parts(catalog))
+    phrases = pairs.select("task_id", "element.id", "element.kind").select(
+        "task_id", "id", "kind", F.when(F.col("kind") == "match", 1).otherwise(weight * 10).cast("long").alias("score"))
 
-    by_kind = shared.unionByName(phrases).groupBy("task_id", "id").agg(*[
+    # Dealt by entry before they are summed, so that a task's pairs are those of its entries.
+    dealt = shared.unionByName(phrases).repartition(_parts(catalog), "id")
+    by_kind = dealt.groupBy("task_id", "id").agg(*[
         F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0)).alias(f"s_{k}")
         for k in [*MULTIPLIER, "match"]
     ])
@@ -94,8 +100,7 @@ def activation(evidence: DataFrame, by_score: bool = True) -> DataFrame:
 
 def rank_catalog(evidence: DataFrame, key: str = "task_id") -> DataFrame:
     """CAT4: matched entries with positive evidence in policy order."""
-    w = Window.partitionBy(key).orderBy(F.desc("evidence"), "activation", tier_rank(F.col("tier")), "id")
-    return evidence.filter(F.col("evidence") > 0).withColumn("rank", F.row_number().over(w))
+    return rank_rows(evidence.filter(F.col("evidence") > 0), key, F.desc("evidence"), F.col("activation"), tier_rank(F.col("tier")), F.col("id"))
 
 
 def route_tasks(tasks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +146,8 @@ def route_tasks(tasks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFr
         F.struct(F.lit(0).alias("l"), F.lit(None).cast(scored.select(order.alias("o")).schema["o"].dataType).alias("o")).alias("pos"),
     ).join(chosen.select("task_id", "primary"), "task_id").filter(F.col("id") != F.col("primary")).drop("primary")
     listed = first.unionByName(strong).groupBy("task_id", "id").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy("task_id").orderBy("pos")
-    secondary = listed.select("task_id", F.row_number().over(w).alias("position"), "id")
+    listed = materialise(listed)
+    secondary = rank_rows(listed, "task_id", F.col("pos"), name="position").select("task_id", "position", "id")
     named = lambda *ids: F.coalesce(F.max(F.col("id").isin(*ids)), F.lit(False))
     hints = listed.groupBy("task_id").agg(
         named("frontend-design").alias("f"), named("documentation-and-adrs", "doc-coauthoring").alias("d"), F.count("*").alias("n"))
@@ -196,7 +201,8 @@ def _postings(catalog: DataFrame) -> DataFrame:
         t = search_terms(texts[field])
         return F.transform(t, lambda x: F.struct(F.lit(field).alias("field"), F.size(t).alias("len"), x.alias("term")))
 
-    rows = catalog.select("id", F.explode(F.flatten(F.array(*[packed(f) for f in texts]))).alias("x")).select("id", "x.*")
+    # Dealt by entry once; all sums per entry then stay inside a task.
+    rows = catalog.repartition(_parts(catalog), "id").select("id", F.explode(F.flatten(F.array(*[packed(f) for f in texts]))).alias("x")).select("id", "x.*")
     return rows.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -249,20 +255,21 @@ def catalog_search(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     expanded = expand_catalog_query(queries)
     asked = expanded.select("query_id", F.explode(F.array_distinct(search_terms(F.col("search_text")))).alias("q"))
+    catalog = spread(catalog, ENTRIES_PER_TASK)
     posts = _postings(catalog)
     n_docs = catalog.count()
     means = {r["field"]: r["total"] / n_docs for r in posts.groupBy("field").agg(
         F.sum("tf").alias("total")).collect()}  # five rows
     dfs = posts.groupBy("term", "field").agg(F.count("*").alias("df"))
     matches = term_matches(asked, posts.select("term").distinct())
-    wanted = asked.join(matches, "q")
+    wanted = materialise(asked.join(matches, "q").join(dfs, "term"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = lookup({k: float(v) for k, v in means.items()}, F.col("field"))
     tf = F.col("tf")
     part = idf * (DELTA + tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean)))
     boost = lookup(P.CATALOG_SEARCH_BOOSTS, F.col("field"))
     scored = (
-        posts.join(small(wanted), "term").join(dfs, ["term", "field"])
+        posts.join(small(wanted), ["term", "field"])
         .groupBy("query_id", "id", "q").agg(F.sum(F.col("weight") * boost * part).alias("s"))
         .groupBy("query_id", "id").agg((F.sum("s") * F.count("*")).alias("raw"))
         .withColumn("evidence", F.round("raw", 6)).drop("raw")

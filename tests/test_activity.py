@@ -2,7 +2,9 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from marginalia.functions.joins import contains_pairs, rank_rows, short_contains_pairs, spread
 from marginalia.operators import board as B
 from marginalia.operators import catalog as C
 from marginalia.operators import governance as G
@@ -314,3 +316,28 @@ def test_changed_notes_of_a_table_in_parts(spark, tmp_path):
     docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(r[0] for r in activity.QUERIES["str_changed_notes"](spark, str(tmp_path)).collect())
     assert got == [i for i in range(1, 60) if i % 17 and (i % 23 == 0 or i % 9 == 0)]
+
+
+def test_ranks_of_a_hot_key_are_made_in_ranges(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(-1).alias("k"), (F.col("id") * 7919 % 3001).alias("x"), "id")
+    whole, cut = (rank_rows(rows, "k", F.desc("x"), F.col("id"), rows_per_task=n) for n in (10**6, 100))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+    sizes = cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 1000 < whole.filter("k = -1").count()
+
+
+def test_entries_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(C, "ENTRIES_PER_TASK", 1)
+    few = catalog(spark)
+    n = few.count()
+    tasks = spark.createDataFrame([("t", "plan the work")], "task_id string, task string")
+    evidence = C.route_evidence(tasks, few.coalesce(1))
+    assert C._parts(spread(few.coalesce(1), 1)) >= n
+    assert sorted(map(str, evidence.collect())) == sorted(map(str, C.route_evidence(tasks, few).collect()))
+
+
+def test_short_haystacks_match_without_a_shuffle_of_texts(spark):
+    hay = spark.createDataFrame([(i, t) for i, t in enumerate(["blue ring", "a blueish ring.", "ringing, ring", "", "x.y", "cold plate ring"])], "h long, hay string")
+    needles = spark.createDataFrame([(i, t) for i, t in enumerate(["ring", "blue ring", "e r", ".", " ring", "ring,", "zz", "", "lueish rin", "ring "])], "n long, needle string")
+    want = sorted(map(tuple, contains_pairs(hay, needles, "h", "n").select("h", "n").collect()))
+    assert sorted(map(tuple, short_contains_pairs(hay, needles, "h", "n", 3).select("h", "n").collect())) == want != []
