@@ -10,8 +10,7 @@ import bisect
 import functools
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -52,12 +51,16 @@ class SliceMatcher(StatefulProcessor):
         self._searches = handle.getListState("searches", "time long, id long, rank long")
         self._unfolds = handle.getListState("unfolds", "time long, id long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat([r[["search", "time", "id", "rank"]] for r in rows], ignore_index=True)
-        shown = fresh[fresh.search]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # The same key twice in one search: its first result counts.
-        new = {(int(t), int(i)): int(r) for t, i, r in shown.sort_values("rank", ascending=False)[["time", "id", "rank"]].itertuples(index=False)}
-        asked = [(int(t), int(i)) for t, i in fresh[~fresh.search][["time", "id"]].itertuples(index=False)]
+        new: dict[tuple[int, int], int] = {}
+        asked = []
+        for r in rows:
+            at = (r["time"], r["id"])
+            if not r["search"]:
+                asked.append(at)
+            elif at not in new or r["rank"] < new[at]:
+                new[at] = r["rank"]
         old = {(t, i): r for t, i, r in self._searches.get()}
         waiting = [(t, i) for t, i in self._unfolds.get()] if new else []
         every = old | new
@@ -65,7 +68,8 @@ class SliceMatcher(StatefulProcessor):
         out = []
 
         def put(kind: str, unfold: tuple | None, search: tuple | None) -> None:
-            out.append((kind, key[0], key[1], unfold and unfold[1], unfold and unfold[0], search and search[1], search and search[0], every[search] if search else None))
+            out.append(Row(kind=kind, key=key[0], slice=key[1], event_id=unfold and unfold[1], unfold_time=unfold and unfold[0],
+                           search_id=search and search[1], search_time=search and search[0], rank=every[search] if search else None))
 
         for u in asked:
             at = bisect.bisect_left(order, u)
@@ -80,8 +84,7 @@ class SliceMatcher(StatefulProcessor):
             self._searches.appendList([(t, i, r) for (t, i), r in new.items()])
         if asked:
             self._unfolds.appendList(asked)
-        names = [c.split(" ")[0] for c in SIGNAL.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({c: "string" if c in ("kind", "key") else "Int64" for c in names})
+        yield from out
 
     def close(self) -> None:
         pass
@@ -105,7 +108,7 @@ def stream_use_signals(events: DataFrame, slice_seconds: int = STREAM_SLICE_SECO
         F.explode(_keys(F.col("target.chunk_id"), F.col("target.source_path"))).alias("key"), time, F.col("event_id").alias("id"),
         F.lit(0).cast("long").alias("rank"), F.lit(False).alias("search"))
     sliced = shown.union(asked).withColumn("slice", F.floor(F.col("time") / F.lit(slice_seconds * 1_000_000)).cast("long"))
-    return sliced.groupBy("key", "slice").transformWithStateInPandas(SliceMatcher(), SIGNAL, "append", "none")
+    return sliced.groupBy("key", "slice").transformWithState(SliceMatcher(), SIGNAL, "append", "none")
 
 
 def latest(signals: DataFrame) -> DataFrame:

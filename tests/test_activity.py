@@ -341,3 +341,15 @@ def test_short_haystacks_match_without_a_shuffle_of_texts(spark):
     needles = spark.createDataFrame([(i, t) for i, t in enumerate(["ring", "blue ring", "e r", ".", " ring", "ring,", "zz", "", "lueish rin", "ring "])], "n long, needle string")
     want = sorted(map(tuple, contains_pairs(hay, needles, "h", "n").select("h", "n").collect()))
     assert sorted(map(tuple, short_contains_pairs(hay, needles, "h", "n", 3).select("h", "n").collect())) == want != []
+
+
+def test_a_slice_is_matched_row_by_row():
+    class Held(list):
+        get, appendList = (lambda self: iter(list(self))), list.extend
+
+    matcher, row = ST.SliceMatcher(), lambda *x: dict(zip(("search", "time", "id", "rank"), x))
+    matcher._searches, matcher._unfolds = Held(), Held()
+    first = matcher.handleInputRows(("k", 0), iter([row(True, 5, 1, 3), row(True, 5, 1, 2), row(False, 7, 9, 0), row(False, 4, 8, 0)]), None)
+    assert [(r.kind, r.event_id, r.search_id, r["rank"]) for r in first] == [("match", 9, 1, 2), ("ask", 8, None, None), ("end", None, 1, 2)]
+    later = matcher.handleInputRows(("k", 0), iter([row(True, 6, 2, 1)]), None)
+    assert [(r.kind, r.event_id, r.search_id, r["rank"]) for r in later] == [("match", 9, 2, 1), ("end", None, 2, 1)]
