@@ -3,9 +3,10 @@
 Texts become words, cut only where no piece of the vocabulary can cross.  Every
 distinct word is exploded into its substrings of bounded length, an equi-join with
 the piece table keeps those that are pieces (the edges), edges are grouped by word,
-and a Viterbi pass, folded with ``aggregate``, picks the path of the largest score
-sum; of equal paths the one with the longer last piece.  Documents travel as blocks
-of word numbers, so that each distinct word of a block is looked up once.
+and a Viterbi pass over the words of a bucket picks the path of the largest score
+sum; of equal paths the one with the longer last piece.  Documents become blocks
+of word numbers, which stay where they are written; the distinct words of a block go,
+one text per bucket of words, to the bucket's lattice, and their ids come back packed.
 
 Files of the unigram kind bring their scores.  A file trained by pair merges only
 ranks its pieces; they get the log-probabilities of Zipf's law over the rank and a
@@ -26,23 +27,26 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import stage
+from marginalia.llm.common import stage_dealt
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST = 128
 COST = 5.0
 BLOCK_CHARS = 1 << 24
+NO_PIECE = (1 << 31) - 1  # the id of a character that no piece is
+WORDS_AT_ONCE = 8192
 
 
 @dataclass(frozen=True)
@@ -57,9 +61,16 @@ class Vocabulary:
     prefix: bool
     words: str  # expression of the words of a text
 
+    @cached_property
+    def scores(self) -> np.ndarray:
+        """Scores by id; 0 where an id is no piece of a text."""
+        out = np.zeros(len(self.texts))
+        for i, s in self.pieces.values():
+            out[i] = s
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, s) for p, (i, s) in self.pieces.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        return spark.createDataFrame([(p, i) for p, (i, _) in self.pieces.items()], "piece string, id int")
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -84,7 +95,9 @@ def load(path: str = MODEL) -> Vocabulary:
     s = re.escape("".join(sorted(signs)))
     return Vocabulary(
         normal, [p.piece if p.type in (1, 4) else "" for p in model.pieces], byte_ids, min(s for _, s in normal.values()) - 10.0,
-        max(map(len, normal)), model.normalizer_spec.add_dummy_prefix, f"{BLANK}+[{s}]*[^{BLANK}{s}]*|[{s}]+[^{BLANK}{s}]*|[^{BLANK}{s}]+")
+        max(map(len, normal)), model.normalizer_spec.add_dummy_prefix,
+        # No letter or figure is a sign: naming them spares a look through all signs for each.
+        f"{BLANK}+(?:[0-9A-Za-z]+|[{s}]*)[^{BLANK}{s}]*|[{s}]+[0-9A-Za-z]*[^{BLANK}{s}]*|[^{BLANK}{s}]+")
 
 
 def normalised(text: str | None, prefix: bool) -> str:
@@ -92,8 +105,17 @@ def normalised(text: str | None, prefix: bool) -> str:
     return BLANK + text if text and prefix else text
 
 
-def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``block, docs, words``: the distinct words of a run of documents and, packed, each one's word numbers."""
+def buckets_of(spark: SparkSession) -> int:
+    """How many buckets the words are dealt to by their hash."""
+    return max(512, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def blocks(docs: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+    """``block, docs, at, words``: a run of documents, its word numbers, packed, and its distinct words.
+
+    ``words`` holds one text per bucket: the block's number and the words of that bucket,
+    sorted, with a blank between, as no word has one.  Words are numbered in this order.
+    """
     split, prefix = re.compile(vocab.words), vocab.prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +124,20 @@ def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         names = count(TaskContext.get().partitionId() << 32)
 
         def flush(ids: list, sums: list, at: list, number: dict) -> pa.RecordBatch:
+            name, dealt = next(names), [[] for _ in range(buckets)]
+            for w in sorted(number):
+                dealt[zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+            place = np.empty(len(number), np.uint32)
+            place[np.fromiter((number[w] for words in dealt for w in words), np.int64, len(number))] = np.arange(len(number))
             n = np.array([len(a) for a in at], np.int64)
-            flat = np.concatenate([*at, np.zeros(0, np.uint32)]).astype(np.uint32)
-            planes = flat.view(np.uint8).reshape(-1, 4).T.tobytes()
+            planes = place[np.concatenate([*at, np.zeros(0, np.uint32)])].view(np.uint8).reshape(-1, 4).T.tobytes()
             meta = pa.array([{"id": i, "crc": c, "n": k} for i, c, k in zip(ids, sums, n.tolist(), strict=True)],
                             pa.struct([("id", pa.int64()), ("crc", pa.int64()), ("n", pa.int64())]))
+            texts = pa.array([{"bucket": b, "text": " ".join([str(name), *words])} for b, words in enumerate(dealt) if words],
+                             pa.struct([("bucket", pa.int32()), ("text", pa.string())]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([next(names)], pa.int64()), pa.ListArray.from_arrays([0, len(meta)], meta), pa.array([pack.compress(planes)], pa.binary()),
-                 pa.array([list(number)], pa.list_(pa.string()))], ["block", "docs", "at", "words"])
+                [pa.array([name], pa.int64()), pa.ListArray.from_arrays([0, len(meta)], meta), pa.array([pack.compress(planes)], pa.binary()),
+                 pa.ListArray.from_arrays([0, len(texts)], texts)], ["block", "docs", "at", "words"])
 
         ids, sums, at, number, size = [], [], [], {}, 0
         for batch in batches:
@@ -125,50 +153,63 @@ def blocks(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         if ids:
             yield flush(ids, sums, at, number)
 
-    schema = "block bigint, docs array<struct<id:bigint,crc:bigint,n:bigint>>, at binary, words array<string>"
+    schema = "block bigint, docs array<struct<id:bigint,crc:bigint,n:bigint>>, at binary, words array<struct<bucket:int,text:string>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def edges(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, edges``: every piece inside every word as ``end, start, id, score``."""
-    spots = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    """``bucket, word, edges``: every piece inside every word, and every character, as one number of its end, start and id."""
+    spots = words.select("bucket", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
     last = F.least(F.lit(vocab.longest), F.length("word") - F.col("at") + 1)
-    cuts = spots.select("word", "at", F.explode(F.sequence(F.lit(1), last)).alias("n")).select(
-        "word", "at", "n", F.substring("word", F.col("at"), F.col("n")).alias("piece"))
+    cuts = spots.select("bucket", "word", "at", F.explode(F.sequence(F.lit(1), last)).alias("n")).select(
+        "bucket", "word", "at", "n", F.substring("word", F.col("at"), F.col("n")).alias("piece"))
     table = F.broadcast(vocab.table(words.sparkSession))  # a vocabulary file, of fixed size
-    edge = F.struct((F.col("at") + F.col("n") - 1).alias("end"), (F.col("at") - 1).alias("start"), "id", "score")
-    return cuts.join(table, "piece").groupBy("word").agg(F.collect_list(edge).alias("edges"))
-
-
-def best_path(lattice: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, ids`` of the path with the largest score sum."""
-    size = F.length("word")
-    have = F.transform(F.filter("edges", lambda e: e["end"] - e["start"] == 1), lambda e: e["start"])
-    kind = "array<struct<end:int,start:int,id:int,score:double>>"
-    gaps = F.transform(F.filter(F.sequence(F.lit(0), size - 1), lambda i: ~F.array_contains(have, i)),
-                       lambda i: F.struct((i + 1).alias("end"), i.alias("start"), F.lit(-1).alias("id"), F.lit(float(vocab.unknown)).alias("score")))
-    full = lattice.withColumn("edges", F.coalesce("edges", F.array().cast(kind))).withColumn("edges", F.array_sort(F.concat(F.col("edges").cast(kind), gaps.cast(kind))))
-    # One entry per position reached; edges come by end, so only the last entry can still change.
-    zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(-1).alias("id")))
-
-    def step(best, e):
-        total = F.get(best, e["start"])["sum"] + e["score"]
-        new = F.array(F.struct(total.alias("sum"), e["start"].alias("start"), e["id"].alias("id")))
-        return (F.when(F.size(best) == e["end"], F.concat(best, new))
-                .when(total > F.get(best, e["end"])["sum"], F.concat(F.slice(best, F.lit(1), e["end"]), new)).otherwise(best))
-
-    folded = full.select("word", F.aggregate("edges", zero, step).alias("best"))
-    byte_ids = F.array(*[F.lit(i) for i in vocab.byte_ids])
-
-    def back(s, _):
-        b = F.get("best", s["at"])
-        char = F.encode(F.substring(F.col("word"), s["at"], F.lit(1)), "utf-8")
-        raw = F.transform(F.sequence(F.octet_length(char), F.lit(1), F.lit(-1)), lambda k: F.get(byte_ids, F.conv(F.hex(F.substring(char, k, F.lit(1))), 16, 10).cast("int")))
-        ids = F.when(b["id"] < 0, raw).otherwise(F.array(b["id"]))
-        return F.when(s["at"] > 0, F.struct(b["start"].alias("at"), F.concat(s["ids"], ids).alias("ids"))).otherwise(s)
-
-    start = F.struct(F.length("word").alias("at"), F.array().cast("array<int>").alias("ids"))
-    return folded.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), start, back, lambda s: F.reverse(s["ids"])).alias("ids"))
+    # A character without a piece keeps its edge, so every word has a path.
+    found = cuts.join(table, "piece", "left").filter("id IS NOT NULL OR n = 1")
+    edge = F.shiftleft((F.col("at") + F.col("n") - 1).cast("long"), 48) + F.shiftleft((F.col("at") - 1).cast("long"), 32) + F.coalesce("id", F.lit(NO_PIECE))
+    return found.groupBy("bucket", "word").agg(F.collect_list(edge).alias("edges"))
+
+
+def best_paths(words: list[str], lattice: pa.ListArray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of every word on the path with the largest score sum, one after the other, and how many each has.
+
+    All words advance together, one position a step.
+    """
+    size = np.array([len(w) for w in words], np.int64)
+    edge = lattice.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), lattice.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.lexsort((edge & (1 << 48) - 1, word, edge >> 48))
+    edge, word = edge[order], word[order]
+    end, start, piece = edge >> 48, edge >> 32 & 0xFFFF, edge & 0xFFFFFFFF
+    score = np.where(piece == NO_PIECE, vocab.unknown, vocab.scores[np.where(piece == NO_PIECE, 0, piece)])
+    sums = np.zeros((len(words), int(size.max(initial=0)) + 1))
+    came, took = np.zeros(sums.shape, np.int16), np.zeros(sums.shape, np.int32)
+    cut = np.searchsorted(end, np.arange(1, sums.shape[1] + 1))
+    for at, (lo, hi) in enumerate(zip(cut, cut[1:]), 1):
+        w = word[lo:hi]
+        total = sums[w, start[lo:hi]] + score[lo:hi]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        best = np.maximum.reduceat(total, first) if len(first) else total
+        hit = np.flatnonzero(total == np.repeat(best, np.diff(first, append=len(w))))
+        hit = hit[np.flatnonzero(np.diff(w[hit], prepend=-1))]  # of equal ones the earliest start
+        sums[w[hit], at], came[w[hit], at], took[w[hit], at] = total[hit], start[lo:hi][hit], piece[lo:hi][hit]
+    live, at, steps = np.arange(len(words)), size.copy(), []
+    while len(live := live[at[live] > 0]):
+        steps.append((live, at[live], took[live, at[live]]))
+        at[live] = came[live, at[live]]
+    if not steps:
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+    word, at, ids = (np.concatenate(x) for x in zip(*steps))
+    order = np.lexsort((at, word))
+    word, at, ids = word[order], at[order], ids[order]
+    lone = ids == NO_PIECE
+    if lone.any():
+        raw = [words[w][i - 1].encode("utf-8", "surrogatepass") for w, i in zip(word[lone].tolist(), at[lone].tolist())]
+        times = np.ones(len(ids), np.int64)
+        times[lone] = [len(r) for r in raw]
+        word, ids, lone = np.repeat(word, times), np.repeat(ids, times), np.repeat(lone, times)
+        ids[lone] = [vocab.byte_ids[b] for r in raw for b in r]
+    return ids, np.bincount(word, minlength=len(words))
 
 
 def viterbi(word: str, vocab: Vocabulary) -> list[int]:
@@ -192,18 +233,52 @@ def viterbi(word: str, vocab: Vocabulary) -> list[int]:
     return out[::-1]
 
 
-def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, ids`` of distinct non-empty words."""
+def packed_ids(lists: list[bytes]) -> bytes:
+    """Lists of 32-bit ids as their lengths and ids, byte by byte of the numbers, compressed."""
+    n = np.array([len(x) >> 2 for x in lists], "<u4")
+    flat = np.concatenate([n, np.frombuffer(b"".join(lists), "<u4")]).astype("<u4")
+    return len(n).to_bytes(4, "little") + zstandard.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(ids=[viterbi(w, vocab) for w in pdf["word"]])
 
-    # A word has some thirty edges, so that its partitions are cut smaller than those of the words.
-    n = 8 * int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    short = words.filter(F.length("word") <= LONGEST).repartition(n, "word")
-    found = best_path(edges(short, vocab).join(short.hint("shuffle_hash"), "word", "right"), vocab)
-    return found.union(words.filter(F.length("word") > LONGEST).mapInPandas(run, "word string, ids array<int>"))
+def unpacked_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and ids of ``packed_ids``."""
+    n = int.from_bytes(data[:4], "little")
+    flat = np.frombuffer(zstandard.decompress(data[4:]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
+    return flat[:n], flat[n:]
+
+
+def encode_words(packs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``block, bucket, ids``: the ids of the words of every text of ``packs``, packed.
+
+    ``packs`` are dealt by bucket; its distinct words, their lattice and the answers
+    stay in that partition.
+    """
+    texts = packs.groupBy("bucket").agg(F.collect_list("text").alias("texts"))
+    words = packs.select("bucket", F.explode(F.split("text", " ")).alias("word"))
+    # A block's number is no word of the lattice: no answer is asked for it.
+    short = words.filter(F.length("word") <= LONGEST).distinct()
+    paths = edges(short, vocab).groupBy("bucket").agg(F.collect_list("word").alias("words"), F.collect_list("edges").alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                words, lattice = batch.column(2)[r].as_py() or [], batch.column(3)[r].values
+                known = {}
+                for lo in range(0, len(words), WORDS_AT_ONCE):
+                    some = words[lo : lo + WORDS_AT_ONCE]
+                    ids, n = best_paths(some, lattice[lo : lo + WORDS_AT_ONCE], vocab)
+                    data, to = ids.astype("<u4").tobytes(), np.cumsum(n) * 4
+                    known.update((w, data[a:b]) for w, a, b in zip(some, [0, *to.tolist()], to.tolist()))
+                out = ([], [], [])
+                for text in batch.column(1)[r]:
+                    block, *asked = text.as_py().split(" ")
+                    for w in {w for w in asked if len(w) > LONGEST}:
+                        known[w] = np.array(viterbi(w, vocab), "<u4").tobytes()
+                    for column, v in zip(out, (int(block), batch.column(0)[r].as_py(), packed_ids([known[w] for w in asked])), strict=True):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["block", "bucket", "ids"])
+
+    return texts.join(paths, "bucket").select("bucket", "texts", "words", "edges").mapInArrow(run, "block bigint, bucket int, ids binary")
 
 
 def decode_ids(ids: np.ndarray, vocab: Vocabulary, bytes_of: dict[int, int]) -> str:
@@ -224,33 +299,41 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary, bytes_of: dict[int, int]) ->
 def encode(docs: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id, ids, n_pieces`` and ``round_trip``: decoding gave the text back; if it does not, this fails."""
     vocab = vocab or load()
-    packed = stage(blocks(docs, vocab), "blocks")
-    words = packed.select("block", F.posexplode("words").alias("at", "word"))
-    coded = encode_words(words.select("word").distinct(), vocab)
-    known = words.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("known"))
-    rows = packed.select("block", "docs", F.col("at").alias("flat")).join(known, "block", "left").select("docs", "flat", "known.at", "known.ids")
+    spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(spark)
+    packed = stage_dealt(blocks(docs, vocab, buckets), "block", parts, "blocks")
+    packs = packed.select(F.explode("words").alias("x")).select("x.bucket", "x.text")
+    coded = encode_words(packs.repartition(min(buckets, 4 * parts), "bucket"), vocab)
+    known = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("known"))
+    rows = packed.select("block", "docs", "at").join(known, "block", "left").select("docs", "at", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, bytes_of = zstandard.ZstdDecompressor(), {i: b for b, i in enumerate(vocab.byte_ids)}
+        bytes_of = {i: b for b, i in enumerate(vocab.byte_ids)}
+        pieces, byte_ids = pa.array(vocab.texts, pa.string()), np.array(vocab.byte_ids)
         for batch in batches:
             for r in range(batch.num_rows):
                 meta = batch.column(0)[r].as_py()
-                flat = np.frombuffer(unpack.decompress(batch.column(1)[r].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
-                at, lists = batch.column(2)[r].values, batch.column(3)[r].values
-                if at is None:
-                    at, lists = pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32()))
-                place = np.argsort(at.to_numpy(zero_copy_only=False))
-                lists = lists.take(pa.array(place))
-                offset, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-                texts = [decode_ids(values[a:b], vocab, bytes_of) for a, b in zip(offset, offset[1:])]
+                flat = np.frombuffer(zstandard.decompress(batch.column(1)[r].as_py()), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+                lists = [unpacked_ids(x["ids"]) for x in sorted(batch.column(2)[r].as_py() or [], key=lambda x: x["bucket"])]
+                size = np.concatenate([*(n for n, _ in lists), np.zeros(0, np.int32)]).astype(np.int64)
+                values = np.concatenate([*(v for _, v in lists), np.zeros(0, np.int32)])
+                offset = np.concatenate(([0], np.cumsum(size)))
+                # The texts of all words at once; those with bytes among their pieces one by one.
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offset, pa.int32()), pieces.take(pa.array(values))), "")
+                raw = np.unique(np.searchsorted(offset, np.flatnonzero(np.isin(values, byte_ids)), "right") - 1)
+                if len(raw):
+                    mask = np.zeros(len(size), bool)
+                    mask[raw] = True
+                    texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([decode_ids(values[offset[w] : offset[w + 1]], vocab, bytes_of) for w in raw], pa.string()))
                 lo, out = 0, ([], [], [], [])
                 for d in meta:
                     mine = flat[lo : lo + d["n"]]
                     lo += d["n"]
-                    n = offset[mine + 1] - offset[mine]
+                    n = size[mine]
                     spot = np.repeat(offset[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    text = "".join([texts[w] for w in mine])
-                    if zlib.crc32(text.encode("utf-8", "surrogatepass")) != d["crc"]:
+                    text = texts.take(pa.array(mine))
+                    ends = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1] if len(text) else [0, 0]
+                    if zlib.crc32(memoryview(text.buffers()[2])[ends[0] : ends[-1]] if ends[-1] else b"") != d["crc"]:
                         raise ValueError(f"pieces of document {d['id']} do not give its text back")
                     for column, v in zip(out, (d["id"], values[spot].astype(np.int32), int(n.sum()), True), strict=True):
                         column.append(v)

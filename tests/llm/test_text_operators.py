@@ -6,6 +6,8 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,22 @@ def test_pieces_equal_a_plain_pass_and_come_back(spark):
     assert pieces.encode(empty(spark, "docs"), vocab).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
+def test_pieces_of_a_bucket_and_what_is_shuffled(spark):
+    """Best paths of many words at once are those of the plain pass, and a block's word numbers are never shuffled."""
+    vocab, rng = pieces.load(), np.random.default_rng(4)
+    words = ["".join(rng.choice(list("aeinrst▁\u00e9\u4e16\U0001f9ff\x02"), n)) for n in rng.integers(1, 40, 300)]
+    lattice = pa.array([[end << 48 | start << 32 | hit for start in range(len(w)) for end in range(start + 1, len(w) + 1)
+                         if (hit := vocab.pieces.get(w[start:end], (pieces.NO_PIECE if end == start + 1 else None,))[0]) is not None][::-1] for w in words], pa.list_(pa.int64()))
+    ids, n = pieces.best_paths(words, lattice, vocab)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [pieces.viterbi(w, vocab) for w in words]
+    docs = spark.createDataFrame([(i, f"some words {i} " + "long" * 60) for i in range(9)], "doc_id long, text string")
+    coded = pieces.encode(docs, vocab)
+    assert sorted(r.ids for r in coded.collect()) == sorted(pieces.viterbi(pieces.normalised(r.text, True), vocab) for r in docs.collect())
+    exchanges = [x for x in coded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Exchange hashpartitioning" in x]
+    assert 0 < len(exchanges) <= 3  # words up, once more in the plan as the same exchange, ids back
+
+
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary here")
 def test_partitions_that_look_alike_keep_their_words(spark):
     vocab = pieces.load()
