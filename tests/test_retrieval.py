@@ -264,3 +264,23 @@ def test_chunks_of_a_hot_title_are_dealt_to_slices(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_phrases_are_verified_where_their_anchor_is_found(spark):
+    """Marks, parts of words, repeated needles and absent headings, against plain search; no text is joined again."""
+    rows = [("c1", "p/a.md", "Red apple pie. Red\nand (blue)", "Apple", "pie"), ("c2", "p/b.md", "pineapple, snapple apples", None, "x"),
+            ("c3", "p/c.md", "nothing here", "Red apple", None), ("c4", "p/d.md", "", "", "")]
+    needles = ["apple", "red apple", ".\n", ". red", "e (b", "ppl", "apple", "(", "", "zzz", ", s", "p/c", "and (blue)"]
+    corpus = spark.createDataFrame(rows, "chunk_id string, source_path string, text string, heading string, summary string")
+    plans = spark.createDataFrame(list(enumerate(needles)), "query_id int, needle string")
+    boosts = lexical.phrase_boosts(plans, corpus)
+    got = {(r.query_id, r.chunk_id): r.boost for r in boosts.collect()}
+    want = {}
+    for i, needle in enumerate(needles):
+        for c, path, text, heading, summary in rows:
+            low = [f"{path}\n{text}".lower(), (heading or "").lower(), (summary or "").lower()]
+            if needle and (b := sum(v for v, x in zip((10.0, 8.0, 6.0), low) if needle in x)):
+                want[i, c] = b
+    assert got == want and boosts.count() == len(want)
+    joins = [x for x in boosts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and not any("chunk_id" in x for x in joins)
