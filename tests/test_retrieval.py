@@ -284,3 +284,26 @@ def test_phrases_are_verified_where_their_anchor_is_found(spark):
     assert got == want and boosts.count() == len(want)
     joins = [x for x in boosts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert joins and not any("chunk_id" in x for x in joins)
+
+
+def test_heuristic_parts_are_dealt_by_chunk(spark):
+    """Tokens, topics, phrases and names add up, and no pair of query and chunk is shuffled to be summed."""
+    corpus, _ = tables(spark)
+    q = spark.createDataFrame([(1, "session decision"), (2, "routing guide"), (3, "")], "query_id bigint, query string")
+    plans = materialise(Q.plan_queries(q))
+    hits = lexical.heuristic_lexical(plans, corpus, pool=20)
+    got = {(r.query_id, r.chunk_id): r.score for r in hits.collect()}
+    weights = {"text": 2.0, "path": 3.0, "keyword": 4.0, "tag": 2.0, "title": 3.0}
+    tok = lambda s: set(__import__("re").findall(r"[a-z0-9/._-]+", s.lower()))
+    for p in plans.collect():
+        for r in corpus.collect():
+            fields = {"text": tok(r.source_path + " " + r.text), "path": tok(r.source_path), "keyword": tok(" ".join(r.keywords)), "tag": tok(" ".join(r.tags)), "title": tok(r.title)}
+            score = sum(weights[k] * (t in f) for k, f in fields.items() for t in p.terms)
+            score += sum(b for word, t, b in P.TOPIC_BOOSTS if word in p.needle and t == r.type)
+            if p.needle:
+                texts = {"text": f"{r.source_path}\n{r.text}".lower(), "heading": r.heading.lower(), "summary": (r.summary or "").lower()}
+                score += sum(P.PHRASE_BOOSTS[k] for k, x in texts.items() if p.needle in x) + 12.0 * (r.title.lower() == p.needle)
+                score += sum(v for k, v in P.VARIANT_BOOSTS.items() if any(x.lower() in texts[k] for x in p.variants))
+            if (p.query_id, r.chunk_id) in got or (score and r.status not in p.excluded_statuses):
+                assert got[p.query_id, r.chunk_id] == score
+    assert got and "RepartitionByExpression [chunk_id" in hits._jdf.queryExecution().optimizedPlan().toString()
