@@ -170,3 +170,17 @@ def test_blocks_hold_each_chunk_once(spark):
     postings = blocks.filter("numbers IS NOT NULL").select("term", "block", F.explode("numbers").alias("number"))
     got = sorted(map(tuple, postings.join(held, ["block", "number"]).select("term", "chunk_id").collect()))
     assert got == sorted(map(tuple, index.postings.select("term", "chunk_id").collect()))
+
+
+def test_tombstones_meet_only_postings_of_the_queries(spark, tmp_path):
+    """Dead postings do not score, and terms of no query are dropped before tombstones are joined."""
+    folder = str(tmp_path / "index")
+    G.update(spark, folder, 0, corpus(spark, rows_of(["n1", "n2", "n3"], "a")))
+    G.update(spark, folder, 1, corpus(spark, rows_of(["n2"], "b", 2.0, 1)), spark.createDataFrame([("vault/n3.md",)], "path string"))
+    _, index = G.load(spark, folder)
+    scored = X.bm25(plans(spark), index)
+    alone = X.LexicalIndex(index.postings, index.term_df, index.n_docs, index.avg_len)
+    got, want = ({(r.query_id, r.chunk_id): round(r.bm25, 9) for r in X.bm25(plans(spark), i).collect()} for i in (index, alone))
+    assert got == want and got
+    joins = [x.split("Join ")[1].split(",")[0] for x in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins.index("LeftSemi") > joins.index("LeftOuter")  # the deeper one comes first
