@@ -217,6 +217,62 @@ def test_copies_inside_a_large_family(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def scans_moved(frame, column):
+    """Scans of ``column`` that a plan shuffles before they meet a join."""
+    lines, found = frame._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i] or "Join" in lines[j]:
+                    break
+                if "FileScan" in lines[j] and f"{column}#" in lines[j].split("]")[0]:
+                    found.append(lines[j])
+    return found
+
+
+@pytest.mark.parametrize("star", [3, 1000])
+def test_texts_of_near_copies_stay_where_they_lie(spark, monkeypatch, star):
+    """Asked pairs come to the texts, without a broadcast too, and large stars give the same links."""
+    monkeypatch.setattr(minhash, "STAR", star, raising=False)
+    moved = {"confirmed": [], "lonely": []}
+
+    def seen(name, f):
+        def call(*given):
+            out = f(*given)
+            moved[name].append(scans_moved(out, "z"))
+            return out
+
+        monkeypatch.setattr(minhash, name, call)
+
+    for name in moved:
+        seen(name, getattr(minhash, name))
+    rng = random.Random(9)
+    rows = []
+    for copies in (60, 5, 2, 1, 1, 1):
+        first = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(copies):
+            text = list(first)
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(text)))
+    for i in range(80):  # one template, so that they share buckets and have no link
+        text = [f"t{j}" for j in range(120)]
+        for j in rng.sample(range(2, 118, 5), 3):
+            text[j] = f"y{i}.{j}"
+        rows.append((len(rows), " ".join(text)))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        got = minhash.near_duplicates(docs_of(spark, rows), 85).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_by_hand(rows, 3, 85))
+    assert all(moved.values()) and not [x for calls in moved.values() for found in calls for x in found]
+
+
 def test_no_documents_no_copies(spark):
     assert minhash.near_duplicates(docs_of(spark, []), 85).count() == 0
 
