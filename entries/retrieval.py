@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from entries import sql as S
 from marginalia import policy as P
-from marginalia.functions.joins import materialise, shared_folder
+from marginalia.functions.joins import materialise, shared_folder, small
 from marginalia.functions.text import strings, tokenize
 from marginalia.operators import corpus as C
 from marginalia.operators import evals, fusion, lexical, links, usage, vectors
@@ -165,10 +165,7 @@ def _parts(spark, sf):
     plans = materialise(Q.plan_queries(queries))
     corpus = materialise(A.corpus(spark, sf))
     terms = plans.select(F.explode("terms").alias("term")).distinct()
-    index = lexical.build_lexical_index(corpus, terms)
-    index.postings = materialise(index.postings)
-    index.term_df = index.postings.groupBy("term").agg(F.count("*").alias("df"))
-    return plans, corpus, index
+    return plans, corpus, lexical.build_lexical_index(corpus, terms)
 
 
 @register("lex_bm25", S.with_(S.base(*S.plans(), *S.LEXICAL_TABLES, ("bm25", S.BM25)),
@@ -525,8 +522,9 @@ SELECT query_id, array_to_string(list_transform(f.taken, lambda x: x), '|') AS i
 @register("ctx_assemble", _CONTEXT)
 def ctx_assemble(spark, sf):
     plans, corpus, index = _parts(spark, sf)
-    ranked = lexical.lexical_search(plans, index, corpus, pool=15)
-    d = fusion.assemble_context(ranked.join(corpus.select("chunk_id", "text", "source_path", "type", "status", "validation_status", "validation_issues"), "chunk_id"))
+    # Read twice, and few: texts of other chunks stay where they are.
+    ranked = materialise(lexical.lexical_search(plans, index, corpus, pool=15))
+    d = fusion.assemble_context(small(ranked).join(corpus.select("chunk_id", "text", "source_path", "type", "status", "validation_status", "validation_issues"), "chunk_id"))
     return d.select(
         "query_id", bar(F.transform("items", lambda h: h["chunk_id"])).alias("items"), bar(F.transform("omitted", lambda h: F.concat_ws(":", h["chunk_id"], h["reason"]))).alias("omitted"),
         bar(F.transform("references", lambda h: h["note_id"])).alias("note_ids"), F.col("selected_count").alias("n_taken"), "candidate_count", "estimated_tokens", "truncated")

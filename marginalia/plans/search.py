@@ -124,11 +124,4 @@ def build_search_index(
     """
     docs = materialise(vectors.embed_chunks(corpus) if with_vectors else corpus)
     terms = materialise(lexical_terms(queries)) if queries is not None else None
-    rows = lexical.postings(docs, terms)
-    term_df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    if terms is not None:
-        rows = materialise(rows)
-        # A broadcast of it then waits for a small table only.
-        term_df = materialise(rows.groupBy("term").agg(F.count("*").alias("df")))
-    index = lexical.index_from_tables(rows, term_df, lexical.field_stats(docs))
-    return SearchIndex(docs, edges, index, "ready" if with_vectors else "missing")
+    return SearchIndex(docs, edges, lexical.build_lexical_index(docs, terms), "ready" if with_vectors else "missing")
