@@ -5,8 +5,8 @@ are exact integers: results do not depend on partitioning or summation order.
 
 Scale notes
 -----------
-* Embedding is a narrow step: one pass over the text inside the scan's tasks,
-  with a per-task cache of token vectors.  Going through a term dictionary
+* Embedding is a narrow step: one pass over the text inside the scan's tasks, which
+  makes the vectors of a batch's distinct tokens at once.  Going through a term dictionary
   would shuffle every posting twice and 48 sums per chunk.
 * Search works on clustered lists.  Rows with like signs towards fixed
   directions are packed into lists with a center and a radius; queries are packed
@@ -17,20 +17,21 @@ Scale notes
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
 from marginalia.functions.joins import materialise
-from marginalia.functions.text import blank_to_null, hash32, lookup, tokenize, trigrams
+from marginalia.functions.text import blank_to_null, hash32, lookup, trigrams
 from marginalia.operators.lexical import filter_corpus, top_pool
+from marginalia.operators.scoring import TOKEN_BYTES, cut
 
 # Query vectors of a block; rows of a list; heads of lists that meet a block at once.
 QUERY_BLOCK = 256
@@ -38,6 +39,8 @@ LIST_ROWS = 1024
 HEADS = 4096
 SIGNS = 16
 TOKEN_CACHE = 500_000
+# Texts whose tokens are taken together.
+EMBED_ROWS = 1024
 
 ALIAS_GROUPS = {token: group for group in P.CONCEPT_GROUPS for token in group}
 
@@ -101,9 +104,8 @@ def _endings_off(token: str) -> str:
         (("ies",), "y"),
         (("es", "s"), ""),
     ):
-        fitting = [e for e in group if token.endswith(e)]
-        if fitting:
-            token = token[: -len(max(fitting, key=len))] + put
+        if token.endswith(group):
+            token = token[: -max(len(e) for e in group if token.endswith(e))] + put
     return token
 
 
@@ -123,7 +125,7 @@ def _spots(name: str, weight: int, dims: int) -> list[tuple[int, int]]:
 
 
 class _TokenVectors:
-    """Per-task store of token vectors in 1/400ths; starts afresh when full."""
+    """Token vectors in 1/400ths, with a per-task store of odd ones; starts afresh when full."""
 
     def __init__(self, dims: int):
         self.dims, self.shared = dims, {}
@@ -162,33 +164,93 @@ class _TokenVectors:
         self.rows[token] = at
         return at
 
-    def text_vector(self, tokens) -> np.ndarray:
-        counts = Counter(tokens)
-        if len(self.rows) + len(counts) > TOKEN_CACHE:
+    def _spots_of(self, names: list[str], weight: int) -> tuple[np.ndarray, np.ndarray]:
+        """``_spots`` of many names at once: three dimensions and three amounts each; none for an empty name."""
+        data = np.frombuffer("".join(names).encode(), np.uint8).astype(np.uint64)
+        length = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(-length, kind="stable")
+        begin, left = (np.cumsum(length) - length)[order], length[order]
+        h = np.array(list(P.HASH_SEEDS.values()), np.uint64)[:, None].repeat(len(names), axis=1)
+        prime, mask = np.uint64(P.FNV_PRIME), np.uint64(0xFFFFFFFF)
+        for j in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -j, side="left"))  # names longer than j come first
+            h[:, :n] = ((h[:, :n] ^ data[begin[:n] + j]) * prime) & mask
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        of = dict(zip(P.HASH_SEEDS, h[:, back].astype(np.int64), strict=True))
+        sign, some = np.where(of["sign"] % 2 == 0, 1, -1), length > 0
+        dims = np.stack([of[k] % self.dims for k in ("primary", "secondary", "tertiary")])
+        return dims, np.stack([weight * some, -(weight // 2) * sign * some, weight // 4 * sign * some])
+
+    def vectors(self, row: np.ndarray, tokens: pa.Array, n: int) -> np.ndarray:
+        """Unit vectors of ``n`` texts given by their tokens ``(row, token)``; zero without tokens.
+
+        Each distinct token is hashed once; what its features add is summed by (text, dimension).
+        """
+        if len(self.rows) > TOKEN_CACHE:
             self.reset()
-        at = [self.row(t) for t in counts]
-        total = np.fromiter(counts.values(), np.int64, len(counts)) @ self.matrix[at]
-        norm = np.sqrt(float((total.astype(np.float64) ** 2).sum()))
-        if not norm:
-            return total
-        return (np.floor(np.abs(total) / norm * 1e6 + 0.5) * np.sign(total)).astype(np.int64)
-
-
-def hash_embed(df: DataFrame, tokens_col: str, out_col: str = "values", dims: int = P.VECTOR_DIMS) -> DataFrame:
-    """VEC2: add the unit vector of a token array, in whole millionths.
-
-    Tokens are cut by the built-in expression; the task only looks token
-    vectors up and adds them.  A text without tokens keeps the zero vector.
+        w, coded = P.FEATURE_WEIGHT_400, tokens.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        shorts, size = list(map(_endings_off, names)), max(1, len(names))
+        # Short tokens and those of a concept are few; they go one by one.
+        odd = np.array([len(t) < 3 or t in ALIAS_GROUPS or s in ALIAS_GROUPS for t, s in zip(names, shorts, strict=True)], bool)
+        key, count = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        text, name = key // size, key % size
+        total = np.zeros(n * self.dims)  # whole numbers below 2**53
+
+        def add(texts: np.ndarray, dims: np.ndarray, amounts: np.ndarray) -> None:
+            for dim, amount in zip(dims, amounts, strict=True):
+                np.add(total, np.bincount(texts * self.dims + dim, amount, n * self.dims), out=total)
+
+        own = [("" if o else t, "" if o or s == t else s) for t, s, o in zip(names, shorts, odd.tolist(), strict=True)]
+        for kind, column in (("token", 0), ("stem", 1)):
+            dims, amounts = self._spots_of([x[column] for x in own], w[kind])
+            add(text, dims[:, name], amounts[:, name] * count)
+        data = np.frombuffer("".join(x[0] for x in own).encode(), np.uint8).astype(np.int64)
+        length = np.fromiter((len(x[0]) for x in own), np.int64, len(own))
+        begin, many = np.cumsum(length) - length, np.maximum(length - 2, 0)
+        code = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+        grams, which = np.unique(code, return_inverse=True)
+        spots = [self._feature(f"tri:{c >> 16:c}{c >> 8 & 255:c}{c & 255:c}", w["trigram"]) for c in grams.tolist()]
+        at = np.array(spots, np.int64).reshape(-1, 3, 2)
+        step = 1 << 16
+        for low in range(0, len(key), step):
+            of, times = name[low : low + step], count[low : low + step]
+            each = many[of]
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            gram = which[np.repeat(begin[of], each) + inside]
+            add(np.repeat(text[low : low + step], each), at[gram, :, 0].T, at[gram, :, 1].T * np.repeat(times, each))
+        total = total.reshape(n, self.dims)
+        if odd.any():
+            place, pick = np.cumsum(odd) - 1, odd[name]
+            rows = [self.row(names[i]) for i in np.flatnonzero(odd)]  # a store that starts afresh does so before
+            times = np.bincount(text[pick] * len(rows) + place[name[pick]], count[pick], n * len(rows)).reshape(n, -1)
+            total += times @ self.matrix[rows].astype(np.float64)
+        norm = np.sqrt((total**2).sum(axis=1))
+        norm[norm == 0] = 1.0
+        return (np.floor(np.abs(total) / norm[:, None] * 1e6 + 0.5) * np.sign(total)).astype(np.int64)
+
+
+def hash_embed(df: DataFrame, text_col: str, out_col: str = "values", dims: int = P.VECTOR_DIMS) -> DataFrame:
+    """VEC2: add the unit vector of a text's tokens, in whole millionths.
+
+    A text is cut where it is read; the vectors of a batch's distinct tokens are
+    made at once and added up.  A text without tokens keeps the zero vector.
     """
 
-    @F.pandas_udf("array<bigint>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<bigint>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         store = _TokenVectors(dims)
         for batch in batches:
-            yield pd.Series([store.text_vector(tokens) for tokens in batch])
+            out = []
+            for low in range(0, len(batch), EMBED_ROWS):
+                part = batch.slice(low, EMBED_ROWS)
+                out.append(store.vectors(*cut(part, TOKEN_BYTES), len(part)).ravel())
+            flat = np.concatenate([np.zeros(0, np.int64), *out])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dims), pa.array(flat))
 
     # Marked so that the planner neither repeats it nor moves it below a shuffle.
-    return df.withColumn(out_col, embed.asNondeterministic()(F.col(tokens_col)))
+    return df.withColumn(out_col, embed.asNondeterministic()(F.col(text_col)))
 
 
 # --- VEC4: what is embedded ---------------------------------------------------
@@ -220,15 +282,11 @@ def query_input() -> Column:
 
 
 def embed_chunks(corpus: DataFrame) -> DataFrame:
-    return hash_embed(
-        corpus.withColumn("tokens", tokenize(chunk_input())), "tokens"
-    ).drop("tokens")
+    return hash_embed(corpus.withColumn("input", chunk_input()), "input").drop("input")
 
 
 def embed_queries(plans: DataFrame) -> DataFrame:
-    return hash_embed(
-        plans.withColumn("tokens", tokenize(query_input())), "tokens", "query_vector"
-    ).drop("tokens")
+    return hash_embed(plans.withColumn("input", query_input()), "input", "query_vector").drop("input")
 
 
 # --- VEC3: similarity search --------------------------------------------------

@@ -77,3 +77,22 @@ def test_only_the_pool_leaves_the_tasks(spark):
     half = materialise(docs.filter(F.xxhash64("chunk_id") % 2 == 0))
     kept = {r.chunk_id for r in half.collect()}
     assert {h[2] for h in hits(X.lexical_search(plans, index, half, pool=5))} <= kept
+
+
+def test_texts_are_embedded_where_they_are_read(spark):
+    """Vectors made at once equal those of the tokens one by one: short, long, inflected and alias tokens, empty texts."""
+    import numpy as np
+
+    from marginalia import policy as P
+    from marginalia.functions.text import tokenize
+    from marginalia.operators import vectors
+
+    texts = ["routing layouts ab a why a/b.c_d-e Classes ing ies building", "", None, "a a a b", "x" * 5000 + " architecture designs adr", "décision İx K2", "ab"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    tokens = {r.i: r.k or [] for r in df.select("i", tokenize("t").alias("k")).collect()}
+    store, embedded = vectors._TokenVectors(P.VECTOR_DIMS), vectors.hash_embed(df, "t")
+    for r in embedded.collect():
+        total = sum((store.matrix[store.row(t)] for t in tokens[r.i]), np.zeros(P.VECTOR_DIMS, np.int64))
+        norm = np.sqrt(float((total.astype(np.float64) ** 2).sum())) or 1.0
+        assert list(r["values"]) == (np.floor(np.abs(total) / norm * 1e6 + 0.5) * np.sign(total)).astype(int).tolist()
+    assert "regexp_extract_all" not in embedded._jdf.queryExecution().optimizedPlan().toString()
