@@ -96,3 +96,26 @@ def test_texts_are_embedded_where_they_are_read(spark):
         norm = np.sqrt(float((total.astype(np.float64) ** 2).sum())) or 1.0
         assert list(r["values"]) == (np.floor(np.abs(total) / norm * 1e6 + 0.5) * np.sign(total)).astype(int).tolist()
     assert "regexp_extract_all" not in embedded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_blocks_are_made_and_scored_without_a_row_per_posting(spark, monkeypatch):
+    """Packs of a few postings give the same blocks; a search over them equals the one by rows, repositories of queries included."""
+    from marginalia.operators import pruning as PR
+
+    docs, plans = materialise(corpus(spark, odd_rows())), asked(spark)
+    index = X.build_lexical_index(docs)
+    monkeypatch.setattr(PR, "PACK_ROWS", 50)
+    made = PR.posting_blocks(index, docs, per_block=8)
+    assert "CoGroupsInArrow" in made._jdf.queryExecution().optimizedPlan().toString()
+    index.blocks = materialise(made)
+    held = index.blocks.filter("chunks IS NOT NULL").select("block", F.explode("chunks").alias("c")).select("block", "c.number", "c.chunk_id")
+    lists = index.blocks.filter("numbers IS NOT NULL")
+    got = lists.select("term", "block", F.explode(F.arrays_zip("numbers", "impacts")).alias("p")).select("term", "block", F.col("p.numbers").alias("number"), "p.impacts").join(held, ["block", "number"])
+    want = index.postings.select("term", "chunk_id", X.bm25_impact(index.avg_len).alias("impacts"))
+    assert sorted(map(tuple, got.select("term", "chunk_id", "impacts").collect())) == sorted(map(tuple, want.collect()))
+    assert lists.filter("top <> array_max(impacts) OR n <> size(numbers)").count() == 0 and lists.groupBy("term", "block").count().filter("count > 1").count() == 0
+    for scope, asking in (({}, plans), ({"note_type": "spec"}, plans), ({}, materialise(plans.withColumn("scope_repo", F.when(F.col("query_id") % 2 == 1, "home"))))):
+        found = hits(X.lexical_search(asking, index, docs, pool=4, **scope))
+        monkeypatch.setattr(scoring, "QUERIES", 0)
+        assert [h[:3] for h in hits(X.lexical_search(asking, index, docs, pool=4, **scope))] == [h[:3] for h in found] != []
+        monkeypatch.undo()
