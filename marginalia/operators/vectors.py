@@ -24,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia import policy as P
-from marginalia.functions.joins import materialise
+from marginalia.functions.joins import materialise, small
 from marginalia.functions.text import blank_to_null, hash32, lookup, trigrams
 from marginalia.operators.lexical import filter_corpus, top_pool
 from marginalia.operators.scoring import TOKEN_BYTES, cut
@@ -295,18 +295,18 @@ def embed_queries(plans: DataFrame) -> DataFrame:
 def _signed(rows: DataFrame) -> DataFrame:
     """Add ``dims`` and ``sig``: the signs of a vector's products with fixed random directions."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.assign(dims=[len(v) for v in pdf["values"]], sig=0)
-            for dims, at in pdf.groupby("dims").groups.items():
-                if dims:
-                    directions = np.random.default_rng(int(dims)).standard_normal((int(dims), SIGNS))
-                    signs = np.stack(pdf.loc[at, "values"].to_numpy()).astype(np.float64) @ directions > 0
-                    pdf.loc[at, "sig"] = signs @ (1 << np.arange(SIGNS)[::-1])
-            yield pdf
+    @F.pandas_udf("int")
+    def sig(values: pd.Series) -> pd.Series:
+        out = pd.Series(0, index=values.index)
+        for dims, at in values.groupby(values.map(len)).groups.items():
+            if dims:
+                directions = np.random.default_rng(int(dims)).standard_normal((int(dims), SIGNS))
+                signs = np.stack(values.loc[at].to_numpy()).astype(np.float64) @ directions > 0
+                out.loc[at] = signs @ (1 << np.arange(SIGNS)[::-1])
+        return out
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return rows.filter(F.size("values") > 0).mapInPandas(run, f"{kinds}, dims int, sig int")
+    # Only the vectors pass through Python; names and titles can be as long as texts.
+    return rows.filter(F.size("values") > 0).withColumn("dims", F.size("values")).withColumn("sig", sig.asNondeterministic()("values"))
 
 
 def _lists(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -396,23 +396,24 @@ def similarity_top(
     """
     need = int(round(min_similarity * 1e6))
     scoped = "scope_repo" in queries.columns
-    columns = [id_col, "status", *(["repo_slug"] if scoped else []), *[k for k in keys if k not in (id_col, "repo_slug")]]
-    kinds, query_kind = dict(vectors.dtypes), dict(queries.dtypes)["query_id"]
-    rows = materialise(_signed(vectors.select(*columns, "values")))
+    rule = ["status", *(["repo_slug"] if scoped else [])]
+    named = list(dict.fromkeys([id_col, *keys, *rule]))
+    query_kind = dict(queries.dtypes)["query_id"]
+    rows = materialise(_signed(vectors.select(*named, "values")).withColumn("row", F.monotonically_increasing_id()))
     bits = min(SIGNS, max(0, (rows.count() // LIST_ROWS).bit_length()))
     order = ["dims", "near", *keys]
     near = rows.withColumn("near", F.shiftright("sig", SIGNS - bits))
-    lists = materialise(_lists(near.repartitionByRange(*order).sortWithinPartitions(*order), columns))
+    near = near.repartitionByRange(*order).sortWithinPartitions(*order).select("row", *rule, "values", "dims", "near")
+    lists = materialise(_lists(near, ["row", *rule]))
     asked = materialise(_query_blocks(queries, block))
     pairs = _reached(lists, asked, need).join(asked.withColumnRenamed("data", "matrix").drop("dims").withColumnRenamed("query_id", "query_ids"), "block")
-    tie = [k for k in keys if k != id_col]
 
     def score(blocks: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, asked_by = [], []
         for r in found.itertuples(index=False):
             x = np.frombuffer(r.data, np.int64).reshape(-1, r.dims).astype(np.float64)
             status = np.array(r.status, dtype=object)
-            columns_of = {c: np.array(getattr(r, c), dtype=object) for c in [id_col, *tie]}
+            row = np.array(r.row, np.int64)
             for q in blocks.itertuples(index=False):
                 # Every product and partial sum is a whole number below 2**53.
                 dots = np.frombuffer(q.matrix, np.int64).reshape(-1, r.dims).astype(np.float64) @ x.T
@@ -425,12 +426,18 @@ def similarity_top(
                     good = np.flatnonzero(micro[i] >= need)
                     # Rows are in tie order, so that a stable sort keeps the right ones.
                     best = good[np.argsort(-micro[i][good], kind="stable")[:pool]]
-                    out.append(pd.DataFrame({"query_id": query, "similarity": micro[i][best] / 1e6, **{c: v[best] for c, v in columns_of.items()}}))
-        names = ["query_id", id_col, "similarity", *tie]
-        return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame({c: [] for c in names})
-
-    schema = ", ".join([f"query_id {query_kind}", f"{id_col} {kinds[id_col]}", "similarity double", *[f"{k} {kinds[k]}" for k in tie]])
-    found = pairs.groupBy("list").cogroup(lists.groupBy("list")).applyInPandas(score, schema)
+                    asked_by += [query] * len(best)
+                    out.append((micro[i][best] / 1e6, row[best]))
+        # Objects: texts of frames put together come as several pieces, which Arrow refuses as one column.
+        return pd.DataFrame({"query_id": pd.Series(asked_by, dtype=object), **{
+            c: np.concatenate([np.zeros(0, kind), *[x[k] for x in out]]) for k, (c, kind) in enumerate((("similarity", np.float64), ("row", np.int64)))}})
+
+    found = pairs.groupBy("list").cogroup(lists.groupBy("list")).applyInPandas(score, f"query_id {query_kind}, similarity double, row long")
+    # Names come to the pool and its ties only.
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("similarity")))
+    best = materialise(found.withColumn("at", place).filter(F.col("at") <= pool).drop("at"))
+    tie = [k for k in keys if k != id_col]
+    found = rows.select("row", id_col, *tie).join(small(best), "row").select("query_id", id_col, "similarity", *tie)
     return top_pool(found, pool, F.desc("similarity"), *keys)
 
 

@@ -119,3 +119,22 @@ def test_stored_blocks_are_made_and_scored_without_a_row_per_posting(spark, monk
         monkeypatch.setattr(scoring, "QUERIES", 0)
         assert [h[:3] for h in hits(X.lexical_search(asking, index, docs, pool=4, **scope))] == [h[:3] for h in found] != []
         monkeypatch.undo()
+
+
+def test_similarity_takes_texts_as_query_ids_and_keeps_names_out(spark):
+    """Query ids are texts, as the repositories are; many lists meet several queries and long names are joined to the pool only."""
+    import numpy as np
+
+    from marginalia.operators import vectors
+
+    rng = np.random.default_rng(2)
+    unit = [[int(v) for v in np.rint(x / np.linalg.norm(x) * 1e6)] for x in rng.standard_normal((3000, 8))]
+    v = spark.createDataFrame([(i, x, "ok", "n" * 50 + str(i % 7)) for i, x in enumerate(unit)], "vec_id bigint, values array<bigint>, status string, heading string")
+    q = spark.createDataFrame([(f"src{i}", unit[i], ["no"]) for i in range(9)], "query_id string, query_vector array<bigint>, excluded_statuses array<string>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.similarity_top(v, q, id_col="vec_id", pool=5, keys=["heading", "vec_id"], block=4).collect()}
+    assert len(got) == 45 and all(got[f"src{i}", 1] == i for i in range(9))
+    x = np.array(unit, np.int64)
+    for i in range(9):
+        micro = (x @ x[i] + 500_000) // 10**6
+        best = sorted(range(3000), key=lambda j: (-micro[j], f"{j % 7}", j))[:5]
+        assert [got[f"src{i}", k + 1] for k in range(5)] == best
